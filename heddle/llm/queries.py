@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, html_extract, quality, sharding, token_count
+from . import bpe_codec, exact_dedup, html_extract, packing, quality, sharding, token_count
 from .common import read_table
 
 
@@ -39,6 +39,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"))[0]
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 OP7_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -53,7 +60,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_bpe_codec, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
