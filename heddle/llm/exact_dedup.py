@@ -24,7 +24,7 @@ from .common import fold_ascii, owners, salt_of, stage
 BITS_PER_ROW = 8
 MAX_BITS = 1 << 27
 MIN_BITS = 1 << 16
-MAP_BITS = 32768  # of one bitmap_construct_agg bucket
+MAP_BITS = 32768  # of one bucket of the bitmap functions
 
 
 def digest(text: Column) -> Column:
@@ -46,28 +46,39 @@ def _position(key: str, seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(bits))
 
 
-def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, bits: int | None) -> DataFrame:
-    """`rows` with a boolean column `maybe`: false proves that only one row of `keys` has this key."""
-    if bits is None:
-        return rows.withColumn("maybe", F.lit(True))
+def bit_maps(keys: DataFrame, key: str, bits: int, least: int = 1) -> list[DataFrame]:
+    """Two bit maps, as rows of `MAP_BITS` bits, of the positions that `least` rows of `keys` or more have."""
+    out = []
     for seed in (1, 2):
         at = f"_p{seed}"
-        hit = keys.select(_position(key, seed, bits).alias(at)).groupBy(at).count().where("count > 1")
+        hit = keys.select(_position(key, seed, bits).alias(at)).groupBy(at).count().where(F.col("count") >= least)
         # the bitmap functions count positions from 1
-        maps = hit.groupBy(F.bitmap_bucket_number(F.col(at) + 1).alias(f"_b{seed}")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(F.col(at) + 1)).alias(f"_m{seed}")
-        )
-        rows = (
-            rows.withColumn(at, _position(key, seed, bits))
-            .withColumn(f"_b{seed}", F.bitmap_bucket_number(F.col(at) + 1))
-            .join(F.broadcast(maps), f"_b{seed}", "left")  # at most MAX_BITS / 8 bytes
+        out.append(
+            hit.groupBy(F.bitmap_bucket_number(F.col(at) + 1).alias(f"_b{seed}")).agg(
+                F.bitmap_construct_agg(F.bitmap_bit_position(F.col(at) + 1)).alias(f"_m{seed}")
+            )
         )
+    return out
+
+
+def in_maps(rows: DataFrame, maps: list[DataFrame], key: str, bits: int) -> DataFrame:
+    """`rows` with a boolean column `maybe`: whether both bits of the key are set."""
     tests = []
-    for seed in (1, 2):
-        bit = F.bitmap_bit_position(F.col(f"_p{seed}") + 1)
+    for seed, some in zip((1, 2), maps):
+        at = _position(key, seed, bits) + 1
+        # at most MAX_BITS / 8 bytes are broadcast
+        rows = rows.withColumn(f"_b{seed}", F.bitmap_bucket_number(at)).join(F.broadcast(some), f"_b{seed}", "left")
+        bit = F.bitmap_bit_position(at)
         byte = F.conv(F.hex(F.substring(F.col(f"_m{seed}"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         tests.append(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
-    return rows.withColumn("maybe", tests[0] & tests[1]).drop("_p1", "_p2", "_b1", "_b2", "_m1", "_m2")
+    return rows.withColumn("maybe", tests[0] & tests[1]).drop("_b1", "_b2", "_m1", "_m2")
+
+
+def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, bits: int | None) -> DataFrame:
+    """`rows` with a boolean column `maybe`: false proves that only one row of `keys` has this key."""
+    if bits is None:
+        return rows.withColumn("maybe", F.lit(True))
+    return in_maps(rows, bit_maps(keys, key, bits, 2), key, bits)
 
 
 def _rank() -> Column:

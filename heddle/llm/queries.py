@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, packing, quality, sharding, token_count
+from . import bpe_codec, exact_dedup, html_extract, packing, quality, sharding, substring_dedup, token_count
 from .common import read_table
 
 
@@ -35,6 +36,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, spans, n_removed): every document without its repeated passages; n_removed counts bytes."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return substring_dedup.strip(docs, spans=True).withColumn("n_removed", removed)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"))[0]
 
@@ -60,7 +68,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe_codec, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
