@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, near_dedup, packing, quality, sharding, substring_dedup, token_count
+from . import bpe_codec, exact_dedup, html_extract, near_dedup, packing, quality, sharding, substring_dedup, token_count, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op3_near_dedup, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
