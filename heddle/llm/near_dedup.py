@@ -1,22 +1,23 @@
 """MinHash near-dedup by chosen-path set similarity join.
 
-A document's set is its distinct three-word shingles, as 64-bit hashes. Documents with equal sets form one class, and only
-classes go on. Each class has `COORDINATES` minwise tokens. `TREES` independent trees branch the classes: at the root of a
-tree a class chooses one coordinate, and its minwise token there names its node; a node with more than `SMALL` classes
-is branched again, each of its classes choosing `BRANCHES` further coordinates, until `DEPTH`. Two classes meet at a level
-with a probability of at least their similarity, so one tree alone keeps a pair with similarity 0.85 with a probability over
-0.8, and eight lose one in a million. Nodes are compared exhaustively, on the shares of equal minwise tokens: pairs below
-`ESTIMATE`, 4.5 standard deviations under the threshold, can't be links. What a node emits is no list of pairs but a
-forest that connects its candidates.
+A document's set is its distinct word shingles (of five words unless a rule says otherwise), as 64-bit hashes. Documents
+with equal sets form one class, and only classes go on. Each class has `COORDINATES` minwise tokens. `TREES` independent
+trees branch the classes: at the root of a tree a class chooses one coordinate, and its minwise token there names its
+node; a node with more than `SMALL` classes is branched again, each of its classes choosing `BRANCHES` further coordinates,
+until `DEPTH`. Two classes meet at a level with a probability of at least their similarity, so one tree alone keeps a pair
+with similarity 0.85 with a probability over 0.8, and eight lose one in a million (at 0.8, one in 200,000). Nodes are
+compared exhaustively, on the shares of equal minwise tokens: pairs that lie more than `MARGIN` under the threshold, four
+standard deviations, are taken for no links. What a node emits is no list of pairs but a forest that connects its
+candidates.
 
 Connected candidates are clusters. Every link lies inside a cluster, and there it is decided on full sets: a cluster is
 dealt into blocks of about `BLOCK` classes and each pair of blocks is searched breadth first in one task, which again emits
 a forest of links. The same deal serves nodes that are still large at full depth. Components of the forests are found by
-contraction, with edges and labels in tables. No task's rows grow with a group of copies, and no step collects documents, links
-or components to the driver. The search in a cluster of g different near copies takes (g / BLOCK)^2 / 2 tasks.
+contraction, with edges and labels in tables. No task's rows grow with a group of copies, and no step collects documents,
+links or components to the driver. The search in a cluster of g different near copies takes (g / BLOCK)^2 / 2 tasks.
 
-Defined cases: null, empty and blank texts have no set and are linked with nothing; with fewer than three words the whole
-sequence is the one shingle; null doc_ids count as larger than all others, so that a component is named by a real id if it
+Defined cases: null, empty and blank texts have no set and are linked with nothing; with fewer words than a shingle has
+the whole sequence is the one shingle; null doc_ids count as larger than all others, so that a component is named by a real id if it
 has one; rows that repeat the same (doc_id, text) are one document to the result and each is returned; an empty table
 gives an empty result; extra columns are not read, and `dedup` returns all of them.
 """
@@ -24,6 +25,7 @@ gives an empty result; extra columns are not read, and `dedup` returns all of th
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,25 @@ from pyspark.sql import functions as F
 
 from .common import grouped, stage, unstage
 
-WORDS_PER_SHINGLE = 3
-LINK, OF = 85, 100
+OF = 100
 COORDINATES = 64
 TREES = 8
 BRANCHES = 2
 DEPTH = 3
 SMALL = 600
 BLOCK = 400
-ESTIMATE = 0.65
+MARGIN = 0.2
 BROADCAST_KEYS = 500_000
 
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity of a link in hundredths."""
+
+    words: int = 5
+    percent: int = 80
+
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -82,13 +92,13 @@ def word_hashes(raw: bytes) -> np.ndarray:
         return _mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, words_each: int) -> np.ndarray:
     """The document's set, sorted."""
     words = word_hashes((text or "").encode())
     n = len(words)
     if not n:
         return words
-    k = min(n, WORDS_PER_SHINGLE)
+    k = min(n, words_each)
     with np.errstate(over="ignore"):
         out = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
@@ -115,14 +125,14 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, text_hash, n_shingles, key, sig): key and sig are null where there is no set."""
 
     def over(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
+                sets = [shingles(t.as_py(), rule.words) for t in part.column(1)]
                 keys = [set_key(s) if len(s) else None for s in sets]
                 sigs = [minwise(s).tobytes() if len(s) else None for s in sets]
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "key", "sig"])
@@ -165,12 +175,12 @@ def dealt(rows: DataFrame, group: str, size: str, member: str, limit: int) -> Da
     return rows.withColumn("task", F.explode(F.array_distinct(pairs))).drop("_n", "_b")
 
 
-def candidate_forest(sigs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+def candidate_forest(sigs: np.ndarray, sizes: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """Edges that connect all pairs with enough equal minwise tokens, by breadth-first search over what is left."""
     left = np.arange(len(sigs))
     edges = []
     queue: list[int] = []
-    need = ESTIMATE * COORDINATES
+    need = (rule.percent / OF - MARGIN) * COORDINATES
     while len(left) or queue:
         if not queue:
             queue.append(int(left[0]))
@@ -180,7 +190,7 @@ def candidate_forest(sigs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int
             break
         same = (sigs[left] == sigs[x]).sum(1) >= need
         a, b = sizes[left], sizes[x]
-        same &= (a * OF >= LINK * b) & (b * OF >= LINK * a)
+        same &= (a * OF >= rule.percent * b) & (b * OF >= rule.percent * a)
         found = left[same]
         edges += [(x, y) for y in found.tolist()]
         queue += found.tolist()
@@ -188,7 +198,7 @@ def candidate_forest(sigs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int
     return edges
 
 
-def link_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_forest(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """Edges that connect all linked pairs, decided on full sets, by breadth-first search over what is left."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -214,7 +224,7 @@ def link_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             held[own[x]] = True
             common = np.bincount(open_owner[held[open_ids]], minlength=n)
             held[own[x]] = False
-            found = np.flatnonzero(waiting & (OF * common >= LINK * (size + size[x] - common)))
+            found = np.flatnonzero(waiting & (OF * common >= rule.percent * (size + size[x] - common)))
             waiting[found] = False
             edges += [(x, y) for y in found.tolist()]
             queue += found.tolist()
@@ -247,9 +257,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, key) of every document, and (key, label) of every class that is linked with another one."""
-    rows = stage(signatures(docs), "near-signatures")
+    rows = stage(signatures(docs, rule), "near-signatures")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     classes = stage(classes, "near-classes")
     leaves = meetings(classes)
@@ -258,7 +268,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if table.num_rows < 2:
             return None
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        return _edges(table.column("key"), candidate_forest(sigs, table.column("n").to_numpy()))
+        return _edges(table.column("key"), candidate_forest(sigs, table.column("n").to_numpy(), rule))
 
     tasks = dealt(leaves, "node", "size", "key", SMALL).select("task", "key").join(classes.select("key", "sig", "n"), "key")
     clusters = components(grouped(tasks, "task", candidates, "a string, b string"))
@@ -274,7 +284,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def sets(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                found = [s for t in batch.column(1).slice(a, 512) if len(s := shingles(t.as_py()))]
+                found = [s for t in batch.column(1).slice(a, 512) if len(s := shingles(t.as_py(), rule.words))]
                 yield pa.record_batch([pa.array([set_key(s) for s in found], pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "set"])
 
     full = texts.mapInArrow(sets, "key string, set binary").join(members.select("key", "label", "size"), "key")
@@ -283,15 +293,15 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def links(table: pa.Table):
         if table.num_rows < 2:
             return None
-        return _edges(table.column("key"), link_forest([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]))
+        return _edges(table.column("key"), link_forest([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()], rule))
 
     found = grouped(dealt(full, "label", "size", "key", BLOCK).select("task", "key", "set"), "task", links, "a string, b string")
     return rows, components(found)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) of every document."""
-    rows, labels = classified(docs)
+    rows, labels = classified(docs, rule)
     least = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = labels.join(least, "key").groupBy("label").agg(F.min("least").alias("all"))
     linked = labels.join(named, "label").select("key", "all")
@@ -306,9 +316,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each component, the one that names it, with all its columns."""
-    groups = stage(near_groups(docs), "near-groups")
+    groups = stage(near_groups(docs, rule), "near-groups")
     gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     few = gone.count() <= BROADCAST_KEYS
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))

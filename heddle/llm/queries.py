@@ -23,7 +23,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
