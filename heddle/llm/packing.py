@@ -69,17 +69,35 @@ class WordTokenizer:
         self.find = re.compile(f"'(?:[stmd]|re|ve|ll)|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+").findall
         self.beyond = re.compile("[^\x00-ɏ]").search
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, many to a call: parted by spaces they split as they do alone, and a word's last id says so."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 2000):
+            ids = np.frombuffer(self._library([" ".join(words[a : a + 2000])])[0], "<u4")
+            ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(ends) != len(words[a : a + 2000]):
+                out += self._library(words[a : a + 2000])
+                continue
+            raw, first = ids.tobytes(), 0
+            for e in ends:
+                out.append(raw[4 * first : 4 * e])
+                first = e
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = [b""] * len(texts)
         split, at, whole = [], [], []
         for i, t in enumerate(texts):
-            if self.beyond(t) or "<|" in t and any(s in t for s in self.special):
+            if not t.isascii() and self.beyond(t) or "<|" in t and any(s in t for s in self.special):
                 whole.append(i)
             else:
                 split.append(self.find(t.lower()))
@@ -90,7 +108,7 @@ class WordTokenizer:
             new = set().union(*split)
         if new:
             words = list(new)
-            self.words.update(zip(words, self._library(words)))
+            self.words.update(zip(words, self._words(words)))
         known = self.words.__getitem__
         for i, words in zip(at, split):
             out[i] = b"".join(map(known, words))
@@ -238,7 +256,8 @@ def _epoch(rows: DataFrame, epoch: int, capacity: int, generations: int) -> Data
                 out.append({"block": r["block"], "island": r["island"], "sizes": r["sizes"], "best": best.astype("<i4").tobytes(), "bins": -bins, "fill": fill})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", pa.binary()), ("best", pa.binary()), ("bins", pa.int64()), ("fill", pa.int64())]))
 
-    return rows.repartition(F.col("block"), F.col("island")).mapInArrow(over, "block long, island int, sizes binary, best binary, bins long, fill long")
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism  # so small that they would be put together
+    return rows.repartition(tasks, "block", "island").mapInArrow(over, "block long, island int, sizes binary, best binary, bins long, fill long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
