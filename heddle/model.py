@@ -23,7 +23,7 @@ IN_FLIGHT = WRITE_PHASES[:3]
 SEVERITIES = ("debug", "info", "warn", "error")
 RETENTIONS = ("ephemeral", "debug", "forensic", "pinned")
 LOG_KINDS = ("stdout", "stderr", "trace")
-COMPATIBILITIES = ("native", "backwards_compatible", "migration_required", "unsupported")
+COMPATIBILITIES = ("exact_read", "backwards_compatible", "migration_required", "unsupported")
 CLAIM_ROLES = ("shared", "domain", "extension")
 CLAIM_STATUSES = ("active", "deprecated", "alias")
 SCALAR_KINDS = ("bool", "integer", "real", "complex", "string", "symbol", "enum")

@@ -139,7 +139,7 @@ UNION ALL
 SELECT 'obj-' || (item_id * 3 + 1), 'content-again', 'file', '/again/' || item_id, NULL, NULL, item_id + 1000000 FROM {benchmark} WHERE item_id % 5 = 0""",
     "catalog": """
 SELECT 'ns' || n_nationkey AS schema_ns, 'k' || k AS schema_id, 'v' || v AS schema_version,
-  CASE WHEN (n_nationkey + k + v) % 10 = 0 THEN 'unsupported' WHEN (n_nationkey + k + v) % 10 = 1 THEN 'migration_required' WHEN (n_nationkey + k + v) % 10 = 2 THEN 'backwards_compatible' ELSE 'native' END AS compatibility
+  CASE WHEN (n_nationkey + k + v) % 10 = 0 THEN 'unsupported' WHEN (n_nationkey + k + v) % 10 = 1 THEN 'migration_required' WHEN (n_nationkey + k + v) % 10 = 2 THEN 'backwards_compatible' ELSE 'exact_read' END AS compatibility
 FROM {nation} CROSS JOIN (SELECT n_nationkey AS k FROM {nation} WHERE n_nationkey < 7) a CROSS JOIN (SELECT n_nationkey AS v FROM {nation} WHERE n_nationkey < 3) b WHERE (n_nationkey * 7 + k + v) % 11 > 0""",
     "environments": """
 SELECT 'software' AS kind, 'env-' || n_nationkey AS id FROM {nation} WHERE n_nationkey < 5
