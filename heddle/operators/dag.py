@@ -66,11 +66,14 @@ def descendants(archive: Archive, roots: DataFrame | None = None) -> DataFrame:
     return pairs if roots is None else pairs.join(roots.select("revision_id").distinct(), "revision_id", "left_semi")
 
 
-def visible(archive: Archive, roots: DataFrame) -> DataFrame:
-    """(root, revision_id, rank): what each root sees, itself first, in breadth-first order over its parents in their order."""
+def visible(archive: Archive, roots: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(root, revision_id, rank): what each root sees, itself first, in breadth-first order over its parents in their order.
+
+    `pairs` is the archive's closure, where the caller has it already.
+    """
     roots = roots.select("revision_id").distinct().join(archive.revisions.select("revision_id").distinct(), "revision_id", "left_semi")
     own = roots.select(F.col("revision_id").alias("root"), "revision_id", F.lit(0).alias("steps"), F.lit("").alias("path"))
-    pairs = closure(known_edges(archive)).where("source <> target")
+    pairs = (closure(known_edges(archive)) if pairs is None else pairs).where("source <> target")
     seen = pairs.join(roots.withColumnRenamed("revision_id", "source"), "source", "left_semi").select(F.col("source").alias("root"), F.col("target").alias("revision_id"), "steps", "path")
     rank = F.row_number().over(Window.partitionBy("root").orderBy("steps", "path")) - 1
     return own.unionByName(seen).select("root", "revision_id", rank.alias("rank"))
