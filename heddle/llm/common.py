@@ -2,59 +2,58 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage as _stage
+from ..staging import unstage
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_session_dirs: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+__all__ = ["fold_ascii", "grouped", "null_safe", "owners", "read_table", "runs", "salt_of", "scope", "small_batches", "stage", "unstage"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below `sf_dir`, by any path that Spark can open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark not in _session_dirs:
-        folder = tempfile.TemporaryDirectory(prefix="heddle-")
-        atexit.register(folder.cleanup)
-        _session_dirs[spark] = folder
-    return "file://" + _session_dirs[spark].name
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what a Python worker holds at once: at most `rows` documents go over in one Arrow batch."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf, "10000")) <= rows:
+        spark.conf.set(conf, str(rows))
+
+
+_scopes: list[list[DataFrame]] = []
+
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        unstage(*_scopes.pop())
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes `df` as Parquet into the shared folder and reads it again.
 
     The lineage ends there, and a lost executor costs only the tasks that ran on it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_path = path
+    small_batches(df.sparkSession)
+    out = _stage(df, name)
+    if _scopes and not keep:
+        _scopes[-1].append(out)
     return out
 
 
-def unstage(*frames: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "staged_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fold_ascii(text: Column) -> Column:
     """A-Z to lower case and nothing else; pure ASCII takes the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, stage, unstage
+from .common import grouped, scope, stage, unstage
 
 OF = 100
 COORDINATES = 64
@@ -318,8 +318,9 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each component, the one that names it, with all its columns."""
-    groups = stage(near_groups(docs, rule), "near-groups")
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    with scope():
+        gone = near_groups(docs, rule).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+        gone = stage(gone, "near-gone", keep=True)
     few = gone.count() <= BROADCAST_KEYS
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
