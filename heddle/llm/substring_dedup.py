@@ -9,7 +9,8 @@ repeats of a few words are no duplicates, so what is removed are runs of neighbo
 
 All that is shuffled for every chunk is a digest and a position, two numbers, pre-aggregated per task. The repeated
 digests then form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they
-are; only chunks that pass are joined with their digest's staying position, salted. The runs found are joined to the
+are; only chunks that pass are joined with their digest's staying position, by a sort-merge join whose large partitions
+adaptive execution splits. The runs found are joined to the
 documents by broadcast while they number at most `BROADCAST_DOCS` documents, so that no text moves; beyond that by a
 shuffle on the document's key.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import salt_of, stage
+from .common import scope, stage
 from .exact_dedup import MAX_BITS, MIN_BITS, bit_maps, in_maps
 
 WINDOW = 16
@@ -76,74 +77,78 @@ def digests(raw: bytes, ends: np.ndarray) -> tuple[list[int], list[int]]:
     return out, words
 
 
-def _key() -> tuple[Column, Column]:
-    return F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text")).alias("_hash")
+def _key() -> Column:
+    """The document's key, of its id and its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_k")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(_id, _hash, digests, words): the chunks of every document, in order."""
+    """(_k, digests, words): the chunks of every document, in order."""
 
     def over(batches):
         for batch in batches:
             found, counted = [], []
-            for t in batch.column(2):
+            for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
                 d, w = digests(raw, cuts(np.frombuffer(raw, np.uint8)))
                 found.append(np.array(d, np.int64)), counted.append(np.array(w, np.int32))
-            columns = [pa.array(found, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["_id", "_hash", "digests", "words"])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32()))], ["_k", "digests", "words"])
 
-    return docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(over, "_id long, _hash long, digests array<long>, words array<int>")
+    return docs.select(_key(), F.col("text").cast("string").alias("text")).mapInArrow(over, "_k long, digests array<long>, words array<int>")
 
 
-def _position(chunk: Column) -> Column:
-    """One number for a chunk's place: 40 bits of the document's hash, then 24 of the chunk's number."""
-    return F.xxhash64("_id", "_hash").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(chunk.cast("long").bitwiseAND(F.lit(0xFFFFFF)))
+def _position() -> Column:
+    """One number for a chunk's place: 40 bits of the document's key, then 24 of the chunk's number."""
+    return F.col("_k").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(F.col("chunk").cast("long").bitwiseAND(F.lit(0xFFFFFF)))
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """(_id, _hash, runs): of every document with some, the runs (first, last chunk) whose staying copies are elsewhere."""
+    """(_k, runs): of every document with some, the runs (first, last chunk, first digest) whose staying copies are elsewhere."""
     rows = stage(chunks(docs), "substring-chunks")
-    every = rows.select("_id", "_hash", F.posexplode("digests").alias("chunk", "digest")).select("digest", _position(F.col("chunk")).alias("at"))
+    every = rows.select("_k", F.posexplode("digests").alias("chunk", "digest")).select("digest", _position().alias("at"))
     own = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1").select("digest", "first")
     own = stage(own, "substring-repeated")
     bits = MIN_BITS
     many = own.count()
     while bits < MAX_BITS and bits < 8 * many:
         bits *= 2
-    places = rows.select("_id", "_hash", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
-    places = places.select("_id", "_hash", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
+    places = rows.select("_k", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
+    places = places.select("_k", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
     maybe = in_maps(places, bit_maps(own, "digest", bits), "digest", bits).where("maybe").drop("maybe")
-    maybe = stage(maybe.withColumn("_at", _position(F.col("chunk"))).withColumn("_salt", salt_of(["_at"])), "substring-places")
-    salted = maybe.select("digest", "_salt").distinct().join(own, "digest")
-    found = maybe.join(salted, ["digest", "_salt"]).where("_at <> first")
-    lists = found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("chunk", "words")).alias("again"))
+    found = maybe.join(own, "digest").where(_position() != F.col("first"))
+    lists = found.groupBy("_k").agg(F.collect_set(F.struct("chunk", "words", "digest")).alias("again"))
 
     def over(batches):
         for batch in batches:
             out = []
-            for again in batch.column(2):
-                runs: list[list[int]] = []  # first, last, words
+            for again in batch.column(1):
+                runs: list[list[int]] = []  # first, last, words, digest
                 for x in sorted(again.as_py(), key=lambda x: x["chunk"]):
                     if runs and runs[-1][1] + 1 == x["chunk"]:
                         runs[-1][1] += 1
                         runs[-1][2] += x["words"]
                     else:
-                        runs.append([x["chunk"], x["chunk"], x["words"]])
-                out.append([{"first": r[0], "last": r[1]} for r in runs if r[2] >= min_words])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, _RUNS)], ["_id", "_hash", "runs"])
+                        runs.append([x["chunk"], x["chunk"], x["words"], x["digest"]])
+                out.append([{"first": r[0], "last": r[1], "digest": r[3]} for r in runs if r[2] >= min_words])
+            yield pa.record_batch([batch.column(0), pa.array(out, _RUNS)], ["_k", "runs"])
 
-    return lists.mapInArrow(over, "_id long, _hash long, runs array<struct<first:int,last:int>>").where("size(runs) > 0")
+    return lists.mapInArrow(over, "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
 
 
 _SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
-_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("digest", pa.int64())]))
 
 
 def cut_out(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the runs of chunks, and the byte spans that went."""
-    ends = cuts(np.frombuffer(raw, np.uint8)).tolist()
-    gone = [(ends[r["first"] - 1] if r["first"] else 0, ends[r["last"]]) for r in runs]
+    """The text without the runs of chunks, and the byte spans that went. A run whose first digest isn't this text's belongs
+    to another document with the same key, and is left alone."""
+    ends = cuts(np.frombuffer(raw, np.uint8))
+    gone = []
+    for r in runs:
+        if r["last"] < len(ends):
+            a = int(ends[r["first"] - 1]) if r["first"] else 0
+            if digests(raw[a : ends[r["first"]]], np.array([int(ends[r["first"]]) - a]))[0] == [r["digest"]]:
+                gone.append((a, int(ends[r["last"]])))
     kept, last = [], 0
     for a, b in gone:
         kept.append(raw[last:a])
@@ -156,11 +161,12 @@ def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: bool = False)
     """All documents, with their repeated passages removed; with `spans`, also the (start, end) byte spans that went."""
     cols = docs.columns
     field = docs.schema["text"]
-    again = stage(repeated(docs, min_words), "substring-runs").withColumnRenamed("_id", "_i").withColumnRenamed("_hash", "_h")
+    with scope():
+        again = stage(repeated(docs, min_words), "substring-runs", keep=True).withColumnRenamed("_k", "_own")
     if again.count() <= BROADCAST_DOCS:
         again = F.broadcast(again)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), *_key())
-    joined = rows.join(again, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_hash").eqNullSafe(F.col("_h")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), _key())
+    joined = rows.join(again, F.col("_k") == F.col("_own"), "left")
     joined = joined.select(*[F.col(f"_row.`{c}`").alias(f"c{k}") for k, c in enumerate(cols)], F.col("runs"))
     at = cols.index(field.name)
 
