@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.columns import LAST, first_by
 from ..model import Archive, columns
 
-ORDERS = {
-    "objects": ["ns_id", "object_id", "revision_id", "ordinal"],
-    "heads": ["head_id", "name", "ordinal"],
-    "revisions": ["revision_id", "ordinal"],
-    "runs": ["run_id", "ordinal"],
-    "writes": ["scope", F.coalesce(F.col("run_id"), F.lit("")), "sequence", "ordinal"],
-    "log_streams": ["run_id", "kind", F.coalesce(F.col("source"), F.lit("")), "ordinal"],
-    "claims": ["ns_id", "ns_uuid", "status", "ordinal"],
-    "refs": ["name", "target_object", F.coalesce(F.col("target_revision"), F.lit("")), "pos"],
-    "events": ["run_id", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("sequence"), F.lit(LAST)), "ordinal"],
+_ORDERS = {
+    "objects": "ns_id object_id revision_id ordinal",
+    "heads": "head_id name ordinal",
+    "revisions": "revision_id ordinal",
+    "runs": "run_id ordinal",
+    "writes": "scope coalesce(run_id,'') sequence ordinal",
+    "log_streams": "run_id kind coalesce(source,'') ordinal",
+    "claims": "ns_id ns_uuid status ordinal",
+    "refs": "name target_object coalesce(target_revision,'') pos",
+    "events": f"run_id coalesce(source,'') coalesce(sequence,{LAST}) ordinal",
 }
 
 
+class _Orders:
+    """Sort keys of each table, as Columns made when they are asked for."""
+
+    def __getitem__(self, table: str) -> list[Column]:
+        return [F.expr(k) for k in _ORDERS[table].split(" ")]
+
+
+ORDERS = _Orders()
+
+
 class Ambiguous(ValueError):
     """A name that more than one row answers to."""
 

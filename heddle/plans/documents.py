@@ -8,8 +8,14 @@ from ..sources.projection import CONFIG
 from .base import QUERIES, SQL, found
 
 C, L = F.col, F.lit
-NO_ITEMS = L(None).cast("array<struct<tag:string,value:string>>")
-NO_DIMS = L(None).cast("array<int>")
+
+
+def no_items():
+    return L(None).cast("array<struct<tag:string,value:string>>")
+
+
+def no_dims():
+    return L(None).cast("array<int>")
 
 
 def _read(spark, sf_dir, name):
@@ -25,7 +31,7 @@ def trees(spark, sf_dir):
     attrs = t.select(key, L("role").alias("key"), L("symbol").alias("tag"), C("role").alias("value")).unionByName(
         t.select(key, L("size").alias("key"), L("integer").alias("tag"), F.length("text").cast("string").alias("value"))
     )
-    return roots.unionByName(turns), attrs.withColumn("items", NO_ITEMS).withColumn("dims", NO_DIMS)
+    return roots.unionByName(turns), attrs.withColumn("items", no_items()).withColumn("dims", no_dims())
 
 
 def query(name, sql=None):
@@ -76,7 +82,7 @@ def _records(spark, sf_dir):
     for x in attrs[1:]:
         out = out.unionByName(x)
     rows = d.select(key, F.when(C("doc_id") % 53 == 9, "text/page").otherwise("text/document").alias("kind"), L("text/document").alias("expected"))
-    return rows, out.withColumn("items", NO_ITEMS).withColumn("dims", NO_DIMS)
+    return rows, out.withColumn("items", no_items()).withColumn("dims", no_dims())
 
 
 def _schemas(spark):
@@ -129,10 +135,10 @@ def _(spark, sf_dir):
     text = L(None).cast("string")
     parts = [
         e.select(key, L("vector").alias("key"), L("array").alias("tag"), text.alias("value"), cut.alias("items"), F.when((v % 19 == 4) & (v % 17 != 3), F.array(L(8), L(8))).otherwise(F.array(F.size(cut))).alias("dims")),
-        e.where("vec_id % 23 <> 5").select(key, L("label").alias("key"), F.when(v % 29 == 6, "string").otherwise("integer").alias("tag"), C("label").cast("string").alias("value"), NO_ITEMS.alias("items"), NO_DIMS.alias("dims")),
-        e.where("vec_id % 31 = 7").select(key, L("note").alias("key"), L("string").alias("tag"), L("x").alias("value"), NO_ITEMS.alias("items"), NO_DIMS.alias("dims")),
-        e.select(key, L("tags").alias("key"), F.when(v % 37 == 8, "string").otherwise("list").alias("tag"), text.alias("value"), tags.alias("items"), NO_DIMS.alias("dims")),
-        e.select(key, L("source").alias("key"), F.when(v % 43 == 10, "string").otherwise("reference").alias("tag"), L("corpus").alias("value"), NO_ITEMS.alias("items"), NO_DIMS.alias("dims")),
+        e.where("vec_id % 23 <> 5").select(key, L("label").alias("key"), F.when(v % 29 == 6, "string").otherwise("integer").alias("tag"), C("label").cast("string").alias("value"), no_items().alias("items"), no_dims().alias("dims")),
+        e.where("vec_id % 31 = 7").select(key, L("note").alias("key"), L("string").alias("tag"), L("x").alias("value"), no_items().alias("items"), no_dims().alias("dims")),
+        e.select(key, L("tags").alias("key"), F.when(v % 37 == 8, "string").otherwise("list").alias("tag"), text.alias("value"), tags.alias("items"), no_dims().alias("dims")),
+        e.select(key, L("source").alias("key"), F.when(v % 43 == 10, "string").otherwise("reference").alias("tag"), L("corpus").alias("value"), no_items().alias("items"), no_dims().alias("dims")),
     ]
     attrs = parts[0]
     for p in parts[1:]:
