@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,7 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
+        self.find_latin, self.beyond = self._latin(pattern), re.compile("[^\x00-ɏ]").search
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB"})
@@ -99,6 +101,25 @@ class Codec:
         self.ids: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
 
+    @staticmethod
+    def _latin(pattern: str):
+        """The same pattern with its classes written out, for texts without characters beyond U+024F; None where it uses
+        others than letters, numbers and white space."""
+        import regex
+
+        def span(kind):
+            return "".join(re.escape(chr(c)) for c in range(0x250) if regex.match(kind, chr(c)))
+
+        letters, numbers, white = span(r"\p{L}"), span(r"\p{N}"), r"\x09-\x0d \x85\xa0"
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letters}{numbers}]")
+        plain = plain.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")
+        return None if re.search(r"\\[pPwWdDbB]", plain) else re.compile(plain).findall
+
+    def split(self, text: str) -> list[str]:
+        if self.find_latin is not None and (text.isascii() or not self.beyond(text)):
+            return self.find_latin(text)
+        return self.find(text)
+
     def _table(self, name: str, **columns) -> None:
         self.db.register("source", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
@@ -161,7 +182,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Of each text, the id sequences of its words, in order."""
-        split = [self.find(t) for t in texts]
+        split = [self.split(t) for t in texts]
         new = set().union(*split).difference(self.ids) if split else set()
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids = {}
@@ -169,8 +190,8 @@ class Codec:
         if new:
             words = list(new)
             self.ids.update(zip(words, self.encode_words(words)))
-        known = self.ids
-        return [[known[w] for w in words] for words in split]
+        known = self.ids.__getitem__
+        return [list(map(known, words)) for words in split]
 
     def decode(self, coded: list[list[str]]) -> list[bytes]:
         """The bytes that the id sequences stand for, put together text by text."""
@@ -181,11 +202,11 @@ class Codec:
         if new:
             sequences = list(new)
             self.bytes.update(zip(sequences, self.decode_sequences(sequences)))
-        known = self.bytes
-        return [b"".join([known[s] for s in sequences]) for sequences in coded]
+        known = self.bytes.__getitem__
+        return [b"".join(map(known, sequences)) for sequences in coded]
 
 
-def portions(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+def portions(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
     """The column's texts (null: empty) in lists of about `most` characters."""
     held, size = [], 0
     for t in texts:
