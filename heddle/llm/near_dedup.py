@@ -58,6 +58,7 @@ _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _numbers(name: str, n: int) -> np.ndarray:
@@ -74,6 +75,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """A hash of every word, A-Z folded; a polynomial of its bytes, from prefix sums."""
     data = _FOLD[np.frombuffer(raw, np.uint8)]
@@ -83,12 +90,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        power = np.full(len(data) + 1, _ODD, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:-1], dtype=np.uint64)))
-        # bring the words to a common power, that of the text's end
-        value = (sums[ends] - sums[starts]) * power[len(data) - starts]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), dtype=np.uint64)))
+        # take the power of its place in the text out of every word's sum
+        value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
         return _mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
