@@ -11,7 +11,7 @@ All that is shuffled for every chunk is a digest and a position, two numbers, pr
 digests then form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they
 are; only chunks that pass are joined with their digest's staying position, by a sort-merge join whose large partitions
 adaptive execution splits. The runs found are joined to the
-documents by broadcast while they number at most `BROADCAST_DOCS` documents, so that no text moves; beyond that by a
+documents by broadcast while they number at most `BROADCAST_RUNS` (a few MB), so that no text moves; beyond that by a
 shuffle on the document's key.
 
 Defined cases: null stays null and has no chunks; empty texts and texts without white space are left alone unless all of
@@ -35,7 +35,7 @@ from .exact_dedup import MAX_BITS, MIN_BITS, bit_maps, in_maps
 WINDOW = 16
 MASK_BITS = 2
 MIN_RUN_WORDS = 25
-BROADCAST_DOCS = 200_000
+BROADCAST_RUNS = 200_000
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person=b"gear").digest() for b in range(256)), "<u8")
 _WHITE = np.zeros(256, bool)
@@ -163,7 +163,7 @@ def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: bool = False)
     field = docs.schema["text"]
     with scope():
         again = stage(repeated(docs, min_words), "substring-runs", keep=True).withColumnRenamed("_k", "_own")
-    if again.count() <= BROADCAST_DOCS:
+    if again.agg(F.coalesce(F.sum(F.size("runs") + 1), F.lit(0))).first()[0] <= BROADCAST_RUNS:
         again = F.broadcast(again)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), _key())
     joined = rows.join(again, F.col("_k") == F.col("_own"), "left")
