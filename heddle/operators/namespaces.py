@@ -126,24 +126,15 @@ def listing(a: Archive, with_claims: bool = True) -> DataFrame:
     """(ns_id, ns_uuid, display, role, status, canonical_id, aliases, kinds, schema_ids) of every namespace that objects or
     claims name; lists are joined by commas.
 
-    An object namespace's identity is folded in insertion order: a first UUID replaces all of it, later a greater display
-    name replaces the name. Only changes of identity are collected for the fold, so its lists stay as short as the number
-    of distinct (UUID, name) pairs.
+    An object namespace's identity is folded in insertion order: the first UUID replaces all of it, and from there on (from
+    the start, where there is none) a greater display name replaces the name. So it is the first UUID, and the greatest
+    name at or after its object.
     """
-    changes = a.objects.groupBy("ns_id", "ns_uuid", "ns_display").agg(F.min("ordinal").alias("at"))
-    folded = changes.groupBy("ns_id").agg(F.array_sort(F.collect_list(F.struct("at", C("ns_uuid").alias("u"), C("ns_display").alias("d")))).alias("l"))
-
-    def step(acc, x):
-        fresh = (acc["u"] == "") & (x["u"] != "")
-        return F.struct(
-            F.when(fresh, x["u"]).otherwise(acc["u"]).alias("u"),
-            F.when(fresh, x["d"]).when(acc["d"] < x["d"], x["d"]).otherwise(acc["d"]).alias("d"),
-        )
-
-    start = F.struct(C("l")[0]["u"].alias("u"), C("l")[0]["d"].alias("d"))
-    folded = folded.select("ns_id", F.aggregate("l", start, step).alias("i")).select("ns_id", C("i.u").alias("uuid"), C("i.d").alias("name"))
+    first = a.objects.where("ns_uuid <> ''").groupBy("ns_id").agg(F.min_by("ns_uuid", "ordinal").alias("uuid"), F.min("ordinal").alias("_since"))
+    names = a.objects.select("ns_id", "ns_display", "ordinal").join(F.broadcast(first), "ns_id", "left")  # a row for each namespace
+    seen = names.groupBy("ns_id").agg(F.first("uuid").alias("_u"), F.max(F.when(C("_since").isNull() | (C("ordinal") >= C("_since")), C("ns_display"))).alias("name"))
     kinds = a.objects.groupBy("ns_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set("schema_id")).alias("schema_ids"))
-    seen = folded.join(kinds, "ns_id")
+    seen = seen.select("ns_id", F.coalesce("_u", L("")).alias("uuid"), "name").join(kinds, "ns_id")
     none = F.array().cast("array<string>")
     if not with_claims:
         role = F.when(C("ns_id") == a.config.shared, "shared").otherwise("domain")

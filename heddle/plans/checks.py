@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, namespaces, rules
+from ..model import TABLES
+from ..operators import catalog, namespaces, readiness, rules
 from .base import found, query
+from .graphs import KNOWN
 from .lookups import RESOLVED, SECRET_NAME, SECRET_VALUE
 
 AREAS = "('profile', 'provenance', 'schemas', 'revisions', 'runs', 'events', 'heads', 'objects', 'content', 'payloads')"
@@ -150,10 +152,33 @@ for _name, (_tables, _sql, _rule) in SQLS.items():
     check(_name, _tables, _sql)(_rule)
 
 
-_COMPLETE = ["k1_object_rows", "w6_duplicate_reference_names", "w1_duplicate_object_revisions", "w2_object_id_conflicts", "j1_j2_dangling_references", "k4_heads", "k8_records", "k8_run_parents", "j6_run_revisions", "j7_event_references", "k9_secrets", "w5_duplicate_sequences", "j8_log_streams", "k11_run_records", "j9_staging", "k12_writes", "k3_object_statuses", "k3_provenance", "k5_object_identities", "k6_claims"]
+def total(parts: list[str]) -> str:
+    """How often each code is found by the given checks."""
+    return "SELECT code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT code FROM ({p})" for p in parts) + ") GROUP BY code"
 
 
-@query("v2_validate_archive")
+_SUITE = [v[1] for k, v in SQLS.items() if k != "v5_plans"]
+_GRAPH = [
+    "WITH RECURSIVE " + KNOWN + " SELECT 'cycle' AS code FROM (SELECT min(source) AS id FROM pairs WHERE target IN (SELECT source FROM pairs WHERE source = target)) WHERE id IS NOT NULL",
+    "SELECT DISTINCT 'dangling_parent' AS code, child, parent FROM a_edges WHERE child IN (SELECT revision_id FROM a_revisions) AND parent NOT IN (SELECT revision_id FROM a_revisions)",
+]
+
+
+@query("v2_validate_archive", " ".join(TABLES), total(_SUITE + _GRAPH))
 def _(a):
     """How often each code is found by the whole suite, claims and catalog included."""
     return rules.validate(a, namespaces=True, catalog=True).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q3_archive_commit", "runs staged activities revisions objects writes", total([
+    "SELECT 'run_not_completed' AS code FROM a_runs WHERE status <> 'completed'",
+    "SELECT 'run_already_committed' AS code FROM a_runs WHERE revision_id IS NOT NULL",
+    "SELECT 'uncertain_side_effect' AS code FROM a_runs WHERE status = 'uncertain'",
+    f"SELECT code FROM ({SQLS['k11_run_records'][1]}) WHERE code <> 'uncommitted_run_has_revision'",
+    SQLS["j9_staging"][1],
+    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code FROM a_writes w WHERE scope = 'run' AND phase IN ('begin', 'appending', 'committing', 'uncertain') AND run_id IN (SELECT run_id FROM a_runs)",
+    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code FROM (SELECT DISTINCT phase FROM a_writes WHERE scope = 'archive' AND phase IN ('begin', 'appending', 'committing', 'uncertain')) CROSS JOIN (SELECT DISTINCT run_id FROM a_runs)",
+]))
+def _(a):
+    """How often each code keeps a run from being committed."""
+    return readiness.archive_commit(a).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -189,11 +189,60 @@ def _(a):
     return namespaces.resolved(a).select("id", "claim_id", "canonical_id", "role", "status")
 
 
-@query("a4_list_object_namespaces", "objects", None)
+SEEN = """
+first_uuid AS (SELECT ns_id, min_by(ns_uuid, ordinal) AS uuid, min(ordinal) AS since FROM a_objects WHERE ns_uuid <> '' GROUP BY ns_id),
+seen AS (
+  SELECT o.ns_id, coalesce(any_value(f.uuid), '') AS uuid, max(CASE WHEN f.since IS NULL OR o.ordinal >= f.since THEN o.ns_display END) AS name,
+    string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT schema_id, ',' ORDER BY schema_id) AS schema_ids
+  FROM a_objects o LEFT JOIN first_uuid f ON f.ns_id = o.ns_id GROUP BY o.ns_id)"""
+
+
+@query("a4_list_object_namespaces", "objects", f"""
+WITH {SEEN} SELECT ns_id, uuid AS ns_uuid, name AS display, CASE WHEN ns_id = 'ns0' THEN 'shared' ELSE 'domain' END AS role, 'active' AS status, ns_id AS canonical_id, '' AS aliases, kinds, schema_ids FROM seen""")
 def _(a):
     return namespaces.listing(a, with_claims=False)
 
 
-@query("a4_list_namespaces", "objects claims claim_aliases", None)
+@query("a4_list_namespaces", "objects claims claim_aliases", f"""
+WITH {RESOLVED}, {SEEN},
+last AS (SELECT ns_id, max_by(role, k) AS role, max_by(status, k) AS status, max_by(canonical_id, k) AS canonical_id, max_by(ns_uuid, k) FILTER (WHERE ns_uuid <> '') AS uuid, max_by(ns_display, k) FILTER (WHERE ns_display <> '') AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY ns_id ORDER BY ns_uuid, status, ordinal) AS k FROM a_claims) GROUP BY ns_id),
+ids AS (SELECT ns_id FROM seen UNION SELECT ns_id FROM last),
+names AS (
+  SELECT ns_id, alias FROM a_claim_aliases
+  UNION SELECT r.id, l.alias FROM resolved r JOIN a_claim_aliases l ON l.ns_id = r.claim_id
+  UNION SELECT id, id FROM resolved WHERE id <> claim_id)
+SELECT i.ns_id, coalesce(l.uuid, s.uuid, '') AS ns_uuid, coalesce(l.name, s.name, '') AS display, coalesce(l.role, r.role, CASE WHEN i.ns_id = 'ns0' THEN 'shared' ELSE 'domain' END) AS role,
+  coalesce(l.status, CASE WHEN r.id <> r.claim_id THEN 'alias' ELSE r.status END, 'active') AS status, coalesce(l.canonical_id, r.canonical_id, i.ns_id) AS canonical_id,
+  coalesce((SELECT string_agg(DISTINCT alias, ',' ORDER BY alias) FROM names n WHERE n.ns_id = i.ns_id), '') AS aliases, coalesce(s.kinds, '') AS kinds, coalesce(s.schema_ids, '') AS schema_ids
+FROM ids i LEFT JOIN seen s ON s.ns_id = i.ns_id LEFT JOIN last l ON l.ns_id = i.ns_id LEFT JOIN resolved r ON r.id = i.ns_id""")
 def _(a):
     return namespaces.listing(a)
+
+
+@query("s9_serialised_runs", "runs", """
+SELECT run_id, '{"run_id":"' || run_id || '","status":"' || status || '","restart_declared":' || restart_declared || ',"ordinal":' || ordinal || '}' AS record FROM a_runs""")
+def _(a):
+    return a.runs.select("run_id", F.to_json(F.struct("run_id", "status", "restart_declared", "ordinal")).alias("record"))
+
+
+@query("s10_deserialised_runs", "runs", "SELECT run_id, status, restart_declared, ordinal FROM a_runs")
+def _(a):
+    rows = a.runs.select(F.to_json(F.struct("run_id", "status", "restart_declared", "ordinal")).alias("record"))
+    return rows.select(F.from_json("record", "run_id string, status string, restart_declared boolean, ordinal bigint").alias("r")).select("r.*")
+
+
+@query("j15_schemas_in_use", "objects catalog", """
+SELECT schema_ns, schema_id, schema_version, compatibility FROM a_catalog c WHERE EXISTS (SELECT 1 FROM a_objects o WHERE o.schema_ns = c.schema_ns AND o.schema_id = c.schema_id AND o.schema_version = c.schema_version)""")
+def _(a):
+    return catalog.needed(a, a.catalog).select("schema_ns", "schema_id", "schema_version", "compatibility")
+
+
+@query("c1_revisions_without_objects", "objects revisions", "SELECT DISTINCT revision_id FROM a_revisions WHERE revision_id NOT IN (SELECT revision_id FROM a_objects)")
+def _(a):
+    return a.revisions.select("revision_id").distinct().join(a.objects.select("revision_id").distinct(), "revision_id", "left_anti")
+
+
+@query("a6_content_multiplicity", "objects", "SELECT content_id, count(*) AS n FROM a_objects WHERE content_id IS NOT NULL GROUP BY content_id HAVING count(*) > 1")
+def _(a):
+    return a.objects.where("content_id IS NOT NULL").groupBy("content_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -142,11 +142,6 @@ def _(a):
     return found(readiness.run_restart(a))
 
 
-@query("q3_archive_commit")
-def _(a):
-    return found(readiness.archive_commit(a)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("q4_archive_restart", "runs checkpoints objects staged", RESTART + """
 UNION ALL SELECT code, subject, related FROM (
   SELECT CASE WHEN execution_context IS NULL THEN 'missing_restart_execution_context' WHEN execution_context <> restart_context THEN 'incompatible_restart_execution_context' END AS code, run_id AS subject, restart_context AS related
@@ -224,14 +219,48 @@ def _(a):
     return out.distinct()
 
 
-@query("c12_purge_plan")
+KEPT = """,
+kept_runs AS (SELECT substr(node, 5) AS run_id FROM got WHERE starts_with(node, 'run|')),
+kept_revisions AS (SELECT substr(node, 5) AS revision_id FROM got WHERE starts_with(node, 'rev|')),
+kept_objects AS (SELECT DISTINCT v.object_id, v.revision_id FROM got JOIN versions v ON v.ordinal = split_part(node, '|', 3)::BIGINT WHERE starts_with(node, 'obj|')),
+kept_heads AS (SELECT DISTINCT head_id FROM a_heads WHERE revision_id IN (SELECT revision_id FROM kept_revisions) OR head_id IN ('head-1', 'head-2')),
+stored AS (SELECT o.*, (object_id, revision_id) IN (SELECT (object_id, revision_id) FROM kept_objects) AS kept FROM a_objects o),
+streams AS (SELECT run_id, retention, 'l' AS t FROM a_log_streams UNION ALL SELECT run_id, retention, 'e' FROM a_events),
+content AS (SELECT content_id, count(*) FILTER (WHERE kept) AS n, min(ordinal) % 1000 AS bytes FROM stored WHERE content_id IS NOT NULL GROUP BY content_id),
+lost AS (
+  SELECT DISTINCT l.target_object AS object_id FROM got g JOIN links l ON g.node = 'obj|' || l.root || '|' || l.owner
+  WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.root = l.root AND n.owner = l.owner AND n.target_object = l.target_object AND n.target_revision IS NOT DISTINCT FROM l.target_revision)
+  UNION SELECT object_id FROM asked q WHERE src IN (SELECT node FROM got) AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.object_id = q.object_id AND (q.revision_id IS NULL OR v.revision_id = q.revision_id)))"""
+
+
+@query("c12_purge_plan", PURGE_TABLES, "WITH RECURSIVE " + REACH + KEPT + """
+SELECT 'reachable' AS what, count(*) FILTER (WHERE kept) AS n FROM stored
+UNION ALL SELECT 'unreachable', count(*) FILTER (WHERE NOT kept) FROM stored
+UNION ALL SELECT 'external', count(DISTINCT object_id) FROM a_externals WHERE object_id IN (SELECT object_id FROM lost)
+UNION ALL SELECT 'purgeable_debug', count(*) FROM streams WHERE run_id IN (SELECT run_id FROM kept_runs) AND retention IN ('debug', 'ephemeral')
+UNION ALL SELECT 'retained_content', count(*) FROM content WHERE n > 0
+UNION ALL SELECT 'omitted_content', count(*) FROM content WHERE n = 0
+UNION ALL SELECT 'duplicated_content', count(*) FROM content WHERE n > 1
+UNION ALL SELECT 'retained_bytes', sum(bytes)::BIGINT FROM content WHERE n > 0
+UNION ALL SELECT 'omitted_bytes', sum(bytes)::BIGINT FROM content WHERE n = 0
+UNION ALL SELECT 'omitted_revisions', count(DISTINCT revision_id) FROM a_revisions WHERE revision_id NOT IN (SELECT revision_id FROM kept_revisions)
+UNION ALL SELECT 'omitted_runs', count(DISTINCT run_id) FROM a_runs WHERE run_id NOT IN (SELECT run_id FROM kept_runs)
+UNION ALL SELECT 'retained_revisions', count(*) FROM kept_revisions
+UNION ALL SELECT 'retained_runs', count(*) FROM kept_runs""")
 def _(a):
     """The plan's counts."""
     sizes = a.objects.where("content_id IS NOT NULL").groupBy("content_id").agg((F.min("ordinal") % 1000).alias("bytes"))
     return purge.plan(a, ROOTS, purge.Policy(), sizes=sizes).summary
 
 
-@query("c13_compacted_rows")
+@query("c13_compacted_rows", PURGE_TABLES + " writes", "WITH RECURSIVE " + REACH + KEPT + """
+SELECT 'objects' AS "table", count(*) FILTER (WHERE kept) AS rows FROM stored
+UNION ALL SELECT 'heads', count(*) FROM a_heads WHERE head_id IN (SELECT head_id FROM kept_heads)
+UNION ALL SELECT 'revisions', count(*) FROM a_revisions WHERE revision_id IN (SELECT revision_id FROM kept_revisions)
+UNION ALL SELECT 'runs', count(*) FROM a_runs WHERE run_id IN (SELECT run_id FROM kept_runs)
+UNION ALL SELECT 'events', count(*) FROM a_events WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))
+UNION ALL SELECT 'writes', count(*) FROM a_writes WHERE run_id IN (SELECT run_id FROM kept_runs)
+UNION ALL SELECT 'log_streams', count(*) FROM a_log_streams WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))""")
 def _(a):
     """Rows of the compacted archive's base tables."""
     from ..operators.lookup import counts
