@@ -8,7 +8,7 @@ until `DEPTH`. Two classes meet at a level with a probability of at least their
 with similarity 0.85 with a probability over 0.8, and eight lose one in a million (at 0.8, one in 200,000). Nodes are
 compared exhaustively, on the shares of equal minwise tokens: pairs that lie more than `MARGIN` under the threshold, four
 standard deviations, are taken for no links. What a node emits is no list of pairs but a forest that connects its
-candidates.
+candidates, as far as the first tree has not connected them already.
 
 Connected candidates are clusters. Every link lies inside a cluster, and there it is decided on full sets: a cluster is
 dealt into blocks of about `BLOCK` classes and each pair of blocks is searched breadth first in one task, which again emits
@@ -25,6 +25,7 @@ gives an empty result; extra columns are not read, and `dedup` returns all of th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,10 +146,10 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     return slim.mapInArrow(over, "doc_id long, text_hash long, n_shingles long, key string, sig binary")
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """(node, key): the leaves of all trees that hold two classes or more, with the sizes they have."""
+def meetings(classes: DataFrame, trees: range) -> DataFrame:
+    """(node, key, size): the leaves of the trees that hold two classes or more."""
     rows = None
-    for tree in range(TREES):
+    for tree in trees:
         one = classes.select(F.xxhash64(F.lit(tree), F.substring("sig", 4 * tree + 1, 4)).alias("node"), F.lit(tree).alias("tree"), "key")
         rows = one if rows is None else rows.unionByName(one)
     leaves = None
@@ -172,11 +173,12 @@ def meetings(classes: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, group: str, size: str, member: str, limit: int) -> DataFrame:
-    """Rows with a `task`: groups up to `limit` are one task; larger ones are dealt into blocks, a task for every two of them."""
+    """Rows with a `task` and their `block`: groups up to `limit` are one task; larger ones are dealt into blocks, a task for
+    every two of them."""
     blocks = F.when(F.col(size) <= limit, F.lit(1)).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
-    rows = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(member, F.lit(5)), F.col("_n")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda other: F.xxhash64(F.col(group), F.least(F.col("_b"), other), F.greatest(F.col("_b"), other)))
-    return rows.withColumn("task", F.explode(F.array_distinct(pairs))).drop("_n", "_b")
+    rows = rows.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64(member, F.lit(5)), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda other: F.xxhash64(F.col(group), F.least(F.col("block"), other), F.greatest(F.col("block"), other)))
+    return rows.withColumn("task", F.explode(F.array_distinct(pairs))).drop("_n")
 
 
 def candidate_forest(sigs: np.ndarray, sizes: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -235,10 +237,40 @@ def link_forest(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(keys: pa.ChunkedArray, found: list[tuple[int, int]]) -> pa.RecordBatch | None:
+def _forest(table: pa.Table, search: Callable[[np.ndarray], list[tuple[int, int]]]) -> pa.RecordBatch | None:
+    """The edges (a, b) of a task that connect what isn't connected elsewhere: not rows with a common label, nor those that a
+    block connects by itself where the task holds two, since each block also is a task of its own. `search` gives a
+    forest of the rows with the given numbers."""
+    n = table.num_rows
+    if n < 2:
+        return None
+    root = list(range(n))
+
+    def joins(a: int, b: int) -> bool:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        root[a] = b
+        return a != b
+
+    if "label" in table.column_names:
+        first: dict[str, int] = {}
+        for i, label in enumerate(table.column("label").to_pylist()):
+            if label is not None:
+                joins(i, first.setdefault(label, i))
+    block = table.column("block").to_numpy()
+    if (block != block[0]).any():
+        for k in np.unique(block):
+            own = np.flatnonzero(block == k)
+            for a, b in search(own):
+                joins(int(own[a]), int(own[b]))
+    found = [(a, b) for a, b in search(np.arange(n)) if joins(a, b)]
     if not found:
         return None
-    names = keys.to_pylist()
+    names = table.column("key").to_pylist()
     return pa.record_batch([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], ["a", "b"])
 
 
@@ -266,16 +298,21 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rows = stage(signatures(docs, rule), "near-signatures")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     classes = stage(classes, "near-classes")
-    leaves = meetings(classes)
 
     def candidates(table: pa.Table):
-        if table.num_rows < 2:
-            return None
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        return _edges(table.column("key"), candidate_forest(sigs, table.column("n").to_numpy(), rule))
+        sizes = table.column("n").to_numpy()
+        return _forest(table, lambda rows: candidate_forest(sigs[rows], sizes[rows], rule))
+
+    def edges(trees: range, labels: DataFrame | None) -> DataFrame:
+        tasks = dealt(meetings(classes, trees), "node", "size", "key", SMALL).select("task", "block", "key").join(classes.select("key", "sig", "n"), "key")
+        if labels is not None:
+            tasks = tasks.join(labels, "key", "left")
+        return stage(grouped(tasks, "task", candidates, "a string, b string"), "near-candidates")
 
-    tasks = dealt(leaves, "node", "size", "key", SMALL).select("task", "key").join(classes.select("key", "sig", "n"), "key")
-    clusters = components(grouped(tasks, "task", candidates, "a string, b string"))
+    # the first tree connects most of a group of copies; the others only add what it left apart
+    first = edges(range(1), None)
+    clusters = components(first.unionByName(edges(range(1, TREES), components(first))))
 
     # full sets, of the clusters' classes only
     sizes = clusters.groupBy("label").count().withColumnRenamed("count", "size")
@@ -295,11 +332,10 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     full = full.groupBy("key").agg(F.first("set").alias("set"), F.first("label").alias("label"), F.first("size").alias("size"))
 
     def links(table: pa.Table):
-        if table.num_rows < 2:
-            return None
-        return _edges(table.column("key"), link_forest([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()], rule))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        return _forest(table, lambda rows: link_forest([sets[i] for i in rows], rule))
 
-    found = grouped(dealt(full, "label", "size", "key", BLOCK).select("task", "key", "set"), "task", links, "a string, b string")
+    found = grouped(dealt(full, "label", "size", "key", BLOCK).select("task", "block", "key", "set"), "task", links, "a string, b string")
     return rows, components(found)
 
 

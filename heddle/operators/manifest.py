@@ -125,6 +125,18 @@ def select(manifest: Manifest, object_id: str, revision_id: str | None = None) -
     return rows
 
 
+def slots(manifest: Manifest) -> DataFrame:
+    """(root, object_id, entries, revision_id): how often each object is in each manifest, and its version where that is one."""
+    rows = manifest.entries.groupBy("root", "object_id").agg(F.count(L(1)).alias("entries"), F.min("revision_id").alias("_r"))
+    return rows.select("root", "object_id", "entries", F.when(C("entries") == 1, C("_r")).alias("revision_id"))
+
+
+def objects_of(archive: Archive, manifest: Manifest) -> Archive:
+    """The archive with only the objects that manifests hold, for listings of their namespaces and schemas."""
+    held = manifest.entries.where("availability = 'envelope_only'").select("object_id", "revision_id").distinct()
+    return archive.replaced(objects=archive.objects.join(held, ["object_id", "revision_id"], "left_semi"))
+
+
 def inspect(archive: Archive, externals: DataFrame | None = None, **which: str) -> Manifest:
     return manifests(archive, root_of(archive, **which), "inspect", externals)
 

@@ -102,3 +102,18 @@ def ready(a: Archive, diagnostics: DataFrame) -> DataFrame:
     """(run_id, ready) of every run."""
     bad = diagnostics.where("severity = 'error'").select(C("subject").alias("run_id")).distinct().withColumn("_bad", L(True))
     return a.runs.select("run_id").distinct().join(bad, "run_id", "left").select("run_id", C("_bad").isNull().alias("ready"))
+
+
+def sound(diagnostics: DataFrame, target: str = "inspect", what: str = "archive") -> DataFrame:
+    """The gate of registries and purge results: they can be inspected when nothing is wrong with them."""
+    if target != "inspect":
+        return diagnostic(diagnostics.sparkSession.range(1), "unsupported_target", L(target), L(what), f"unknown target {target}")
+    return diagnostics.where("severity = 'error'")
+
+
+def purge_result(diagnostics: DataFrame, verified: bool, target: str = "inspect") -> DataFrame:
+    """A purge result can be inspected when its archive was published."""
+    rows = sound(diagnostics, target, "purge_result")
+    if verified or target != "inspect":
+        return rows
+    return rows.unionByName(diagnostic(diagnostics.sparkSession.range(1), "purge_unverified", L("purge_result"), None, "the compacted archive is not verified"))

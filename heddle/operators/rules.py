@@ -247,6 +247,18 @@ def event_batch(events: DataFrame, payload: DataFrame | None = None, write: dict
     return union(checks)
 
 
+def event_batches(events: DataFrame) -> DataFrame:
+    """The rules of atomic appends for many batches at once: `events` also has a `batch`. Each is its first event's run's."""
+    first = events.groupBy("batch").agg(F.min_by("run_id", "ordinal").alias("_first"))
+    mixed = events.join(first, "batch").where("run_id <> _first")
+    repeated = after_first(events.where("sequence IS NOT NULL"), ["batch", "run_id", F.coalesce(C("source"), L("")), "sequence"], ["ordinal"])
+    return union([
+        diagnostic(mixed, "event_batch_run_mismatch", "batch", "run_id", "event batch mixes run {_first} with {run_id}"),
+        diagnostic(repeated, "duplicate_event_sequence", "batch", F.concat_ws("/", "run_id", F.coalesce(C("source"), L("")), "sequence"), "run {run_id} has two events with sequence {sequence}"),
+        diagnostic(events.where(is_secret_value(C("message"))), "credential_like_content", "batch", L("message"), "credential-like content is not allowed"),
+    ])
+
+
 HISTORY = (records, run_parents, run_revisions, event_references, secrets, duplicate_sequences, log_streams, run_records, staging, writes)
 OBJECTS = (object_rows, duplicate_reference_names, duplicate_object_revisions, object_id_conflicts, dangling_references, heads)
 

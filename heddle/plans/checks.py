@@ -182,3 +182,29 @@ def _(a):
 def _(a):
     """How often each code keeps a run from being committed."""
     return readiness.archive_commit(a).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k13_event_batches", "events", f"""
+WITH e AS (SELECT *, 'batch-' || (ordinal - ordinal % 50) AS batch FROM a_events), f AS (SELECT batch, min_by(run_id, ordinal) AS first_run FROM e GROUP BY batch)
+SELECT 'event_batch_run_mismatch' AS code, e.batch AS subject, run_id AS related FROM e JOIN f ON f.batch = e.batch WHERE run_id <> first_run
+UNION ALL SELECT 'duplicate_event_sequence', batch, run_id || '/' || coalesce(source, '') || '/' || sequence FROM (SELECT *, row_number() OVER (PARTITION BY batch, run_id, coalesce(source, ''), sequence ORDER BY ordinal) AS n FROM e WHERE sequence IS NOT NULL) WHERE n > 1
+UNION ALL SELECT 'credential_like_content', batch, 'message' FROM e WHERE {SECRET_VALUE.format('message')}""")
+def _(a):
+    batch = F.concat(F.lit("batch-"), F.col("ordinal") - F.col("ordinal") % 50)
+    return found(rules.event_batches(a.events.withColumn("batch", batch)))
+
+
+@query("e2_stream_repeats", "events", """
+SELECT run_id, coalesce(source, '') AS source, sequence FROM (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(source, ''), sequence ORDER BY ordinal) AS n FROM a_events WHERE sequence IS NOT NULL) WHERE n > 1""")
+def _(a):
+    """Repeats that the stateful stream finds, over all events as files arrive."""
+    from ..staging import shared_dir, stage
+    from ..sources.files import event_stream
+    from ..streaming.events import repeats
+
+    spark = a.events.sparkSession
+    arrived = stage(a.events, "stream-events")
+    out = f"{shared_dir(spark)}/stream-repeats-{arrived.staged_path.rsplit('-', 1)[-1]}"
+    rows = repeats(event_stream(spark, arrived.staged_path))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("run_id string, source string, sequence long, kind string").parquet(out).select("run_id", "source", "sequence")

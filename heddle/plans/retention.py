@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import dag, manifest, purge, readiness, resolve
+from ..operators import dag, manifest, namespaces, purge, readiness, resolve
 from .base import found, query
 from .graphs import KNOWN
 
@@ -78,6 +78,26 @@ def _(a):
     return manifest.header(a, manifest.manifests(a, a.heads))
 
 
+@query("p8_manifest_slots", TABLES, "WITH RECURSIVE " + MANIFEST + " SELECT root, object_id, count(*) AS entries, CASE WHEN count(*) = 1 THEN min(revision_id) END AS revision_id FROM entries GROUP BY root, object_id")
+def _(a):
+    return manifest.slots(manifest.manifests(a, a.heads, "checkout"))
+
+
+@query("m6_manifest_namespaces", TABLES, "WITH RECURSIVE " + MANIFEST + """,
+held AS (SELECT o.* FROM a_objects o WHERE (object_id, revision_id) IN (SELECT (object_id, revision_id) FROM entries WHERE availability = 'envelope_only')),
+first_uuid AS (SELECT ns_id, min_by(ns_uuid, ordinal) AS uuid, min(ordinal) AS since FROM held WHERE ns_uuid <> '' GROUP BY ns_id)
+SELECT o.ns_id, coalesce(any_value(f.uuid), '') AS ns_uuid, max(CASE WHEN f.since IS NULL OR o.ordinal >= f.since THEN o.ns_display END) AS display,
+  string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT schema_id, ',' ORDER BY schema_id) AS schema_ids FROM held o LEFT JOIN first_uuid f ON f.ns_id = o.ns_id GROUP BY o.ns_id""")
+def _(a):
+    held = manifest.objects_of(a, manifest.manifests(a, a.heads))
+    return namespaces.listing(held, with_claims=False).select("ns_id", "ns_uuid", "display", "kinds", "schema_ids")
+
+
+@query("m7_missing_objects", TABLES, "WITH RECURSIVE " + MANIFEST + " SELECT 'missing_manifest_object' AS code, root AS subject, object_id AS related FROM entries WHERE availability = 'missing'")
+def _(a):
+    return found(manifest.validate(manifest.manifests(a, a.heads))).where("code = 'missing_manifest_object'")
+
+
 @query("m5_manifest_record_diagnostics", "edges revisions heads objects refs runs externals", "WITH RECURSIVE " + SIGHT.format(roots="a_heads") + """,
 pairs(source, target) AS (SELECT child, parent FROM known UNION SELECT p.source, k.parent FROM pairs p JOIN known k ON k.child = p.target),
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY ordinal) AS n FROM a_revisions) WHERE n = 1),
@@ -253,6 +273,15 @@ def _(a):
     return purge.plan(a, ROOTS, purge.Policy(), sizes=sizes).summary
 
 
+@query("o7_purge_classes", PURGE_TABLES, "WITH RECURSIVE " + REACH + KEPT + """
+SELECT CASE WHEN kept THEN 'reachable' ELSE 'unreachable' END AS class, object_id, revision_id, content_id FROM stored
+UNION ALL SELECT DISTINCT 'external', object_id, NULL, arg_min_null(content_id, ordinal) FROM a_externals WHERE object_id IN (SELECT object_id FROM lost) GROUP BY object_id
+UNION ALL SELECT 'purgeable_debug', 'log-stream-' || ordinal || '-' || run_id, NULL, NULL FROM a_log_streams WHERE run_id IN (SELECT run_id FROM kept_runs) AND retention IN ('debug', 'ephemeral')
+UNION ALL SELECT 'purgeable_debug', 'event-' || ordinal || '-' || run_id, NULL, NULL FROM a_events WHERE run_id IN (SELECT run_id FROM kept_runs) AND retention IN ('debug', 'ephemeral')""")
+def _(a):
+    return purge.plan(a, ROOTS, purge.Policy()).classes.select("class", "object_id", "revision_id", "content_id")
+
+
 @query("c13_compacted_rows", PURGE_TABLES + " writes", "WITH RECURSIVE " + REACH + KEPT + """
 SELECT 'objects' AS "table", count(*) FILTER (WHERE kept) AS rows FROM stored
 UNION ALL SELECT 'heads', count(*) FROM a_heads WHERE head_id IN (SELECT head_id FROM kept_heads)
