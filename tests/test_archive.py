@@ -225,3 +225,24 @@ def test_portable_refuses_everything_without_a_form():
         portable.capture("d", [bad])
     portable.register_codec("set", frozenset, lambda s: sorted(s), frozenset)
     assert portable.restore(portable.capture("d", [portable.Node("k", None, {"s": frozenset({1, 2})})]))[0].attributes["s"] == frozenset({1, 2})
+
+
+def test_registered_rules(spark):
+    from heddle.functions import values
+
+    values.register("even", lambda tag, v, p, ps: (tag == "integer") & (values.number(v) % 2 == 0))
+    values.register_node("different", lambda attrs, fields: F.try_element_at(attrs, F.get(fields, 0)) != F.try_element_at(attrs, F.get(fields, 1)))
+    tree = spark.createDataFrame([("n1", "k/a", "k/a"), ("n2", "k/a", "k/a")], "node_id string, kind string, expected string")
+    attrs = spark.createDataFrame([("n1", "x", "integer", "3"), ("n1", "y", "integer", "3"), ("n2", "x", "integer", "4"), ("n2", "y", "integer", "5")], "node_id string, key string, tag string, value string")
+    kinds = spark.createDataFrame([("k/a", True)], "kind string, allow_extra boolean")
+    fields = spark.createDataFrame([("k/a", "x", "integer", True, False, [("even", None, None, "odd")])], f"kind string, name string, value_kind string, required boolean, allow_ref boolean, rules {nodes.RULES}")
+    over = spark.createDataFrame([("k/a", "different", ["x", "y"], "")], "kind string, rule string, fields array<string>, message string")
+    got = {(r.subject, r.code, r.related) for r in nodes.validate(tree, attrs, kinds, fields, over).collect()}
+    assert got == {("n1", "validation_rule_failed", "x:even"), ("n1", "node_validation_rule_failed", "different")}
+
+
+def test_sound_registries_and_purges(history):
+    none = rules.validate(history).where("false")
+    assert readiness.sound(none).count() == 0 and [r.code for r in readiness.sound(none, "fly").collect()] == ["unsupported_target"]
+    assert [r.code for r in readiness.purge_result(none, False).collect()] == ["purge_unverified"]
+    assert readiness.purge_result(none, True).count() == 0
