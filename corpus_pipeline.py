@@ -9,6 +9,7 @@ chunking and the packing, so there is no ORACLE_SQL; the tests hold each stage a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heddle.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
 from heddle.llm.common import read_table, stage
@@ -29,7 +30,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.strip(docs)
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    out = substring_dedup.strip(docs, spans=spans)
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars")))
+    return out.drop(spans)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

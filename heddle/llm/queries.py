@@ -48,7 +48,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, spans, n_removed): every document without its repeated passages; n_removed counts bytes."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return substring_dedup.strip(docs, spans=True).withColumn("n_removed", removed)
+    return substring_dedup.strip(docs, spans="spans").withColumn("n_removed", removed)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

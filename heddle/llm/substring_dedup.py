@@ -157,8 +157,8 @@ def cut_out(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]
     return b"".join(kept), gone
 
 
-def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: bool = False) -> DataFrame:
-    """All documents, with their repeated passages removed; with `spans`, also the (start, end) byte spans that went."""
+def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: str | None = None) -> DataFrame:
+    """All documents, with their repeated passages removed; `spans` names a column for the (start, end) byte spans that went."""
     cols = docs.columns
     field = docs.schema["text"]
     with scope():
@@ -186,10 +186,10 @@ def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: bool = False)
                 columns.append(pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
             yield pa.record_batch(columns, out_names)
 
-    out_names = [f"c{k}" for k in range(len(cols))] + ["_spans"] * spans
+    out_names = [f"c{k}" for k in range(len(cols))] + ["_spans"] * bool(spans)
     schema = joined.drop("runs").schema
     if spans:
         schema = schema.add("_spans", _SPANS)
     out = joined.mapInArrow(over, schema)
     named = [F.col(f"c{k}").alias(c) for k, c in enumerate(cols)]
-    return out.select(*named, *([F.col("_spans").alias("spans")] if spans else []))
+    return out.select(*named, *([F.col("_spans").alias(spans)] if spans else []))

@@ -154,7 +154,7 @@ def brute_strip(rows, min_words):
 def test_op8_equals_brute_force(spark):
     docs = corpus(spark, 2)
     keyed = docs.select("doc_id", "text", substring_dedup._key().alias("key")).collect()
-    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in substring_dedup.strip(docs, spans=True).collect()}
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in substring_dedup.strip(docs, spans="spans").collect()}
     want = brute_strip(keyed, substring_dedup.MIN_RUN_WORDS)
     assert {k: v for k, v in got.items() if v} == want
     assert len(got) == docs.count()

@@ -167,6 +167,18 @@ def test_pipeline(spark):
     assert pipeline.run(spark, SF).count() == packed.count()
 
 
+def test_pipeline_stages_take_odd_tables(spark, edge, empty):
+    import corpus_pipeline as pipeline
+
+    odd = edge.withColumn("_hash", edge.doc_id).withColumn("label", edge.text).withColumn("_gone", edge.doc_id).withColumn("spans", edge.text)
+    for name, step in pipeline.STAGES:
+        assert step(spark, empty, SF).count() == 0, name
+        for table in (edge, odd):
+            out = step(spark, table, SF)
+            rows = out.count()  # packing gives pieces, more than one of a long document
+            assert name == "best-fit packing" or (rows <= table.count() and out.columns == table.columns), name
+
+
 def test_every_operator_is_registered():
     names = queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
