@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, scope, stage, unstage
+from .common import grouped, scope, stage
 
 OF = 100
 COORDINATES = 64
 TREES = 8
 BRANCHES = 2
 DEPTH = 3
-SMALL = 600
+SMALL = 4000  # a node's exhaustive comparison takes under a second and 1 MB
 BLOCK = 400
 MARGIN = 0.2
 BROADCAST_KEYS = 500_000
@@ -147,35 +147,34 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def meetings(classes: DataFrame, trees: range) -> DataFrame:
-    """(node, key, size): the leaves of the trees that hold two classes or more."""
+    """(node, key, size): the leaves of the trees that hold classes of two labels or more."""
     rows = None
     for tree in trees:
-        one = classes.select(F.xxhash64(F.lit(tree), F.substring("sig", 4 * tree + 1, 4)).alias("node"), F.lit(tree).alias("tree"), "key")
+        one = classes.select(F.xxhash64(F.lit(tree), F.substring("sig", 4 * tree + 1, 4)).alias("node"), F.lit(tree).alias("tree"), "key", "label")
         rows = one if rows is None else rows.unionByName(one)
     leaves = None
     for level in range(DEPTH):
-        rows = stage(rows, f"near-level{level}")
-        sizes = rows.groupBy("node").count().where("count > 1").withColumnRenamed("count", "size")
-        met = rows.join(sizes, "node")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_a"), F.max("label").alias("_z"))
+        met = rows.join(sizes.where("_a < _z").drop("_a", "_z"), "node")
         done = met if level == DEPTH - 1 else met.where(F.col("size") <= SMALL)
-        done = stage(done.select("node", "key", "size"), f"near-leaves{level}")
+        done = done.select("node", "key", "size")
         leaves = done if leaves is None else leaves.unionByName(done)
         if level == DEPTH - 1:
             break
-        large = met.where(F.col("size") > SMALL).select("node", "tree", "key").join(classes.select("key", "sig"), "key")
+        large = met.where(F.col("size") > SMALL).select("node", "tree", "key", "label").join(classes.select("key", "sig"), "key")
         rows = None
         for b in range(BRANCHES):
             # a tree's coordinates are its own: one each for the roots, then BRANCHES a tree and level
             at = f"4 * ({TREES} + (tree * {DEPTH - 1} + {level}) * {BRANCHES} + {b}) + 1"
-            one = large.select(F.xxhash64("node", F.lit(b), F.expr(f"substring(sig, {at}, 4)")).alias("node"), "tree", "key")
+            one = large.select(F.xxhash64("node", F.lit(b), F.expr(f"substring(sig, {at}, 4)")).alias("node"), "tree", "key", "label")
             rows = one if rows is None else rows.unionByName(one)
     return leaves
 
 
-def dealt(rows: DataFrame, group: str, size: str, member: str, limit: int) -> DataFrame:
+def dealt(rows: DataFrame, group: str, size: str, member: str, limit: int, block: int) -> DataFrame:
     """Rows with a `task` and their `block`: groups up to `limit` are one task; larger ones are dealt into blocks, a task for
     every two of them."""
-    blocks = F.when(F.col(size) <= limit, F.lit(1)).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
+    blocks = F.when(F.col(size) <= limit, F.lit(1)).otherwise(F.ceil(F.col(size) / block)).cast("int")
     rows = rows.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64(member, F.lit(5)), F.col("_n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda other: F.xxhash64(F.col(group), F.least(F.col("block"), other), F.greatest(F.col("block"), other)))
     return rows.withColumn("task", F.explode(F.array_distinct(pairs))).drop("_n")
@@ -259,8 +258,7 @@ def _forest(table: pa.Table, search: Callable[[np.ndarray], list[tuple[int, int]
     if "label" in table.column_names:
         first: dict[str, int] = {}
         for i, label in enumerate(table.column("label").to_pylist()):
-            if label is not None:
-                joins(i, first.setdefault(label, i))
+            joins(i, first.setdefault(label, i))
     block = table.column("block").to_numpy()
     if (block != block[0]).any():
         for k in np.unique(block):
@@ -275,22 +273,28 @@ def _forest(table: pa.Table, search: Callable[[np.ndarray], list[tuple[int, int]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, label): the least key that each key is connected with, by contraction towards least neighbours."""
-    edges = stage(edges.select("a", "b").distinct(), "near-edges")
-    labels = stage(edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct().withColumn("label", F.col("key")), "near-labels")
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").withColumnRenamed("a", "from"), "near-least")
+    """(key, label): the least key that each key is connected with, by contraction towards least neighbours.
 
-        def moved(df, col):
-            out = df.join(least, df[col] == least["from"], "left")
-            return out.withColumn(col, F.coalesce("m", col)).drop("from", "m")
+    A round replaces every key by its least neighbour in the edges that are left; labels follow the rounds' replacements.
+    """
+    keys = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+    moves: list[DataFrame] = []
 
-        new_labels = stage(moved(labels, "label"), "near-labels")
-        new_edges = stage(moved(moved(edges, "a"), "b").where("a <> b").distinct(), "near-edges")
-        unstage(edges, labels, least)
-        edges, labels = new_edges, new_labels
-    return labels
+    def moved(df: DataFrame, col: str, least: DataFrame) -> DataFrame:
+        out = df.join(least, df[col] == least["_from"], "left")
+        return out.withColumn(col, F.coalesce("_to", col)).drop("_from", "_to")
+
+    while True:
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("_to")).where("_to < a").withColumnRenamed("a", "_from"), "near-least")
+        if least.isEmpty():
+            break
+        moves.append(least)
+        edges = stage(moved(moved(edges.select("a", "b"), "a", least), "b", least).where("a <> b").distinct(), "near-edges")
+    labels = keys.withColumn("label", F.col("key"))
+    for least in moves:
+        labels = moved(labels, "label", least)
+    return stage(labels, "near-labels")
 
 
 def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -304,15 +308,15 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         sizes = table.column("n").to_numpy()
         return _forest(table, lambda rows: candidate_forest(sigs[rows], sizes[rows], rule))
 
-    def edges(trees: range, labels: DataFrame | None) -> DataFrame:
-        tasks = dealt(meetings(classes, trees), "node", "size", "key", SMALL).select("task", "block", "key").join(classes.select("key", "sig", "n"), "key")
-        if labels is not None:
-            tasks = tasks.join(labels, "key", "left")
+    def edges(classes: DataFrame, trees: range) -> DataFrame:
+        tasks = dealt(meetings(classes, trees), "node", "size", "key", SMALL, SMALL // 2).select("task", "block", "key")
+        tasks = tasks.join(classes.select("key", "label", "sig", "n"), "key")
         return stage(grouped(tasks, "task", candidates, "a string, b string"), "near-candidates")
 
     # the first tree connects most of a group of copies; the others only add what it left apart
-    first = edges(range(1), None)
-    clusters = components(first.unionByName(edges(range(1, TREES), components(first))))
+    first = edges(classes.withColumn("label", F.col("key")), range(1))
+    known = classes.join(components(first), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    clusters = components(first.unionByName(edges(stage(known, "near-labelled"), range(1, TREES))))
 
     # full sets, of the clusters' classes only
     sizes = clusters.groupBy("label").count().withColumnRenamed("count", "size")
@@ -335,7 +339,7 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         return _forest(table, lambda rows: link_forest([sets[i] for i in rows], rule))
 
-    found = grouped(dealt(full, "label", "size", "key", BLOCK).select("task", "block", "key", "set"), "task", links, "a string, b string")
+    found = grouped(dealt(full, "label", "size", "key", BLOCK, BLOCK).select("task", "block", "key", "set"), "task", links, "a string, b string")
     return rows, components(found)
 
 
@@ -362,5 +366,5 @@ def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         gone = near_groups(docs, rule).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
         gone = stage(gone, "near-gone", keep=True)
     few = gone.count() <= BROADCAST_KEYS
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
