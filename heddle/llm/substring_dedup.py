@@ -5,12 +5,18 @@ A text is cut after each line and, inside lines, after white space wherever the
 passage gets the same inner cuts wherever it stands. Chunks are deduplicated by digest: one copy stays, the one whose
 position number (document hash, then chunk) is least, which is the same document for all chunks of a passage. Chance
 repeats of a few words are no duplicates, so what is removed are runs of neighbouring repeated chunks that together hold
-`MIN_RUN_WORDS` words or more. Where a passage starts or ends inside a line, a few words up to its nearest cut stay.
+`MIN_RUN_WORDS` words or more, and that repeat together: neighbours are joined where both lie in a stretch of the run, of
+`JOINED_WORDS` words or more, which stands in another place too, in this order and without a gap; a run goes if some
+chunks that are joined hold `MIN_RUN_WORDS` words. Chunks that repeat one by one in unrelated documents are no run. A chunk
+that repeats by chance right beside a passage goes with it. Where a passage starts or ends inside a line, a few words up to
+its nearest cut stay.
 
 All that is shuffled for every chunk is a digest and a position, two numbers, pre-aggregated per task. The repeated
 digests then form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they
 are; only chunks that pass are joined with their digest's staying position, by a sort-merge join whose large partitions
-adaptive execution splits. The runs found are joined to the
+adaptive execution splits. The stretches of the runs that come out form bit maps again, so that of all others' stretches
+only the same ones are shuffled: the least stretch from each chunk on, and the least one up to each chunk where that is
+another (`stretches`), which cover what any longer stretch covers. The runs found are joined to the
 documents by broadcast while they number at most `BROADCAST_RUNS` (a few MB), so that no text moves; beyond that by a
 shuffle on the document's key.
 
@@ -31,10 +37,12 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .common import scope, stage
 from .exact_dedup import MAX_BITS, MIN_BITS, bit_maps, in_maps
+from .near_dedup import _INVERSE, _ODD, _mix, _powers
 
 WINDOW = 16
 MASK_BITS = 2
 MIN_RUN_WORDS = 25
+JOINED_WORDS = 16  # about four chunks
 BROADCAST_RUNS = 200_000
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person=b"gear").digest() for b in range(256)), "<u8")
@@ -82,19 +90,40 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_k")
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(_k, digests, words): the chunks of every document, in order."""
+def stretches(found: np.ndarray, words: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first and last chunk of the least stretch of `need` words from each chunk on, and of the least one up to each
+    chunk that ends none of these. Whether a stretch is one of them depends on its own chunks only."""
+    n = len(found)
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(words, dtype=np.int64)))
+    ends = np.searchsorted(sums, sums[:-1] + need)  # past the last chunk
+    first = np.flatnonzero(ends <= n)
+    past = np.flatnonzero(sums >= need)
+    begins = np.searchsorted(sums, sums[past] - need, "right") - 1
+    other = ends[begins] != past
+    first, past = np.concatenate((first, begins[other])), np.concatenate((ends[first], past[other]))
+    with np.errstate(over="ignore"):
+        hashed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(found.view(np.uint64) * _powers(_ODD, n), dtype=np.uint64)))
+        # take the power of its place in the text out of every stretch's sum
+        value = (hashed[past] - hashed[first]) * _powers(_INVERSE, n)[first]
+        value = _mix(value ^ (past - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return value.view(np.int64), first, past - 1
+
+
+def chunks(docs: DataFrame, joined_words: int = JOINED_WORDS) -> DataFrame:
+    """(_k, digests, words, stretches): the chunks of every document, in order, and the digests of its stretches."""
 
     def over(batches):
         for batch in batches:
-            found, counted = [], []
+            found, counted, joined = [], [], []
             for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
                 d, w = digests(raw, cuts(np.frombuffer(raw, np.uint8)))
                 found.append(np.array(d, np.int64)), counted.append(np.array(w, np.int32))
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32()))], ["_k", "digests", "words"])
+                joined.append(stretches(found[-1], counted[-1], joined_words)[0])
+            columns = [pa.array(found, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32())), pa.array(joined, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), *columns], ["_k", "digests", "words", "stretches"])
 
-    return docs.select(_key(), F.col("text").cast("string").alias("text")).mapInArrow(over, "_k long, digests array<long>, words array<int>")
+    return docs.select(_key(), F.col("text").cast("string").alias("text")).mapInArrow(over, "_k long, digests array<long>, words array<int>, stretches array<long>")
 
 
 def _position() -> Column:
@@ -102,40 +131,88 @@ def _position() -> Column:
     return F.col("_k").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(F.col("chunk").cast("long").bitwiseAND(F.lit(0xFFFFFF)))
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """(_k, runs): of every document with some, the runs (first, last chunk, first digest) whose staying copies are elsewhere."""
-    rows = stage(chunks(docs), "substring-chunks")
-    every = rows.select("_k", F.posexplode("digests").alias("chunk", "digest")).select("digest", _position().alias("at"))
-    own = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1").select("digest", "first")
-    own = stage(own, "substring-repeated")
+def _among(places: DataFrame, own: DataFrame) -> DataFrame:
+    """The places whose digest is one of `own`'s, and by a chance of the bit maps a few more."""
     bits = MIN_BITS
     many = own.count()
     while bits < MAX_BITS and bits < 8 * many:
         bits *= 2
+    return in_maps(places, bit_maps(own, "digest", bits), "digest", bits).where("maybe").drop("maybe")
+
+
+def candidates(rows: DataFrame, min_words: int) -> DataFrame:
+    """(_k, runs): of every document with some, the runs of neighbouring chunks whose staying copies are elsewhere, each by itself."""
+    every = rows.select("_k", F.posexplode("digests").alias("chunk", "digest")).select("digest", _position().alias("at"))
+    own = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1").select("digest", "first")
+    own = stage(own, "substring-repeated")
     places = rows.select("_k", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
     places = places.select("_k", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
-    maybe = in_maps(places, bit_maps(own, "digest", bits), "digest", bits).where("maybe").drop("maybe")
-    found = maybe.join(own, "digest").where(_position() != F.col("first"))
+    found = _among(places, own).join(own, "digest").where(_position() != F.col("first"))
     lists = found.groupBy("_k").agg(F.collect_set(F.struct("chunk", "words", "digest")).alias("again"))
 
     def over(batches):
         for batch in batches:
             out = []
             for again in batch.column(1):
-                runs: list[list[int]] = []  # first, last, words, digest
+                runs: list[dict] = []
                 for x in sorted(again.as_py(), key=lambda x: x["chunk"]):
-                    if runs and runs[-1][1] + 1 == x["chunk"]:
-                        runs[-1][1] += 1
-                        runs[-1][2] += x["words"]
+                    if not runs or runs[-1]["first"] + len(runs[-1]["words"]) != x["chunk"]:
+                        runs.append({"first": x["chunk"], "digests": [], "words": []})
+                    runs[-1]["digests"].append(x["digest"]), runs[-1]["words"].append(x["words"])
+                out.append([r for r in runs if sum(r["words"]) >= min_words])
+            yield pa.record_batch([batch.column(0), pa.array(out, _CANDIDATES)], ["_k", "runs"])
+
+    return lists.mapInArrow(over, "_k long, runs array<struct<first:int,digests:array<long>,words:array<int>>>").where("size(runs) > 0")
+
+
+def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
+    """(_k, joined): of every document with some, the stretches (first, last chunk) of its runs that stand in another place too."""
+
+    def over(batches):
+        for batch in batches:
+            for k, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for r in some:
+                    digest, first, last = stretches(np.array(r["digests"], np.int64), np.array(r["words"], np.int32), joined_words)
+                    place = [pa.array((x + r["first"]).astype(np.int32)) for x in (first, last)]
+                    yield pa.record_batch([pa.array(np.full(len(digest), k, np.int64)), pa.array(digest), *place], ["_k", "digest", "first", "last"])
+
+    inside = stage(runs.mapInArrow(over, "_k long, digest long, first int, last int"), "substring-stretches")
+    every = rows.select("_k", F.posexplode("stretches").alias("chunk", "digest"))
+    same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted")).select("digest", _position().alias("at"))
+    same = same.groupBy("digest").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("a < z").select("digest")
+    return inside.join(same, "digest").groupBy("_k").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
+
+
+def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """(_k, runs): of every document with some, the runs (first, last chunk, first digest) that repeat together."""
+    joined_words = max(1, min(JOINED_WORDS, min_words))
+    rows = stage(chunks(docs, joined_words), "substring-chunks")
+    runs = stage(candidates(rows, min_words), "substring-candidates")
+    both = runs.join(together(rows, runs, joined_words), "_k")
+
+    def over(batches):
+        for batch in batches:
+            out = []
+            for some, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                spans: list[list[int]] = []  # unions of stretches with a common chunk
+                for x in sorted(joined, key=lambda x: x["first"]):
+                    if spans and x["first"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], x["last"])
                     else:
-                        runs.append([x["chunk"], x["chunk"], x["words"], x["digest"]])
-                out.append([{"first": r[0], "last": r[1], "digest": r[3]} for r in runs if r[2] >= min_words])
+                        spans.append([x["first"], x["last"]])
+                kept = []
+                for r in some:
+                    a, z = r["first"], r["first"] + len(r["words"]) - 1
+                    if any(a <= x and y <= z and sum(r["words"][x - a : y - a + 1]) >= min_words for x, y in spans):
+                        kept.append({"first": a, "last": z, "digest": r["digests"][0]})
+                out.append(kept)
             yield pa.record_batch([batch.column(0), pa.array(out, _RUNS)], ["_k", "runs"])
 
-    return lists.mapInArrow(over, "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
+    return both.select("_k", "runs", "joined").mapInArrow(over, "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
 
 
 _SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
+_CANDIDATES = pa.list_(pa.struct([("first", pa.int32()), ("digests", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))]))
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("digest", pa.int64())]))
 
 

@@ -160,6 +160,68 @@ def test_op8_equals_brute_force(spark):
     assert len(got) == docs.count()
 
 
+def brute_together(rows, min_words, joined_words):
+    """Of `brute_strip`'s runs, those with `min_words` words that are joined by stretches which stand in another place too."""
+    import numpy as np
+
+    from heddle.llm.substring_dedup import cuts
+
+    chunks, places = {}, collections.defaultdict(set)
+    for r in rows:
+        raw = (r.text or "").encode()
+        ends = cuts(np.frombuffer(raw, np.uint8)).tolist()
+        cs = chunks[r.doc_id] = [(b" ".join(raw[a:b].split()), a, b) for a, b in zip([0, *ends], ends)]
+        for i in range(len(cs)):
+            for j in range(i, len(cs)):
+                places[tuple(c[0] for c in cs[i : j + 1])].add((r.key, i))
+    out = {}
+    for doc_id, runs in brute_strip(rows, min_words).items():
+        for start, end in runs:
+            run = [c[0] for c in chunks[doc_id] if start <= c[1] and c[2] <= end]
+            words, linked = [len(c.split()) for c in run], set()
+            for i in range(len(run)):
+                for j in range(i, len(run)):
+                    if sum(words[i : j + 1]) >= joined_words and len(places[tuple(run[i : j + 1])]) > 1:
+                        linked.update((k, k + 1) for k in range(i, j))
+            best = now = words[0]
+            for k in range(1, len(run)):
+                now = now + words[k] if (k - 1, k) in linked else words[k]
+                best = max(best, now)
+            if best >= min_words:
+                out.setdefault(doc_id, []).append((start, end))
+    return out
+
+
+def spans_of(docs):
+    return {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in substring_dedup.strip(docs, spans="spans").collect()}
+
+
+def test_op8_leaves_chunks_that_repeat_apart(spark):
+    """Texts whose lines stand one by one in unrelated documents, never five of them together."""
+    rnd = random.Random(4)
+    lines = [" ".join(f"u{rnd.randrange(9000)}" for _ in range(6)) for _ in range(20)]
+    texts = [f"own{i} words before\n{x}\nown{i} words after" for i, x in enumerate(lines)]
+    texts += ["\n".join(rnd.sample(lines, 12)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert spans_of(docs) == {i: [] for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op8_runs_repeat_together(spark, seed):
+    """Lines of one to twelve words, empty ones too, in random orders and in common sequences."""
+    rnd = random.Random(seed)
+    lines = ["", *(" ".join(f"l{i}w{k}" for k in range(rnd.randrange(1, 13))) for i in range(25))]
+    texts = []
+    for _ in range(60):
+        at, parts = rnd.randrange(15), [rnd.choice(lines) for _ in range(rnd.randrange(12))]
+        texts.append("\n".join(parts[:5] + lines[at : at + rnd.randrange(10)] + parts[5:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.select("doc_id", "text", substring_dedup._key().alias("key")).collect()
+    want = brute_together(keyed, substring_dedup.MIN_RUN_WORDS, substring_dedup.JOINED_WORDS)
+    assert want and want != brute_strip(keyed, substring_dedup.MIN_RUN_WORDS)
+    assert {k: v for k, v in spans_of(docs).items() if v} == want
+
+
 def test_substrings_resist_insertions(spark):
     rnd = random.Random(3)
     words = [f"v{i}" for i in range(5000)]
