@@ -6,8 +6,8 @@ trees branch the classes: at the root of a tree a class chooses one coordinate,
 node; a node with more than `SMALL` classes is branched again, each of its classes choosing `BRANCHES` further coordinates,
 until `DEPTH`. Two classes meet at a level with a probability of at least their similarity, so one tree alone keeps a pair
 with similarity 0.85 with a probability over 0.8, and eight lose one in a million (at 0.8, one in 200,000). Nodes are
-compared exhaustively, on the shares of equal minwise tokens: pairs that lie more than `MARGIN` under the threshold, four
-standard deviations, are taken for no links. What a node emits is no list of pairs but a forest that connects its
+compared exhaustively, on the shares of equal minwise tokens: pairs that lie more than `MARGIN` under the threshold, six
+standard deviations or more, are taken for no links; that refuses one link in 50 million or fewer, by the binomial tail. What a node emits is no list of pairs but a forest that connects its
 candidates, as far as the first tree has not connected them already.
 
 Connected candidates are clusters. Every link lies inside a cluster, and there it is decided on full sets: a cluster is
@@ -42,7 +42,7 @@ BRANCHES = 2
 DEPTH = 3
 SMALL = 4000  # a node's exhaustive comparison takes under a second and 1 MB
 BLOCK = 400
-MARGIN = 0.2
+MARGIN = 0.3
 BROADCAST_KEYS = 500_000
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -111,6 +112,22 @@ def test_op3_equals_brute_force(spark, edge, monkeypatch, words, percent, small,
         assert sorted(map(tuple, got), key=str) == brute_near(docs.collect(), words, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_op3_floor_refuses_less_than_the_trees(percent):
+    """The same tokens serve all trees, so a link under the floor is lost in each of them."""
+    import numpy as np
+
+    n, p = near_dedup.COORDINATES, percent / 100
+
+    def kept(equal):
+        sigs = np.zeros((2, n), np.uint32)
+        sigs[1, equal:] = 1
+        return near_dedup.candidate_forest(sigs, np.array([100, 100]), near_dedup.Rule(5, percent)) == [(0, 1)]
+
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if not kept(k))
+    assert 0 < lost < 1e-7 < (1 - p) ** near_dedup.TREES
+
+
 def test_near_dedup_keeps_one_of_each(spark, empty):
     docs = corpus(spark)
     kept = near_dedup.dedup(docs, near_dedup.Rule(3, 85))
