@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import weakref
@@ -10,13 +12,17 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _own: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_left: dict[str, SparkSession] = {}  # staged tables that still exist
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset: a temporary one if everything runs in one JVM, else one in the
+    warehouse, which executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     if spark not in _own:
         folder = tempfile.TemporaryDirectory(prefix="heddle-")
         atexit.register(folder.cleanup)
@@ -25,18 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet into the shared folder and reads it again; a lost executor costs only its own tasks."""
+    """Writes `df` as Parquet into the shared folder and reads it again; a lost executor costs only its own tasks. The table
+    is deleted by `unstage`, or when the session's process ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _left[path] = df.sparkSession
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _left.pop(path, None)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path:
-            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in list(_left.items()):
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            _delete(spark, path)
