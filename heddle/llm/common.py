@@ -34,7 +34,7 @@ _scopes: list[list[DataFrame]] = []
 
 @contextmanager
 def scope() -> Iterator[None]:
-    """Tables staged inside are deleted at the end, but for those staged with keep."""
+    """Tables staged inside are deleted at the end; those staged with keep at the end of the scope around it, or with the session."""
     _scopes.append([])
     try:
         yield
@@ -49,8 +49,8 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     small_batches(df.sparkSession)
     out = _stage(df, name)
-    if _scopes and not keep:
-        _scopes[-1].append(out)
+    if len(_scopes) > keep:
+        _scopes[-2 if keep else -1].append(out)
     return out
 
 

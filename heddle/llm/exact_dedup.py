@@ -5,9 +5,14 @@ maps. Pass 2 tests each document's digest against both bit maps: if either bit i
 to it, and the row passes straight through as a group of its own. Only the possibly repeated digests are shuffled,
 grouped and joined. A false positive costs one shuffled row and changes no result.
 
-The bit maps hold at most `MAX_BITS` bits each (16 MB), which is what the broadcast is bounded by; inputs with more than
-MAX_BITS / BITS_PER_ROW documents would fill them, so there every digest counts as possibly repeated: the same code
-then shuffles one slim row a document, and texts still stay where they are.
+The bit maps hold at most `MAX_BITS` bits each (16 MB), which is what a broadcast is bounded by. Inputs with more than
+MAX_BITS / BITS_PER_ROW documents are worked on in ranges of the digest, each with both passes and maps of its own; the staged
+digests are sorted inside their files, so that a range reads its own row groups only and all ranges together read the table
+about once. Pass 1 shuffles counts of positions, some ten bytes a document; whole bit maps from every task would be more as long
+as a task has fewer documents than a map has bytes.
+
+`dedup` returns whole rows. It tests them against maps of the digests that are known to repeat, and shuffles the texts that
+pass; beyond some 100 million different repeated texts these maps, which stay bounded, let most texts pass.
 
 Defined cases: a null text equals the empty text; null doc_ids sort below all others, so a row with an id stays in their
 favour; rows that repeat the same (doc_id, text) form one group with that keep_id, and each of them is marked `kept`
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, owners, salt_of, stage
+from .common import fold_ascii, owners, salt_of, scope, stage
 
 BITS_PER_ROW = 8
 MAX_BITS = 1 << 27
@@ -32,16 +37,21 @@ def digest(text: Column) -> Column:
     return F.sha2(fold_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256)
 
 
-def bloom_bits(n_rows: int) -> int | None:
-    """Bits of each map, a power of two, or None where the bounded maps would be too full to help."""
-    if n_rows * BITS_PER_ROW > MAX_BITS:
-        return None
+def map_bits(n_keys: int) -> int:
+    """Bits of each map for so many keys: a power of two, MAX_BITS at most."""
     bits = MIN_BITS
-    while bits < n_rows * BITS_PER_ROW:
+    while bits < min(MAX_BITS, n_keys * BITS_PER_ROW):
         bits *= 2
     return bits
 
 
+def digest_ranges(n_rows: int) -> list[tuple[str, str]]:
+    """Bounds (from, below) of as many equal ranges of hexadecimal digests as keep each one's maps bounded."""
+    n = max(1, -(-n_rows * BITS_PER_ROW // MAX_BITS))
+    cuts = [format(k * (1 << 60) // n, "015x") for k in range(n)]
+    return list(zip(cuts, [*cuts[1:], "g"]))
+
+
 def _position(key: str, seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(bits))
 
@@ -74,11 +84,16 @@ def in_maps(rows: DataFrame, maps: list[DataFrame], key: str, bits: int) -> Data
     return rows.withColumn("maybe", tests[0] & tests[1]).drop("_b1", "_b2", "_m1", "_m2")
 
 
-def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, bits: int | None) -> DataFrame:
-    """`rows` with a boolean column `maybe`: false proves that only one row of `keys` has this key."""
-    if bits is None:
-        return rows.withColumn("maybe", F.lit(True))
-    return in_maps(rows, bit_maps(keys, key, bits, 2), key, bits)
+def possibly_repeated(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, a staged table, with a boolean column `maybe`: false proves that only one row has this hexadecimal key."""
+    n = rows.count()
+    bounds = digest_ranges(n)
+    bits = map_bits(-(-n // len(bounds)))
+    parts = []
+    for low, high in bounds:
+        part = rows.where((F.col(key) >= low) & (F.col(key) < high))
+        parts.append(stage(in_maps(part, bit_maps(part, key, bits, 2), key, bits), "exact-tested", keep=True))
+    return rows.sparkSession.read.schema(parts[0].schema).parquet(*[p.staged_path for p in parts])
 
 
 def _rank() -> Column:
@@ -86,23 +101,28 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("neg"))
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "exact-keys")
+def _tested(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256, maybe) of every document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
+    with scope():
+        return possibly_repeated(stage(slim.sortWithinPartitions("text_sha256"), "exact-keys"), "text_sha256")
+
+
+def _owners(maybe: DataFrame) -> DataFrame:
+    """(_k, _s, size, _keep): digest, salt, documents and staying doc_id of every group of two or more, a row for each salt."""
+    own = owners(maybe.select("text_sha256", _rank().alias("_rank")), "text_sha256", ["_rank"])
+    return own.select(F.col("text_sha256").alias("_k"), F.col("salt").alias("_s"), "size", (-F.col("first._rank.neg")).alias("_keep"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document."""
-    slim = _keys(docs).withColumn("_rank", _rank())
-    slim = possibly_repeated(slim, slim, "text_sha256", bloom_bits(slim.count()))
+    slim = _tested(docs)
     alone = slim.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    maybe = slim.where("maybe").select("doc_id", "text_sha256", "_rank")
-    own = owners(maybe, "text_sha256", ["_rank"]).select(
-        F.col("text_sha256").alias("_k"), F.col("salt").alias("_s"), "size", (-F.col("first._rank.neg")).alias("_keep")
-    )
+    maybe = slim.where("maybe").withColumn("_rank", _rank())
     found = maybe.withColumn("_salt", salt_of(["_rank"])).join(
-        own, (F.col("text_sha256") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left"
+        _owners(maybe), (F.col("text_sha256") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left"
     )
     many = F.col("size").isNotNull()
     keep = F.when(many, F.col("_keep")).otherwise(F.col("doc_id"))
@@ -120,22 +140,20 @@ def groups(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the largest doc_id, once.
 
-    Texts whose digest is proven unique are neither shuffled nor joined.
+    Texts whose digest isn't among the repeated ones are neither shuffled nor joined.
     """
+    with scope():
+        own = stage(_owners(_tested(docs).where("maybe")), "exact-owners", keep=True)
+    again = own.select(F.col("_k").alias("_sha")).distinct()
+    bits = map_bits(again.count())
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    slim = _keys(docs)
-    bits = bloom_bits(slim.count())
     rows = docs.select(F.struct(*cols).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("_sha"))
-    rows = possibly_repeated(rows, slim.withColumnRenamed("text_sha256", "_sha"), "_sha", bits)
-    maybe = possibly_repeated(slim.withColumnRenamed("text_sha256", "_sha"), slim.withColumnRenamed("text_sha256", "_sha"), "_sha", bits)
-    own = owners(maybe.where("maybe").select("_sha", _rank().alias("_rank")), "_sha", ["_rank"]).select(
-        F.col("_sha").alias("_k"), F.col("salt").alias("_s"), (-F.col("first._rank.neg")).alias("_keep")
-    )
+    rows = in_maps(rows, bit_maps(again, "_sha", bits), "_sha", bits)
     found = (
         rows.where("maybe")
         .withColumn("_rank", _rank())
         .withColumn("_salt", salt_of(["_rank"]))
-        .join(own, (F.col("_sha") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
+        .join(own.drop("size"), (F.col("_sha") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     )
     falsely = found.where(F.col("_k").isNull()).select("_row.*")
     # one row a group, or a few where its id is repeated with the same text
