@@ -1,23 +1,27 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut after each line and, inside lines, after white space wherever the gear hash of the last `WINDOW` bytes has
-`MASK_BITS` zero bits. The hash sees nothing before its window and no other line, so an insertion moves no later cut and a
-passage gets the same inner cuts wherever it stands. Chunks are deduplicated by digest: one copy stays, the one whose
-position number (document hash, then chunk) is least, which is the same document for all chunks of a passage. Chance
-repeats of a few words are no duplicates, so what is removed are runs of neighbouring repeated chunks that together hold
-`MIN_RUN_WORDS` words or more, and that repeat together: neighbours are joined where both lie in a stretch of the run, of
-`JOINED_WORDS` words or more, which stands in another place too, in this order and without a gap; a run goes if some
-chunks that are joined hold `MIN_RUN_WORDS` words. Chunks that repeat one by one in unrelated documents are no run. A chunk
-that repeats by chance right beside a passage goes with it. Where a passage starts or ends inside a line, a few words up to
-its nearest cut stay.
-
-All that is shuffled for every chunk is a digest and a position, two numbers, pre-aggregated per task. The repeated
-digests then form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they
-are; only chunks that pass are joined with their digest's staying position, by a sort-merge join whose large partitions
+`MASK_BITS` zero bits; white space alone is no chunk and belongs to the one before it. The hash sees nothing before its window
+and no other line, so an insertion moves no later cut and a passage gets the same inner cuts wherever it stands. Chunks are
+deduplicated by digest: one copy stays, the first one in the document whose key is least, which is the same document for all
+chunks of a passage. Chance repeats of a few words are no duplicates, so what is removed are runs of neighbouring repeated
+chunks that together hold `MIN_RUN_WORDS` words or more, and that repeat together: neighbours are joined where both lie in a
+stretch of the run, of `JOINED_WORDS` words or more, which stands in another place too, in this order and without a gap; a run
+goes if some chunks that are joined hold `MIN_RUN_WORDS` words. Chunks that repeat one by one in unrelated documents are no run.
+A chunk that repeats by chance right beside a passage goes with it. Where a passage starts or ends inside a line, a few words
+up to its nearest cut stay.
+
+Digests have 64 bits. No text goes by a collision alone, since a run also needs a repeated stretch of four chunks or so: only a
+chunk right beside a true passage could go wrongly, with a probability of the number of chunks in 2^64.
+
+All that is shuffled for every different chunk of a document is its digest and the document's key, two numbers,
+pre-aggregated per task; repeats inside a document are found where it is read. The digests that several documents have then
+form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they are; only
+chunks that pass are joined with their digest's staying document, by a sort-merge join whose large partitions
 adaptive execution splits. The stretches of the runs that come out form bit maps again, so that of all others' stretches
 only the same ones are shuffled: the least stretch from each chunk on, and the least one up to each chunk where that is
 another (`stretches`), which cover what any longer stretch covers. The runs found are joined to the
-documents by broadcast while they number at most `BROADCAST_RUNS` (a few MB), so that no text moves; beyond that by a
+documents by broadcast while they number at most `BROADCAST_RUNS` (16 bytes each), so that no text moves; beyond that by a
 shuffle on the document's key.
 
 Defined cases: null stays null and has no chunks; empty texts and texts without white space are left alone unless all of
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import scope, stage
-from .exact_dedup import MAX_BITS, MIN_BITS, bit_maps, in_maps
+from .exact_dedup import bit_maps, in_maps, map_bits
 from .near_dedup import _INVERSE, _ODD, _mix, _powers
 
 WINDOW = 16
@@ -71,7 +75,11 @@ def cuts(data: np.ndarray) -> np.ndarray:
     begun = np.maximum.accumulate(np.where(line, at + 1, 0))  # where each one's line, or the next one's, starts
     marked = (rolling(data)[at] >> np.uint64(WINDOW - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0
     ends = at[line | marked & (at + 1 - begun >= WINDOW)] + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    if not len(ends) or ends[-1] != len(data):
+        ends = np.append(ends, len(data))
+    written = np.cumsum(~_WHITE[data])[ends - 1]  # so far
+    ends = ends[np.append(written[1:] > written[:-1], True)]  # the next chunk has a word
+    return ends[1:] if len(ends) > 1 and written[0] == 0 else ends
 
 
 def digests(raw: bytes, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -110,44 +118,43 @@ def stretches(found: np.ndarray, words: np.ndarray, need: int) -> tuple[np.ndarr
 
 
 def chunks(docs: DataFrame, joined_words: int = JOINED_WORDS) -> DataFrame:
-    """(_k, digests, words, stretches): the chunks of every document, in order, and the digests of its stretches."""
+    """(_k, digests, words, stretches, doubled): the chunks of every document, in order, their words (negative where the chunk
+    stands earlier in the document), the different digests of its stretches, and those that it has twice."""
 
     def over(batches):
         for batch in batches:
-            found, counted, joined = [], [], []
+            found, counted, joined, doubled = [], [], [], []
             for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
                 d, w = digests(raw, cuts(np.frombuffer(raw, np.uint8)))
-                found.append(np.array(d, np.int64)), counted.append(np.array(w, np.int32))
-                joined.append(stretches(found[-1], counted[-1], joined_words)[0])
-            columns = [pa.array(found, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32())), pa.array(joined, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), *columns], ["_k", "digests", "words", "stretches"])
+                d, w = np.array(d, np.int64), np.array(w, np.int32)
+                once, times = np.unique(stretches(d, w, joined_words)[0], return_counts=True)
+                joined.append(once), doubled.append(once[times > 1])
+                later = np.ones(len(d), bool)
+                later[np.unique(d, return_index=True)[1]] = False
+                found.append(d), counted.append(np.where(later, -w, w))
+            columns = [pa.array(found, _LONGS), pa.array(counted, pa.list_(pa.int32())), pa.array(joined, _LONGS), pa.array(doubled, _LONGS)]
+            yield pa.record_batch([batch.column(0), *columns], ["_k", "digests", "words", "stretches", "doubled"])
 
-    return docs.select(_key(), F.col("text").cast("string").alias("text")).mapInArrow(over, "_k long, digests array<long>, words array<int>, stretches array<long>")
-
-
-def _position() -> Column:
-    """One number for a chunk's place: 40 bits of the document's key, then 24 of the chunk's number."""
-    return F.col("_k").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(F.col("chunk").cast("long").bitwiseAND(F.lit(0xFFFFFF)))
+    slim = docs.select(_key(), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(over, "_k long, digests array<long>, words array<int>, stretches array<long>, doubled array<long>")
 
 
 def _among(places: DataFrame, own: DataFrame) -> DataFrame:
     """The places whose digest is one of `own`'s, and by a chance of the bit maps a few more."""
-    bits = MIN_BITS
-    many = own.count()
-    while bits < MAX_BITS and bits < 8 * many:
-        bits *= 2
+    bits = map_bits(own.count())
     return in_maps(places, bit_maps(own, "digest", bits), "digest", bits).where("maybe").drop("maybe")
 
 
 def candidates(rows: DataFrame, min_words: int) -> DataFrame:
     """(_k, runs): of every document with some, the runs of neighbouring chunks whose staying copies are elsewhere, each by itself."""
-    every = rows.select("_k", F.posexplode("digests").alias("chunk", "digest")).select("digest", _position().alias("at"))
-    own = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1").select("digest", "first")
-    own = stage(own, "substring-repeated")
     places = rows.select("_k", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
     places = places.select("_k", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
-    found = _among(places, own).join(own, "digest").where(_position() != F.col("first"))
+    own = places.where("words > 0").groupBy("digest").agg(F.min("_k").alias("first"), F.max("_k").alias("_z")).where("first < _z").select("digest", "first")
+    own = stage(own, "substring-repeated")
+    others = _among(places.where("words > 0"), own).join(own, "digest").where("_k > first").drop("first")
+    found = others.unionByName(places.where("words < 0").withColumn("words", -F.col("words")))
+    # a chunk inside a document that has it earlier is repeated in any case; the earlier one may be too
     lists = found.groupBy("_k").agg(F.collect_set(F.struct("chunk", "words", "digest")).alias("again"))
 
     def over(batches):
@@ -177,9 +184,10 @@ def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(digest), k, np.int64)), pa.array(digest), *place], ["_k", "digest", "first", "last"])
 
     inside = stage(runs.mapInArrow(over, "_k long, digest long, first int, last int"), "substring-stretches")
-    every = rows.select("_k", F.posexplode("stretches").alias("chunk", "digest"))
-    same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted")).select("digest", _position().alias("at"))
-    same = same.groupBy("digest").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("a < z").select("digest")
+    every = rows.select("_k", F.explode("stretches").alias("digest"), F.lit(False).alias("twice"))
+    every = every.unionByName(rows.where("size(doubled) > 0").select("_k", F.explode("doubled").alias("digest"), F.lit(True).alias("twice")))
+    same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted"))
+    same = same.groupBy("digest").agg(F.min("_k").alias("a"), F.max("_k").alias("z"), F.max("twice").alias("twice")).where("a < z OR twice").select("digest")
     return inside.join(same, "digest").groupBy("_k").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
 
 
@@ -211,8 +219,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     return both.select("_k", "runs", "joined").mapInArrow(over, "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
 
 
+_LONGS = pa.list_(pa.int64())
 _SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
-_CANDIDATES = pa.list_(pa.struct([("first", pa.int32()), ("digests", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))]))
+_CANDIDATES = pa.list_(pa.struct([("first", pa.int32()), ("digests", _LONGS), ("words", pa.list_(pa.int32()))]))
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("digest", pa.int64())]))
 
 
