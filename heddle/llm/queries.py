@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, near_dedup, packing, quality, sharding, substring_dedup, token_count, toxicity
+from . import bpe_codec, exact_dedup, html_extract, near_dedup, packing, quality, sharding, sql, substring_dedup, token_count, toxicity
 from .common import read_table
 
 
@@ -23,11 +24,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
+    found = near_dedup.near_groups(read_table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(read_table(spark, sf_dir, "documents"))
+    found = quality.verdicts(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(read_table(spark, sf_dir, "documents"))[0]
+    """Also stores the map's first version, in a folder of its own, from which a later run can go on."""
+    maps = sharding.map_folder(spark, f"op9-slot-maps-{uuid.uuid4().hex}")
+    return sharding.shards(read_table(spark, sf_dir, "documents"), maps=maps)[0]
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,22 +67,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-OP7_SQL = """
-WITH t AS (
-  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-  FROM documents)
-SELECT doc_id,
-       max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept,
-       text_sha256
-FROM t
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe_codec, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_html_extract, op6_token_count, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_near_dedup": sql.OP3, "op4_quality_rules": sql.op4(), "op7_exact_dedup": sql.OP7, "op9_sharding": sql.OP9}
