@@ -6,8 +6,10 @@ unfinished word, until no word has a pair left. Decoding: token rows join the vo
 their bytes together again.
 
 Only words that a worker has not met lately go through the queries; a bounded table keeps the recent ones. Words above
-`LONG_WORD` bytes would need as many rounds as they have merges over as many rows, so they are merged with a heap of
-pairs instead, in n log n; the result is the same rule's.
+`LONG_WORD` bytes go through the same recursion in batches of their own. There a round contracts all occurrences of a word's
+least pair, from the left and without overlaps, where that is the same as one at a time: where no pair with the new token has a
+lower rank, so none can come first before the last occurrence is gone. A query runs a bounded number of rounds, since a
+recursion keeps the rows of all of them, and the next one goes on with its last rows.
 
 Defined cases: null and empty texts have no tokens; bytes are whatever UTF-8 the text has; repeated rows and ties come out
 alike; an empty table gives an empty result; extra columns are not read.
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LONG_WORD = 48
+LONG_ROWS = 20_000  # bytes of long words in a batch, unless one alone has more
+KEPT_ROWS = 1_500_000  # of all rounds of a query over long words
 CACHE_WORDS = 600_000
 BATCH_WORDS = 30_000
 DUCKDB_MB = 300
@@ -58,6 +61,27 @@ SELECT st.word, string_agg(st.id::VARCHAR, ' ' ORDER BY st.pos) AS ids
 FROM st JOIN (SELECT word, max(round) AS round FROM st GROUP BY word) f ON f.word = st.word AND f.round = st.round
 GROUP BY st.word ORDER BY st.word
 """
+# `n` numbers the neighbouring least pairs of a chain, of which every second one overlaps the one before.
+ENCODE_LONG = """
+WITH RECURSIVE st(round, word, pos, id) AS (
+  SELECT 0, word, pos, id FROM start
+  UNION ALL
+  SELECT round + 1, word, pos, id FROM (
+    SELECT round, word, pos, CASE WHEN merged THEN rank ELSE id END AS id, lag(merged, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone
+    FROM (
+      SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, chain ORDER BY pos) % 2 = 1 AND (calm OR pos = first) AS merged
+      FROM (
+        SELECT *, nth - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS chain, min(pos) FILTER (hit) OVER (PARTITION BY word) AS first
+        FROM (
+          SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY word), false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth
+          FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM st) s
+          LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 20) + s.next_id)))
+    WHERE first IS NOT NULL)
+  WHERE NOT gone AND round < $rounds)
+SELECT st.round, st.word, st.pos, st.id
+FROM st JOIN (SELECT word, max(round) AS round FROM st GROUP BY word) f ON f.word = st.word AND f.round = st.round
+ORDER BY st.word, st.pos
+"""
 DECODE = """
 SELECT t.seq, string_agg(v.hex, '' ORDER BY t.pos) AS hex
 FROM (SELECT seq, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
@@ -95,8 +119,11 @@ class Codec:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        pair = (np.array(left, np.int64) << 20) + np.array(right, np.int64)
-        self._table("merges", pair=pair, rank=np.array(rank, np.int32))
+        left, right, rank = np.array(left, np.int64), np.array(right, np.int64), np.array(rank, np.int32)
+        least = np.full(max(self.pieces) + 1, 1 << 30)  # rank of a pair with the token
+        np.minimum.at(least, left, rank)
+        np.minimum.at(least, right, rank)
+        self._table("merges", pair=(left << 20) + right, rank=rank, calm=least[rank] > rank)
         self._table("vocabulary", id=np.array(list(self.pieces), np.int32), hex=[p.hex() for p in self.pieces.values()])
         self.ids: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
@@ -125,10 +152,10 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
         self.db.unregister("source")
 
-    def _query(self, sql: str, name: str, **columns) -> list[tuple]:
+    def _query(self, sql: str, name: str, given: dict | None = None, **columns):
         self.db.register(name, pa.table(columns))
         try:
-            return self.db.execute(sql).fetchall()
+            return self.db.execute(sql, given).fetchall() if given is None else self.db.execute(sql, given).fetchnumpy()
         finally:
             self.db.unregister(name)
 
@@ -137,9 +164,16 @@ class Codec:
         raw = [w.encode() for w in words]
         out: list[str] = [""] * len(raw)
         short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
+        part, size = [], 0
         for i, b in enumerate(raw):
             if len(b) > LONG_WORD:
-                out[i] = " ".join(map(str, self._merge(b)))
+                if size + len(b) > LONG_ROWS and part:
+                    self._encode_long(raw, part, out)
+                    part, size = [], 0
+                part.append(i)
+                size += len(b)
+        if part:
+            self._encode_long(raw, part, out)
         for a in range(0, len(short), BATCH_WORDS):
             part = short[a : a + BATCH_WORDS]
             data = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
@@ -150,26 +184,19 @@ class Codec:
                 out[part[k]] = ids
         return out
 
-    def _merge(self, word: bytes) -> list[int]:
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        parts = [bytes([b]) for b in word]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        ranks = self.ranks
-        heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, size = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= len(ids) or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i] += parts[j]
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and (b := after[a]) < len(ids) and (r := ranks.get(parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-        return [x for x in ids if x >= 0]
+    def _encode_long(self, raw: list[bytes], part: list[int], out: list[str]) -> None:
+        size = np.array([len(raw[i]) for i in part])
+        word, pos = np.repeat(np.array(part, np.int32), size), (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        ids = self.byte_id[np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)]
+        while len(word):
+            rounds = max(2, KEPT_ROWS // len(word))
+            rows = self._query(ENCODE_LONG, "start", {"rounds": rounds}, word=word, pos=pos, id=ids)
+            word, pos, ids = (np.asarray(rows[c], np.int32) for c in ("word", "pos", "id"))
+            open_ = np.asarray(rows["round"]) == rounds
+            done, at = np.unique(word[~open_], return_index=True)
+            for i, some in zip(done.tolist(), np.split(ids[~open_], at[1:])):
+                out[i] = " ".join(map(str, some.tolist()))
+            word, pos, ids = word[open_], pos[open_], ids[open_]
 
     def decode_sequences(self, sequences: list[str]) -> list[bytes]:
         """Bytes of each sequence of decimal ids."""
