@@ -3,12 +3,13 @@
 Words written in leetspeak, with letters spaced out or repeated, are restored before they are scored. An observed token is
 a lattice: each character offers its own letter, the letters that it stands for in leetspeak, or nothing (a separator, or
 the repetition of the letter before it), each at a channel cost. Viterbi decoding finds the path of least total cost under
-a character trigram model, whose counts are gathered from all words of all documents. Plain alphabetic tokens have one
-path and are taken as they are; runs of single characters are decoded as one token.
+a character trigram model, whose counts are gathered from all words of all documents. What is decoded: tokens with other signs
+than letters, alphabetic tokens with two equal letters side by side, and runs of three or more single characters, as one token.
+All other tokens have one path only. A token that is decoded counts as written, too.
 
 The classifier is a logistic regression on whether a text has certain words or word beginnings (4 to 6 letters), raw or
 restored. They are chosen, by chi-square, and weighed on labelled rows outside the held-out fold, of which at most
-`LABELLED` are used, those with the least hash of doc_id.
+`LABELLED` are used, those with the least hash of doc_id, each with one text.
 
 Defined cases: null and empty texts score the model's prior; without labels of both kinds every score is the share of
 toxic ones, smoothed; repeated doc_ids get a row each; a label that is null is not used; an empty table gives an empty
@@ -38,8 +39,8 @@ TRAIL = ".,;:!?\"'()[]{}*$%&#|<>+=~`^_-/\\…»«"
 LEAD = ".,;:?\"'[]{}*%&#<>=~`^_-/\\…»«"
 LEET_COST, DROP_COST, LEET_DROP_COST, REPEAT_COST, FIRST_REPEAT_COST = 1.5, 1.0, 6.0, 0.2, 4.0
 LETTERS = 28  # 0: outside a word, 1-26: a-z, 27: any other letter
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t.\-_*]{1,2}[^\s.\-_*]){3,}(?!\S)")
-TRIPLE = re.compile(r"\S*([^\W\d_])\1\1\S*")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t.\-_*]{1,2}[^\s.\-_*]){2,}(?!\S)")
+DOUBLE = re.compile(r"\S*([^\W\d_])\1\S*")
 
 
 def letter(c: str) -> int:
@@ -149,7 +150,7 @@ class Reader:
                 out.add(word)
             elif word and not word.isdigit():
                 odd.add(word)
-        odd.update(m.group().rstrip(TRAIL).lstrip(LEAD) for m in TRIPLE.finditer(" ".join(out)))
+        odd.update(m.group().rstrip(TRAIL).lstrip(LEAD) for m in DOUBLE.finditer(" ".join(out)))
         if sum(len(t) == 1 for t in out) + len(odd) > 1:
             odd.update(re.sub(r"[\s.\-_*]+", "", m.group()) for m in SPACED.finditer(low))
         for token in odd:
@@ -192,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> Model:
     sample = usable.groupBy(F.col("doc_id").alias("_d")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("_d"), "_d").limit(LABELLED)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_d"))
-    rows = stage(rows.select("text", "toxic"), "toxic-sample")
+    # an id may be repeated any number of times
+    one = rows.groupBy("_d").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t"), F.first("toxic").alias("toxic"))
+    rows = stage(one.select("t.text", "toxic"), "toxic-sample")
     kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = kinds.get(1, 0), kinds.get(0, 0)
     if not bad or not good:
