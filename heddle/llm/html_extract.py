@@ -4,7 +4,8 @@ Every block element and every run of text is a node with a hidden label, content
 is a log-linear function of its tag, its class and id words, its text length, link share and sentence marks; each parent
 and child share a potential by the pair of their labels and whether the child is a run of text. Sum-product message
 passing, once upward and once downward, gives every node's exact marginal, and the text runs whose content marginal
-exceeds one half are the main text, in page order.
+exceeds one half are the main text, in page order. Inline elements are part of their block's run, but for those whose class or
+id hints at an advert or the like: these are nodes of their own, and their text is left out of the run if it is boilerplate.
 
 Both kinds of potential are trained here from labelled pages: `labelled_pages` deals a bounded number of pages from
 layouts written below, in which what belongs to the article is marked; the model is fitted once on the driver and sent
@@ -31,7 +32,8 @@ BLOCKS = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre "
     "nav header footer aside form fieldset figure figcaption address details summary dialog menu hr center".split()
 )
-DROPPED = set("script style head noscript template iframe svg math object select textarea button canvas audio video datalist option title".split())
+DROPPED = set("script style noscript template iframe svg object select textarea button canvas audio video datalist title".split())
+RAW = set("script style textarea title iframe noscript".split())  # only their own end tag ends them
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 # What opening a tag closes, as far up as the nearest of the second set.
 CLOSES = {
@@ -43,23 +45,32 @@ CLOSES = {
     "td": ({"td", "th", "p"}, {"tr", "table"}),
     "th": ({"td", "th", "p"}, {"tr", "table"}),
 }
-TAGS = "body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre nav header footer aside form figure figcaption address details dialog menu".split()
+TAGS = "body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre nav header footer aside form figure figcaption address details summary dialog menu".split()
 HINTS = (
     "nav menu header footer head foot sidebar side aside ad ads advert sponsor promo banner cookie consent notice alert popup modal comment comments reply "
     "discussion share social related recommend breadcrumb crumbs form login search newsletter subscribe signup copyright legal widget toolbar pager pagination "
     "tags meta byline article content main post entry body story text page wrapper container title caption"
 ).split()
+# Hints by which an inline element is a node of its own.
+SET_APART = set("ad ads advert sponsor promo banner cookie consent notice alert popup modal share social related recommend newsletter subscribe signup login".split())
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "hints", "parent", "pieces", "text", "linked", "mark")
+    __slots__ = ("tag", "hints", "parent", "pieces", "text", "linked", "mark", "within")
 
     def __init__(self, tag, hints, parent, mark=False):
         self.tag, self.hints, self.parent, self.mark = tag, hints, parent, mark
-        self.pieces: list[str] | None = None
+        self.pieces: list[str | Node] | None = None
         self.text, self.linked = "", 0
+        self.within = False  # a run inside another run
+
+    def read(self, content: set) -> str:
+        """The run's text with that of the content runs inside it."""
+        if all(type(p) is str for p in self.pieces):
+            return self.text
+        return SPACE.sub(" ", "".join(p if type(p) is str else f" {p.read(content)} " if p in content else " " for p in self.pieces)).strip()
 
 
 class Dom(HTMLParser):
@@ -69,24 +80,64 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", (), -1)]
         self.open = [0]
+        self.count: dict[str, int] = {}  # open elements by tag
         self.run: Node | None = None
+        self.apart: list[list] = []  # open inline nodes: tag, elements open outside, the run around, the same tag inside
         self.skip: list[str] = []
         self.links = 0
 
-    def flush(self):
+    def end_run(self):
         run, self.run = self.run, None
         if run is not None:
-            run.text = SPACE.sub(" ", "".join(run.pieces)).strip()
+            run.text = SPACE.sub(" ", "".join(p if type(p) is str else " " for p in run.pieces)).strip()
             if run.text:
                 self.nodes.append(run)
+        return run
+
+    def end_runs(self):
+        """A block starts or ends: the open run ends, and those around the inline nodes that it is in."""
+        inner = self.run
+        for x in self.apart:
+            self.run, x[2] = x[2], None
+            self.end_run()
+        self.run = inner
+        self.end_run()
+
+    def end_apart(self):
+        """Closes the innermost inline node; its run is part of the run around it."""
+        _, depth, around, _ = self.apart.pop()
+        run = self.end_run()
+        self.shut(depth)
+        self.run = around
+        if run is not None and run.text:
+            run.within = True
+            self.append(run)
+
+    def append(self, piece):
+        if self.run is None:
+            self.run = Node("#text", (), self.open[-1])
+            self.run.pieces = []
+        self.run.pieces.append(piece)
+
+    def shut(self, depth):
+        for k in self.open[depth:]:
+            self.count[self.nodes[k].tag] -= 1
+        del self.open[depth:]
+        while self.apart and self.apart[-1][1] >= depth:
+            self.apart.pop()
+
+    def element(self, tag, attrs):
+        words = [w for name, value in attrs if value and name in ("class", "id", "role") for w in WORD.findall(value.lower())]
+        hints = tuple({HINT_AT[w] for w in words if w in HINT_AT})
+        self.nodes.append(Node(tag, hints, self.open[-1], any(n == "data-main" for n, _ in attrs)))
+        self.open.append(len(self.nodes) - 1)
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag == self.skip[-1] and tag not in EMPTY:
+            if tag not in EMPTY and self.skip[0] not in RAW:
                 self.skip.append(tag)
-            if not (tag == "body" and self.skip == ["head"]):
-                return
-            self.skip.clear()
+            return
         if tag in DROPPED:
             self.skip.append(tag)
             return
@@ -95,52 +146,71 @@ class Dom(HTMLParser):
                 self.handle_data(" ")
             elif tag == "a":
                 self.links += 1
+            if tag not in EMPTY and any(w in SET_APART for name, value in attrs if value and name in ("class", "id") for w in WORD.findall(value.lower())):
+                around, self.run = self.run, None
+                self.apart.append([tag, len(self.open), around, 0])
+                self.element(tag, attrs)
+            elif self.apart and self.apart[-1][0] == tag:
+                self.apart[-1][3] += 1
             return
-        self.flush()
+        self.end_runs()
         closes, until = CLOSES.get(tag, ((), ()))
-        for k in range(len(self.open) - 1, 0, -1):
-            at = self.nodes[self.open[k]].tag
-            if at in closes:
-                del self.open[k:]
-            elif at in until:
-                break
+        if any(self.count.get(c) for c in closes):
+            for k in range(len(self.open) - 1, 0, -1):
+                at = self.nodes[self.open[k]].tag
+                if at in closes:
+                    self.shut(k)
+                elif at in until:
+                    break
         if tag in EMPTY:
             return
         self.links = 0
-        words = [w for name, value in attrs if value and name in ("class", "id", "role") for w in WORD.findall(value.lower())]
-        hints = tuple({HINT_AT[w] for w in words if w in HINT_AT})
-        self.nodes.append(Node(tag, hints, self.open[-1], any(n == "data-main" for n, _ in attrs)))
-        self.open.append(len(self.nodes) - 1)
+        self.element(tag, attrs)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in EMPTY and self.skip and self.skip[-1] == tag:
+            self.skip.pop()  # as in <svg/>
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-            return
+            if tag in self.skip:
+                del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
+                return
+            if self.skip[0] in RAW or tag not in BLOCKS or not self.count.get(tag):
+                return
+            self.skip.clear()  # a block around it ends, so what was dropped was never closed
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag not in BLOCKS:
+            if self.apart and self.apart[-1][0] == tag:
+                self.apart[-1][3] -= 1
+                if self.apart[-1][3] < 0:
+                    self.end_apart()
+            return
+        if not self.count.get(tag):
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.nodes[self.open[k]].tag == tag:
-                self.flush()
-                del self.open[k:]
+                while self.apart and self.apart[-1][1] > k:
+                    self.end_apart()
+                self.end_runs()
+                self.shut(k)
                 self.links = 0
                 return
 
     def handle_data(self, data):
         if self.skip:
             return
-        if self.run is None:
-            self.run = Node("#text", (), self.open[-1])
-            self.run.pieces = []
-        self.run.pieces.append(data)
+        self.append(data)
         if self.links:
             self.run.linked += len(data)
 
     def finish(self):
         self.close()
-        self.flush()
+        while self.apart:
+            self.end_apart()
+        self.end_run()
         return self.nodes
 
 
@@ -212,7 +282,8 @@ class Model:
             return ""
         if all(n.tag in ("#root", "#text") for n in nodes):  # no markup to tell anything apart
             return "\n\n".join(n.text for n in nodes[1:])
-        return "\n\n".join(n.text for n, m in zip(nodes, self.marginals(nodes)) if n.text and m > 0.5)
+        content = {n for n, m in zip(nodes, self.marginals(nodes)) if n.text and m > 0.5}
+        return "\n\n".join(n.read(content) for n in nodes if n in content and not n.within)
 
 
 def labelled_pages(seed: int = 7, count: int = TRAINING_PAGES) -> list[str]:
@@ -233,19 +304,23 @@ def labelled_pages(seed: int = 7, count: int = TRAINING_PAGES) -> list[str]:
         text = " ".join(sentence(r.randint(2, 18)) for _ in range(r.randint(1, 6)))
         if r.random() < 0.25:
             text = f'<b>{words(2)}</b> {text} <a href="/x">{words(2)}</a> {sentence(4)}'
-        if r.random() < 0.15:
-            text = words(r.randint(1, 4))
+        if r.random() < 0.2:
+            text = r.choice([words(r.randint(1, 4)), sentence(r.randint(1, 4))])
+        if r.random() < 0.05:
+            text += f' <span class="{r.choice(["ad", "advert", "promo", "sponsor", "ad-inline", "share"])}">{words(r.randint(2, 6))}</span> {sentence(5)}'
         return r.choice(["<p data-main>{}</p>", "<p data-main>{}</p>", "<p data-main>{}", "<p data-main><b>{}<br>"]).format(text)
 
     def article():
-        parts = [f"<h{r.choice('1112')} data-main>{words(r.randint(2, 9))}</h1>".replace("</h1>", "")] if r.random() < 0.9 else []
+        parts = [f"<h{r.choice('1112')} data-main>{words(r.randint(2, 9))}</h1>".replace("</h1>", "")] if r.random() < 0.75 else []
         parts = [p + "</h1></h2>" for p in parts]
         if parts and r.random() < 0.25:
             parts = [f"<header data-main>{parts[0]}</header>"]
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9])):
             x = r.random()
-            if x < 0.8:
+            if x < 0.7:
                 parts.append(paragraph())
+            elif x < 0.8:
+                parts.append(other())
             elif x < 0.86:
                 parts.append(f"<h{(k := r.choice('234'))} data-main>{words(r.randint(1, 5))}</h{k}>")
             elif x < 0.92:
@@ -260,6 +335,17 @@ def labelled_pages(seed: int = 7, count: int = TRAINING_PAGES) -> list[str]:
                 parts.append(boilerplate(r.choice(["ad", "share", "related", "form"])))
         return "".join(parts)
 
+    def other():
+        """Blocks of the less common kinds."""
+        text = r.choice([sentence(r.randint(2, 14)), words(r.randint(1, 6)), " ".join(sentence(9) for _ in range(3))])
+        return r.choice([
+            "<pre data-main>{}</pre>", "<pre data-main><code>{}</code></pre>", "<address data-main>{}</address>", "<center data-main>{}</center>", "<div data-main>{}</div>",
+            "<dl data-main><dt data-main>{}<dd data-main>{}</dl>", "<dl data-main><dt data-main>{}</dt><dd data-main>{}</dd></dl>", "<ol data-main><li data-main>{}<li data-main>{}</ol>",
+            "<details data-main><summary data-main>{}</summary><p data-main>{}</p></details>", "<section data-main><h2 data-main>{}</h2><p data-main>{}</p></section>",
+            "<div data-main><p data-main>{}</p></div>", "<dialog data-main>{}</dialog>", "<p data-main>{}<hr><p data-main>{}", "<blockquote data-main>{}</blockquote>",
+            "<figure data-main><p data-main>{}</p><figcaption data-main>{}</figcaption></figure>", "<table data-main><tr data-main><th data-main>{}<td data-main>{}</table>",
+        ]).replace("{}", "\x00").replace("\x00", text, 1).replace("\x00", sentence(r.randint(3, 12)))
+
     def boilerplate(kind):
         body = r.choice([sentence(r.randint(3, 25)), f"<p>{sentence(r.randint(3, 20))}</p>", f"<p>{sentence(12)}</p><p>{sentence(7)}</p>"])
         names = {
@@ -294,7 +380,9 @@ def labelled_pages(seed: int = 7, count: int = TRAINING_PAGES) -> list[str]:
     out = []
     for _ in range(count):
         inner = article()
-        shape = r.choice(["<article data-main>{}</article>"] * 4 + ["<main data-main><article data-main>{}</article></main>", "<main data-main>{}</main>", '<div class="content" data-main>{}</div>', '<div id="main" data-main><div class="post-body" data-main>{}</div></div>', '<section class="entry" data-main>{}</section>', '<div class="story" data-main>{}</div>', "<div data-main>{}</div>"])
+        shape = r.choice(["<article data-main>{}</article>"] * 4 + ["<main data-main><article data-main>{}</article></main>", "<main data-main>{}</main>", '<div class="content" data-main>{}</div>', '<div id="main" data-main><div class="post-body" data-main>{}</div></div>', '<section class="entry" data-main>{}</section>', '<div class="story" data-main>{}</div>', *["<div data-main>{}</div>"] * 2, *["<div data-main><div data-main>{}</div></div>"] * 2, "<div data-main>" * (k := r.randint(3, 30)) + "{}" + "</div>" * k, "{}"])
+        if shape == "{}":  # blocks right in the body
+            inner = "".join(f"<div data-main>{sentence(r.randint(6, 20))}</div>" for _ in range(r.randint(1, 4))) if r.random() < 0.6 else inner
         before = [boilerplate(k) for k in ("nav", "header", "notice", "ad") if r.random() < 0.6]
         after = [boilerplate(k) for k in ("sidebar", "comments", "related", "share", "form", "footer", "ad", "notice") if r.random() < 0.5]
         r.shuffle(before)

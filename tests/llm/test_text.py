@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from heddle.llm import html_extract, quality, queries, toxicity
 from tests.conftest import SF
@@ -67,6 +69,55 @@ def test_op5_takes_the_article(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+LONG = "It was a long day in the valley, and the people of the town went down to the river to see the boats come in."
+SITE = (
+    '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>{}'
+    "<footer>&copy; 2024 Site. All rights reserved.</footer></body></html>"
+)
+# Layouts written by hand, none from the generator that the model is trained on: name, page, blocks of the main text.
+LAYOUTS = [
+    ("open head", f"<html><head><title>x</title><p>{LONG}<p>{LONG}", [LONG, LONG]),
+    ("short", SITE.format("<article><p>A text.</p></article>"), ["A text."]),
+    ("pre", SITE.format(f"<article><h1>Title here</h1><p>{LONG}</p><pre>x = 1\n  y = 2</pre><p>{LONG}</p></article>"), ["Title here", LONG, "x = 1 y = 2", LONG]),
+    ("inline advert", SITE.format(f'<article><p>{LONG} <span class="ad">Buy <span>shoes</span> now</span> {LONG}</p></article>'), [f"{LONG} {LONG}"]),
+    ("inline element", SITE.format(f'<article><p>{LONG} <span class="quote">he said</span> {LONG}</p></article>'), [f"{LONG} he said {LONG}"]),
+    ("block in inline advert", SITE.format(f'<article><p>{LONG}</p><span class="advert"><div>Buy it now</div></span><p>{LONG}</p></article>'), [LONG, LONG]),
+    ("terms", SITE.format(f"<main><h1>Words</h1><dl><dt>Term</dt><dd>{LONG}</dd><dt>Other</dt><dd>A text.</dd></dl></main>"), ["Words", "Term", LONG, "Other", "A text."]),
+    ("details", SITE.format(f"<article><p>{LONG}</p><details><summary>More</summary><p>{LONG}</p></details></article>"), [LONG, "More", LONG]),
+    ("address", SITE.format(f"<article><p>{LONG}</p><address>Some Street 5, Town</address></article>"), [LONG, "Some Street 5, Town"]),
+    ("formula", SITE.format(f"<article><p>{LONG} where <math><mi>x</mi></math> is known.</p></article>"), [f"{LONG} where x is known."]),
+    ("plain divs", SITE.format(f"<div><div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div></div>"), [LONG, LONG]),
+    ("blog", f'<body><div id="page"><div class="header">Site name</div><div class="menu"><a href=1>One</a> <a href=2>Two</a></div><div class="post"><h2>Head</h2><p>{LONG}</p></div><div class="sidebar"><h3>Links</h3><p>{LONG}</p></div></div></body>', ["Head", LONG]),
+    ("table", SITE.format(f"<article><p>{LONG}</p><table><tr><th>Name</th><td>Value</td></tr></table></article>"), [LONG, "Name", "Value"]),
+    ("comments", SITE.format(f'<article><p>{LONG}</p><p>{LONG}</p></article><div id="comments"><h3>3 comments</h3><div class="comment"><p>{LONG}</p></div></div>'), [LONG, LONG]),
+    ("notice", f'<body><div class="cookie-banner"><p>We use cookies to make this site better for you.</p><button>OK</button></div><article><h1>Hi</h1><p>{LONG}</p></article>', ["Hi", LONG]),
+    ("form", SITE.format(f'<article><h1>Hi</h1><p>{LONG}</p></article><form class="newsletter"><p>Subscribe to our letter</p><input><button>Go</button></form>'), ["Hi", LONG]),
+    ("open button", SITE.format(f'<div class="share"><button>Share</div><article><p>{LONG}</p></article>'), [LONG]),
+    ("options", f"<body><select><option>One<option>Two</select><article><p>{LONG}</p></article>", [LONG]),
+    ("section", SITE.format(f"<section><h1>Title</h1><p>{LONG}</p></section><aside><p>{LONG}</p></aside>"), ["Title", LONG]),
+    ("list", SITE.format(f"<article><h1>Ten things</h1><ol><li>{LONG}</li><li>A text.</li></ol></article>"), ["Ten things", LONG, "A text."]),
+    ("divs in the body", f"<body><div>{LONG}</div><div>{LONG}</div></body>", [LONG, LONG]),
+    ("related inside", SITE.format(f'<article><p>{LONG}</p><div class="related"><h4>Read also</h4><ul><li><a href=x>Some other story</a></li></ul></div><p>{LONG}</p></article>'), [LONG, LONG]),
+    ("quotation", SITE.format(f"<article><blockquote>{LONG}</blockquote><p>A text.</p></article>"), [LONG, "A text."]),
+    ("figure", SITE.format(f"<article><figure><img src=x><figcaption>A boat in the river.</figcaption></figure><p>{LONG}</p></article>"), ["A boat in the river.", LONG]),
+    ("paragraphs only", f"<p>{LONG}<p>A text.", [LONG, "A text."]),
+    ("deep", "<div>" * 3000 + f"<p>{LONG}</p>" + "</div>" * 3000, [LONG]),
+]
+
+
+@pytest.mark.parametrize("name,html,blocks", LAYOUTS, ids=[x[0] for x in LAYOUTS])
+def test_op5_hand_made_layouts(name, html, blocks):
+    assert html_extract.trained().extract(html) == "\n\n".join(blocks)
+
+
+def test_op5_long_and_misnested_pages():
+    """In a time that grows with the page's length."""
+    began = time.time()
+    assert html_extract.trained().extract("<div>" * 20000 + "<p>a</b></i></x></td>" * 20000) is not None
+    assert html_extract.trained().extract(f"<article><p>{LONG * 3000}</p></article>") == LONG * 3000
+    assert time.time() - began < 30
+
+
 def test_op5_held_out_pages():
     model, hits = html_extract.trained(), Counter()
     for page in html_extract.labelled_pages(seed=123, count=120):
@@ -117,13 +168,85 @@ def test_op2_held_out_and_disguised(spark, edge, empty):
     costs = toxicity.language_model(docs)
     model = toxicity.train(docs, labels, costs)
     reader = toxicity.Reader(costs)
-    for said in ("er m0r0n an", "er mooooron an", "er i d i o t an", "er 1d1ot an", "er $cum an", "er m.o.r.o.n an"):
+    for said in ("er iidiot an", "er moroon an", "er idioot an", "er s c u m an", "er m0r0n an", "er mooooron an", "er i d i o t an", "er 1d1ot an", "er $cum an", "er m.o.r.o.n an"):
         assert model.score(reader.words(said)) > 0.5 > model.score(reader.words("er than an 12 a.b")), said
     assert toxicity.scores(empty, labels).count() == 0
     assert toxicity.scores(edge, labels).count() == edge.count()
     assert toxicity.scores(edge, labels.where("false")).select("score").distinct().collect()[0][0] == 0.5
 
 
+def test_op2_spaced_out_threes(spark):
+    reader = toxicity.Reader(toxicity.language_model(insulting(spark)[0]))
+    assert "ann" in reader.words("er a n n er") or "an" in reader.words("er a n n er")
+    assert not {"er", "ab"} - reader.words("er ab") and "abc" not in reader.words("er ab c er")
+
+
+def brute_restore(token, costs):
+    """Over all paths of the lattice: of the least cost, and of those the first word."""
+    import itertools
+
+    best = None
+    for path in itertools.product(*toxicity.lattice(token)):
+        word, total, a, b = "", 0.0, 0, 0
+        for out, channel in path:
+            total += channel
+            if out:
+                x = toxicity.letter(out)
+                total += costs[a][b][x]
+                a, b, word = b, x, word + out
+        total += costs[a][b][0]
+        if best is None or (round(total, 9), word) < best:
+            best = (round(total, 9), word)
+    return best[1]
+
+
+def test_op2_scores_equal_brute_force(spark):
+    """Counts of the character model, the words of a text, and the score, each without the operator's code."""
+    docs, labels = insulting(spark)
+    extra = [(9000, "er m0r0n an"), (9001, "ii d i o t"), (9002, "th, erer. 12 a1 $cum"), (9003, None), (9004, "moroon Idioot - an"), (9005, "")]
+    docs = docs.limit(250).unionByName(spark.createDataFrame(extra, "doc_id long, text string")).cache()
+    costs = toxicity.language_model(docs)
+    grams = np.zeros((28, 28, 28))
+    rows = docs.collect()
+    for r in rows:
+        a = b = 0
+        for c in (r.text or "").lower() + " ":
+            x = ord(c) - 96 if "a" <= c <= "z" else 0
+            a = 0 if b == 0 else a  # a word starts afresh
+            grams[a, b, x] += 1
+            a, b = b, x
+    uni = (grams.sum((0, 1)) + 1) / (grams.sum() + 28)
+    pair = (grams.sum(0) + 5 * uni) / (grams.sum((0, 2)) + 5)[:, None]
+    want = -np.log((grams + 5 * pair) / (grams.sum(2, keepdims=True) + 5))
+    assert np.allclose(costs[:, 1:], want[:, 1:]) and np.allclose(costs[0, 0], want[0, 0])
+    model = toxicity.train(docs, labels, costs)
+    weights = {w + "$": v for w, v in model.whole.items()} | {p: v for some in model.start.values() for p, v in some.items()}
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, labels).collect()}
+    for r in rows:
+        low, words, odd = (r.text or "").lower(), set(), set()
+        for token in low.split():
+            word = token.rstrip(toxicity.TRAIL).lstrip(toxicity.LEAD)
+            if word.isalpha():
+                words.add(word)
+            if word and not word.isdigit() and (not word.isalpha() or any(x == y for x, y in zip(word, word[1:]))):
+                odd.add(word)
+        for run in re.findall(r"(?:(?<=\s)|^)\S(?: [a-z]){2,}(?= |$)", low):
+            odd.add(run.replace(" ", ""))
+        for token in odd:
+            words |= set(re.findall("[a-z]+", token)) | {brute_restore(token, costs)}
+        words.discard("")
+        on = {w + "$" for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}
+        z = model.bias + sum(v for k, v in weights.items() if k in on)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9, r
+
+
+def test_op2_repeated_ids_are_sampled_once(spark):
+    docs, labels = insulting(spark)
+    many = docs.limit(1).select(docs.doc_id, "text").crossJoin(spark.range(500)).drop("id").unionByName(docs)
+    costs = toxicity.language_model(docs)
+    assert toxicity.train(many, labels, costs).whole == toxicity.train(docs, labels, costs).whole
+
+
 def test_op2_folds_are_by_checksum(spark):
     import zlib
 
