@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, scope, stage
+from .common import grouped, lean, scope, stage
 
 OF = 100
 COORDINATES = 64
@@ -44,6 +44,8 @@ SMALL = 4000  # a node's exhaustive comparison takes under a second and 1 MB
 BLOCK = 400
 MARGIN = 0.3
 BROADCAST_KEYS = 500_000
+EDGES = 500_000  # that a task of `components` joins
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -122,8 +124,8 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return _mix(least).astype(np.uint32)
 
 
-def set_key(values: np.ndarray) -> str:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest()
+def set_key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key, sig): key and sig are null where there is no set."""
+    """(doc_id, text_hash, salt, n_shingles, key, sig): key and sig are null where there is no set."""
 
     def over(batches):
         for batch in batches:
@@ -140,34 +142,37 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = [shingles(t.as_py(), rule.words) for t in part.column(1)]
                 keys = [set_key(s) if len(s) else None for s in sets]
                 sigs = [minwise(s).tobytes() if len(s) else None for s in sets]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "key", "sig"])
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "salt", "n_shingles", "key", "sig"])
 
     slim = _slim(docs).withColumn("text_hash", F.xxhash64("text"))
-    return slim.mapInArrow(over, "doc_id long, text_hash long, n_shingles long, key string, sig binary")
+    slim = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return slim.mapInArrow(lean(over), "doc_id long, text_hash long, salt int, n_shingles long, key binary, sig binary")
 
 
 def meetings(classes: DataFrame, trees: range) -> DataFrame:
-    """(node, key, size): the leaves of the trees that hold classes of two labels or more."""
-    rows = None
-    for tree in trees:
-        one = classes.select(F.xxhash64(F.lit(tree), F.substring("sig", 4 * tree + 1, 4)).alias("node"), F.lit(tree).alias("tree"), "key", "label")
-        rows = one if rows is None else rows.unionByName(one)
+    """(node, key, label, size): the leaves of the trees that hold classes of two labels or more."""
+    own = 4 * (DEPTH - 1) * BRANCHES  # a tree's coordinates below its root are its own
+    roots = [
+        F.struct(
+            F.lit(tree).alias("tree"),
+            F.xxhash64(F.lit(tree), F.substring("sig", 4 * tree + 1, 4)).alias("node"),
+            F.substring("sig", 4 * TREES + tree * own + 1, own).alias("below"),
+        )
+        for tree in trees
+    ]
+    rows = classes.select("key", "label", F.explode(F.array(*roots)).alias("r")).select("key", "label", "r.node", "r.below")
     leaves = None
     for level in range(DEPTH):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_a"), F.max("label").alias("_z"))
-        met = rows.join(sizes.where("_a < _z").drop("_a", "_z"), "node")
-        done = met if level == DEPTH - 1 else met.where(F.col("size") <= SMALL)
-        done = done.select("node", "key", "size")
+        met = stage(rows.join(sizes.where("_a < _z").drop("_a", "_z"), "node"), "near-met")
+        large = met.where(F.col("size") > SMALL)
+        last = level == DEPTH - 1 or large.isEmpty()
+        done = (met if last else met.where(F.col("size") <= SMALL)).select("node", "key", "label", "size")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if level == DEPTH - 1:
-            break
-        large = met.where(F.col("size") > SMALL).select("node", "tree", "key", "label").join(classes.select("key", "sig"), "key")
-        rows = None
-        for b in range(BRANCHES):
-            # a tree's coordinates are its own: one each for the roots, then BRANCHES a tree and level
-            at = f"4 * ({TREES} + (tree * {DEPTH - 1} + {level}) * {BRANCHES} + {b}) + 1"
-            one = large.select(F.xxhash64("node", F.lit(b), F.expr(f"substring(sig, {at}, 4)")).alias("node"), "tree", "key", "label")
-            rows = one if rows is None else rows.unionByName(one)
+        if last:
+            return leaves
+        step = [F.xxhash64("node", F.lit(b), F.substring("below", 4 * (level * BRANCHES + b) + 1, 4)) for b in range(BRANCHES)]
+        rows = large.select("key", "label", "below", F.explode(F.array(*step)).alias("node"))
     return leaves
 
 
@@ -246,17 +251,12 @@ def _forest(table: pa.Table, search: Callable[[np.ndarray], list[tuple[int, int]
     root = list(range(n))
 
     def joins(a: int, b: int) -> bool:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        while root[b] != b:
-            root[b] = root[root[b]]
-            b = root[b]
+        a, b = _root(root, a), _root(root, b)
         root[a] = b
         return a != b
 
     if "label" in table.column_names:
-        first: dict[str, int] = {}
+        first: dict[int, int] = {}
         for i, label in enumerate(table.column("label").to_pylist()):
             joins(i, first.setdefault(label, i))
     block = table.column("block").to_numpy()
@@ -269,38 +269,84 @@ def _forest(table: pa.Table, search: Callable[[np.ndarray], list[tuple[int, int]
     if not found:
         return None
     names = table.column("key").to_pylist()
-    return pa.record_batch([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], ["a", "b"])
+    return pa.record_batch([pa.array([names[a] for a, _ in found], pa.binary()), pa.array([names[b] for _, b in found], pa.binary())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, label): the least key that each key is connected with, by contraction towards least neighbours.
+    """(key, label): of every key in the edges (a, b) a key that all which are connected have in common.
 
-    A round replaces every key by its least neighbour in the edges that are left; labels follow the rounds' replacements.
+    In a round, edges are dealt to tasks and each task joins its own ones: a key gets one root a task. A key's roots belong
+    together, which makes the next round's edges, from the first of them, in an order that differs from round to round, to the
+    others; whatever is no task's root is settled. The first round deals edges at random, so a hub of any size is spread and
+    leaves one edge a task; later ones deal them by their first key, so all that meets in a key becomes one in a round.
     """
-    keys = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+    rest = edges.select("a", "b")
+    n = rest.count()
     moves: list[DataFrame] = []
-
-    def moved(df: DataFrame, col: str, least: DataFrame) -> DataFrame:
-        out = df.join(least, df[col] == least["_from"], "left")
-        return out.withColumn(col, F.coalesce("_to", col)).drop("_from", "_to")
-
     while True:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("_to")).where("_to < a").withColumnRenamed("a", "_from"), "near-least")
-        if least.isEmpty():
+        turn = len(moves)
+
+        def stars(batches):
+            number: dict[bytes, int] = {}
+            root: list[int] = []
+            for batch in batches:
+                for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    a, b = number.setdefault(x, len(number)), number.setdefault(y, len(number))
+                    root.extend(range(len(root), len(number)))
+                    a, b = _root(root, a), _root(root, b)
+                    if a != b:
+                        root[a] = b
+            if number:
+                names = list(number)
+                turned = [hashlib.blake2b(x, digest_size=8, salt=turn.to_bytes(4, "little")).digest() for x in names]
+                first: dict[int, int] = {}
+                tops = [_root(root, k) for k in range(len(names))]
+                for k, top in enumerate(tops):
+                    if top not in first or turned[k] < turned[first[top]]:
+                        first[top] = k
+                for a in range(0, len(names), 20_000):
+                    yield pa.record_batch([pa.array(names[a : a + 20_000], pa.binary()), pa.array([names[first[t]] for t in tops[a : a + 20_000]], pa.binary())], ["key", "root"])
+
+        tasks = -(-n // EDGES)
+        if not turn:
+            deal = rest.repartition(max(4, tasks))
+        elif tasks > int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            deal = rest.repartition(tasks, "a")
+        else:
+            deal = rest.repartition("a")
+        ordered = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root")
+        step = deal.mapInArrow(lean(stars), "key binary, root binary").groupBy("key").agg(F.sort_array(F.collect_set(ordered)).alias("r"))  # one a task at most
+        step = stage(step.select("key", "r.root"), "near-roots")
+        moves.append(step.select("key", F.col("root")[0].alias("label")))
+        rest = step.where("size(root) > 1").select(F.col("root")[0].alias("a"), F.explode(F.slice("root", 2, F.size("root") - 1)).alias("b"))
+        n = rest.count()
+        if not n:
             break
-        moves.append(least)
-        edges = stage(moved(moved(edges.select("a", "b"), "a", least), "b", least).where("a <> b").distinct(), "near-edges")
-    labels = keys.withColumn("label", F.col("key"))
-    for least in moves:
-        labels = moved(labels, "label", least)
+    labels = moves.pop()
+    while moves:
+        later = labels.select(F.col("key").alias("_from"), F.col("label").alias("_to"))
+        labels = moves.pop().join(later, F.col("label") == F.col("_from"), "left").select("key", F.coalesce("_to", "label").alias("label"))
     return stage(labels, "near-labels")
 
 
-def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key) of every document, and (key, label) of every class that is linked with another one."""
-    rows = stage(signatures(docs, rule), "near-signatures")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+def _root(root: list[int], a: int) -> int:
+    while root[a] != a:
+        root[a] = root[root[a]]
+        a = root[a]
+    return a
+
+
+def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The `signatures` of every document; the classes (key, sig, n, least, copies, salts), `least` being what names a class and
+    `salts` those of its rows; and (key, label) of every class that is linked with another one."""
+    rows = stage(signatures(docs, rule), "near-signatures", keep=True)
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(
+        F.first("sig").alias("sig"),
+        F.min("n_shingles").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"),
+        F.count(F.lit(1)).alias("copies"),
+        F.collect_set("salt").alias("salts"),  # SALTS at most
+    )
     classes = stage(classes, "near-classes")
 
     def candidates(table: pa.Table):
@@ -309,18 +355,19 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         return _forest(table, lambda rows: candidate_forest(sigs[rows], sizes[rows], rule))
 
     def edges(classes: DataFrame, trees: range) -> DataFrame:
-        tasks = dealt(meetings(classes, trees), "node", "size", "key", SMALL, SMALL // 2).select("task", "block", "key")
-        tasks = tasks.join(classes.select("key", "label", "sig", "n"), "key")
-        return stage(grouped(tasks, "task", candidates, "a string, b string"), "near-candidates")
+        tasks = dealt(meetings(classes, trees), "node", "size", "key", SMALL, SMALL // 2).select("task", "block", "key", "label")
+        tasks = tasks.join(classes.select("key", "sig", "n"), "key")
+        return stage(grouped(tasks, "task", candidates, "a binary, b binary"), "near-candidates")
 
     # the first tree connects most of a group of copies; the others only add what it left apart
-    first = edges(classes.withColumn("label", F.col("key")), range(1))
-    known = classes.join(components(first), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    clusters = components(first.unionByName(edges(stage(known, "near-labelled"), range(1, TREES))))
+    first = edges(classes.select("key", "sig", "n", F.xxhash64("key").alias("label")), range(1))
+    known = classes.select("key", "sig", "n").join(components(first), "key", "left")
+    known = stage(known.withColumn("label", F.xxhash64(F.coalesce("label", "key"))), "near-labelled")
+    clusters = components(first.unionByName(edges(known, range(1, TREES))))
 
     # full sets, of the clusters' classes only
     sizes = clusters.groupBy("label").count().withColumnRenamed("count", "size")
-    members = stage(clusters.join(sizes, "label").join(classes.select("key", "doc_id"), "key"), "near-members")
+    members = stage(clusters.join(sizes, "label").join(classes.select("key", "least.doc_id"), "key"), "near-members")
     few = members.count() <= BROADCAST_KEYS
     wanted = members.select(F.col("doc_id").alias("_w")).distinct()
     texts = _slim(docs)
@@ -330,40 +377,41 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 found = [s for t in batch.column(1).slice(a, 512) if len(s := shingles(t.as_py(), rule.words))]
-                yield pa.record_batch([pa.array([set_key(s) for s in found], pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "set"])
+                yield pa.record_batch([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "set"])
 
-    full = texts.mapInArrow(sets, "key string, set binary").join(members.select("key", "label", "size"), "key")
+    full = texts.mapInArrow(lean(sets), "key binary, set binary").join(members.select("key", "label", "size"), "key")
     full = full.groupBy("key").agg(F.first("set").alias("set"), F.first("label").alias("label"), F.first("size").alias("size"))
 
     def links(table: pa.Table):
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         return _forest(table, lambda rows: link_forest([sets[i] for i in rows], rule))
 
-    found = grouped(dealt(full, "label", "size", "key", BLOCK, BLOCK).select("task", "block", "key", "set"), "task", links, "a string, b string")
-    return rows, components(found)
+    found = grouped(dealt(full, "label", "size", "key", BLOCK, BLOCK).select("task", "block", "key", "set"), "task", links, "a binary, b binary")
+    return rows, classes, components(stage(found, "near-links"))
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_hash) of every document."""
-    rows, labels = classified(docs, rule)
-    least = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = labels.join(least, "key").groupBy("label").agg(F.min("least").alias("all"))
-    linked = labels.join(named, "label").select("key", "all")
-    by_key = least.join(linked, "key", "left").select(F.col("key").alias("_k"), F.coalesce("all", "least").alias("_c"))
-    # a class may hold a third of all rows: its label is dealt to as many parts as the class has
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(32)).cast("int")
-    rows = rows.withColumn("_s", spread)
-    parts = rows.where("key IS NOT NULL").groupBy(F.col("key").alias("_q"), "_s").agg(F.lit(1).alias("_o")).drop("_o")
-    by_part = parts.join(by_key, F.col("_q") == F.col("_k")).select("_k", F.col("_s").alias("_t"), "_c")
-    out = rows.join(by_part, (F.col("key") == F.col("_k")) & (F.col("_s") == F.col("_t")), "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("_c"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    """(doc_id, n_shingles, component_id, kept, text_hash, first) of every document; `first` marks the one text that stays of a
+    component, also where ids are null or repeated."""
+    with scope():
+        rows, classes, links = classified(docs, rule)
+        named = links.join(classes.select("key", "least"), "key").groupBy("label").agg(F.min("least").alias("named"))
+        linked = links.join(named, "label").select("key", "named")
+        many = classes.select("key", "least", "copies", "salts").join(linked, "key", "left").where("copies > 1 OR named IS NOT NULL")
+        # a class may hold a third of all rows: it has a row here for each salt of its documents
+        many = many.select(F.col("key").alias("_k"), F.coalesce("named", "least").alias("_c"), F.explode("salts").alias("_s"))
+        many = stage(many, "near-named", keep=True)
+    out = rows.select("doc_id", "text_hash", "salt", "n_shingles", "key").join(many, (F.col("key") == F.col("_k")) & (F.col("salt") == F.col("_s")), "left")
+    grouped_up = F.col("_c").isNotNull()
+    component = F.when(grouped_up, F.col("_c.doc_id")).otherwise(F.col("doc_id"))
+    first = F.when(grouped_up, F.col("doc_id").eqNullSafe(F.col("_c.doc_id")) & (F.col("text_hash") == F.col("_c.text_hash"))).otherwise(True)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", first.alias("first"))
 
 
 def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each component, the one that names it, with all its columns."""
+    """One document of each component, the one that names it, with all its columns; rows that repeat its id and text stay with it."""
     with scope():
-        gone = near_groups(docs, rule).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+        gone = near_groups(docs, rule).where("NOT first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
         gone = stage(gone, "near-gone", keep=True)
     few = gone.count() <= BROADCAST_KEYS
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])

@@ -55,14 +55,26 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", ["maps", "full", "none"])
-def test_op7_equals_brute_force(spark, edge, monkeypatch, bits):
-    if bits == "full":  # maps so full that all is possibly repeated
-        monkeypatch.setattr(exact_dedup, "bloom_bits", lambda n: 8)
-    if bits == "none":
-        monkeypatch.setattr(exact_dedup, "bloom_bits", lambda n: None)
+@pytest.mark.parametrize("kind", ["one range", "ranges", "full"])
+def test_op7_equals_brute_force(spark, edge, monkeypatch, kind):
+    """Also in several ranges of the digest, and with maps so full that all is possibly repeated."""
+    if kind == "ranges":
+        monkeypatch.setattr(exact_dedup, "MAX_BITS", 1 << 9)
+        monkeypatch.setattr(exact_dedup, "MIN_BITS", 1 << 9)
+        assert len(exact_dedup.digest_ranges(300)) == 5
+    if kind == "full":
+        monkeypatch.setattr(exact_dedup, "map_bits", lambda n: 8)
     for docs in (edge, corpus(spark)):
         assert sorted(map(tuple, exact_dedup.groups(docs).collect()), key=str) == brute_exact(docs.collect())
+        texts = [(r.text or "").translate(FOLD) for r in exact_dedup.dedup(docs).collect()]
+        assert len(texts) == len(set(texts)) == len({(r.text or "").translate(FOLD) for r in docs.collect()})
+
+
+def test_op7_ranges_cover_all_digests():
+    for n in (0, 1, 1 << 24, (1 << 24) + 1, 10**9):
+        bounds = exact_dedup.digest_ranges(n)
+        assert bounds[0][0] == "0" * 15 and bounds[-1][1] > "f" * 64 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+        assert -(-n // len(bounds)) * exact_dedup.BITS_PER_ROW <= exact_dedup.MAX_BITS
 
 
 def test_exact_dedup_keeps_rows_whole(edge, empty):
@@ -77,6 +89,17 @@ def test_op7_query_equals_sql(spark, duck):
     assert got == sorted(duck.execute(queries.oracle_sql()["op7_exact_dedup"]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["op3_near_dedup", "op4_quality_rules"])
+def test_queries_equal_sql(spark, duck, name):
+    got = queries.queries()[name](spark, SF)
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+
+    def rounded(rows):
+        return sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
+
+    assert rounded(map(tuple, got.collect())) == rounded(want)
+
+
 def brute_near(rows, words, percent):
     sets = []
     for r in rows:
@@ -128,6 +151,37 @@ def test_op3_floor_refuses_less_than_the_trees(percent):
     assert 0 < lost < 1e-7 < (1 - p) ** near_dedup.TREES
 
 
+def test_op3_components(spark):
+    """Small trees, a hub, a path and a random tree, against union-find."""
+    rnd = random.Random(2)
+    edges, n = [], 0
+    for _ in range(300):
+        c = rnd.choice([2, 2, 3, 4, 8])
+        edges += [(n + rnd.randrange(j), n + j) for j in range(1, c)]
+        n += c
+    for size, parent in ((700, lambda j: 0), (60, lambda j: j - 1), (500, rnd.randrange)):
+        edges += [(n + parent(j), n + j) for j in range(1, size)]
+        n += size
+    root = list(range(n))
+    for a, b in edges:
+        root[near_dedup._root(root, a)] = near_dedup._root(root, b)
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(n)]
+    rows = spark.createDataFrame([(keys[a], keys[b]) for a, b in rnd.sample(edges, len(edges))], "a binary, b binary")
+    got = {bytes(r.key): bytes(r.label) for r in near_dedup.components(rows).collect()}
+    labels = collections.defaultdict(set)
+    for i in range(n):
+        labels[near_dedup._root(root, i)].add(got[keys[i]])
+    assert len(got) == n and all(len(v) == 1 for v in labels.values()) and len(set.union(*labels.values())) == len(labels)
+    assert near_dedup.components(rows.where("false")).count() == 0
+
+
+def test_near_dedup_of_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (None, text + " more"), (None, "other words"), (7, "x y"), (7, "X y z")], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.dedup(docs, near_dedup.Rule(3, 85)).collect())[0:2] == ["X y z", "other words"]
+    assert near_dedup.dedup(docs, near_dedup.Rule(3, 85)).count() == 4
+
+
 def test_near_dedup_keeps_one_of_each(spark, empty):
     docs = corpus(spark)
     kept = near_dedup.dedup(docs, near_dedup.Rule(3, 85))
@@ -136,30 +190,42 @@ def test_near_dedup_keeps_one_of_each(spark, empty):
     assert near_dedup.dedup(empty).count() == 0 and near_dedup.near_groups(empty).count() == 0
 
 
-def brute_strip(rows, min_words):
-    """Positions of all chunks in one table; everything else as the operator's docstring says."""
-    import numpy as np
+GEAR = [int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, person=b"gear").digest(), "little") for b in range(256)]
 
-    from heddle.llm.substring_dedup import cuts
 
-    def position(key, chunk):
-        return (key & ~0xFFFFFF) | chunk
+def brute_chunks(text):
+    """(words joined by spaces, start, end) of every chunk, by the docstring's rules, a byte at a time."""
+    raw, ends, line = (text or "").encode(), [], 0
+    for i, c in enumerate(raw):
+        if c == 10:
+            ends.append(i + 1)
+            line = i + 1
+        elif c in b" \t\x0b\x0c\r" and i + 1 - line >= 16:
+            if sum(GEAR[raw[i - age]] << age for age in range(16)) >> 14 & 3 == 0:
+                ends.append(i + 1)
+    out = []
+    for a, b in zip([0, *ends], [*ends, len(raw)]):
+        words = b" ".join(raw[a:b].split())
+        if words:
+            out.append([words, out[-1][2] if out else 0, b])
+        elif out:
+            out[-1][2] = b
+    return [tuple(x) for x in out]
 
-    chunks = {}
-    for r in rows:
-        raw = (r.text or "").encode()
-        ends = cuts(np.frombuffer(raw, np.uint8)).tolist()
-        chunks[r.key] = [(b" ".join(raw[a:b].split()), a, b) for a, b in zip([0, *ends], ends)]
+
+def brute_strip(rows, min_words):
+    """Places of all chunks in one table; everything else as the operator's docstring says."""
+    chunks = {r.key: brute_chunks(r.text) for r in rows}
     first, seen = {}, collections.Counter()
     for key, cs in chunks.items():
         for k, (digest, _, _) in enumerate(cs):
             seen[digest] += 1
-            first[digest] = min(first.get(digest, 1 << 63), position(key, k))
+            first[digest] = min(first.get(digest, (key, k)), (key, k))
     out = {}
     for r in rows:
         cs, text, run = chunks[r.key], (r.text or "").encode(), []
         for k, (digest, a, b) in enumerate([*cs, (None, 0, 0)]):
-            if digest is not None and seen[digest] > 1 and first[digest] != position(r.key, k):
+            if digest is not None and seen[digest] > 1 and first[digest] != (r.key, k):
                 run.append((a, b))
                 continue
             if run and len(text[run[0][0] : run[-1][1]].split()) >= min_words:
@@ -168,6 +234,17 @@ def brute_strip(rows, min_words):
     return out
 
 
+def test_op8_cuts_equal_brute_force():
+    import numpy as np
+
+    rnd = random.Random(12)
+    texts = ["", " ", "\n\n", "\n \na b\n\n\t\nc", *("".join(rnd.choice("ab é \n\t") * rnd.randrange(1, 4) for _ in range(150)) for _ in range(60))]
+    for text in texts:
+        raw = text.encode()
+        ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        assert [(b" ".join(raw[a:b].split()), a, b) for a, b in zip([0, *ends], ends) if raw[a:b].split()] == brute_chunks(text)
+
+
 def test_op8_equals_brute_force(spark):
     docs = corpus(spark, 2)
     keyed = docs.select("doc_id", "text", substring_dedup._key().alias("key")).collect()
@@ -179,15 +256,9 @@ def test_op8_equals_brute_force(spark):
 
 def brute_together(rows, min_words, joined_words):
     """Of `brute_strip`'s runs, those with `min_words` words that are joined by stretches which stand in another place too."""
-    import numpy as np
-
-    from heddle.llm.substring_dedup import cuts
-
     chunks, places = {}, collections.defaultdict(set)
     for r in rows:
-        raw = (r.text or "").encode()
-        ends = cuts(np.frombuffer(raw, np.uint8)).tolist()
-        cs = chunks[r.doc_id] = [(b" ".join(raw[a:b].split()), a, b) for a, b in zip([0, *ends], ends)]
+        cs = chunks[r.doc_id] = brute_chunks(r.text)
         for i in range(len(cs)):
             for j in range(i, len(cs)):
                 places[tuple(c[0] for c in cs[i : j + 1])].add((r.key, i))
@@ -278,10 +349,42 @@ def test_op9_places_every_record(spark, edge, empty):
         assert all(slot_map.owner[r.virtual_slot] == r.shard for r in rows)
 
 
+def test_op9_query_equals_sql(spark, duck):
+    got = queries.queries()["op9_sharding"](spark, SF)
+    cols = ", ".join(got.columns)
+    assert sorted(map(tuple, got.drop("grown_shard").collect())) == sorted(tuple(r) for r in duck.execute(f"SELECT {cols.replace('grown_shard, ', '')} FROM ({queries.oracle_sql()['op9_sharding']})").fetchall())
+
+
+def test_op9_maps_are_stored_and_edited(spark, tmp_path):
+    maps = f"file://{tmp_path}/maps"
+    docs = corpus(spark)
+    first, map1 = sharding.shards(docs, 4, maps=maps)
+    assert map1.version == 1 and sharding.load_map(spark, maps) == map1
+    again, same = sharding.shards(docs, 4, maps=maps)
+    assert same == map1 and sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    grown, map2 = sharding.shards(docs, 5, maps=maps)
+    assert map2.version == 2 and sharding.load_map(spark, maps) == map2 and sharding.load_map(spark, maps, 1) == map1
+    assert {r.map_version for r in grown.collect()} == {2} and sum(a != b for a, b in zip(map1.owner, map2.owner)) < sharding.SLOTS / 3
+    assert sharding.load_map(spark, maps, 7) is None and sharding.load_map(spark, f"file://{tmp_path}/none") is None
+
+
+def test_op9_spreads_a_hot_key(spark, monkeypatch):
+    """A third of all rows and more repeat one null id and one text."""
+    monkeypatch.setattr(sharding, "PART", 700)
+    hot = spark.range(6000).selectExpr("cast(null as long) AS doc_id", "'same text' AS text")
+    rows = sharding.shards(hot.union(spark.range(2000).selectExpr("id", "concat('t', id % 7)")))[0].collect()
+    sizes, places = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(rows) == 8000 and max(sizes.values()) < 1.02 * min(sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
 def test_rebalance_moves_little_and_levels_bytes(spark):
     rnd = random.Random(6)
     load = [rnd.randrange(1, 2000) for _ in range(sharding.SLOTS)]
-    first = sharding.rebalance(sharding.SlotMap.initial(16), load)
+    first = sharding.rebalance(sharding.SlotMap(0, 16, tuple(s % 16 for s in range(sharding.SLOTS))), load)
 
     def totals(m):
         return [sum(b for b, s in zip(load, m.owner) if s == k) for k in range(m.n_shards)]
