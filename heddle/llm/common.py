@@ -13,7 +13,7 @@ from ..staging import stage as _stage
 from ..staging import unstage
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-__all__ = ["fold_ascii", "grouped", "null_safe", "owners", "read_table", "runs", "salt_of", "scope", "small_batches", "stage", "unstage"]
+__all__ = ["fold_ascii", "grouped", "lean", "null_safe", "owners", "read_table", "runs", "salt_of", "scope", "small_batches", "stage", "unstage"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +120,23 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBatc
             if out is not None:
                 yield out
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(over, schema)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(lean(over), schema)
+
+
+def lean(over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, that gives back to the system what its worker has freed when a partition is done: workers live on,
+    side by side with the JVM, through all later stages."""
+
+    def run(batches):
+        import ctypes
+
+        yield from over(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def null_safe(pairs: list[tuple[Column, Column]]) -> Column:
