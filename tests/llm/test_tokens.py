@@ -42,6 +42,19 @@ def test_codec_equals_library(tiktoken_encode):
     assert codec.decode(coded) == [t.encode() for t in texts]
 
 
+def test_long_words_equal_library(tiktoken_encode, monkeypatch):
+    """Words above LONG_WORD, in runs, periods and at random; also with few rounds a query."""
+    rnd = random.Random(7)
+    texts = ["x" * 5000, "ab" * 900, "abc" * 333, "-" * 777, "é" * 300, " " * 1000 + "x", "the" * 500]
+    texts += ["".join(rnd.choice(letters) for _ in range(n)) for letters, n in (("ab", 500), ("etaoin", 900), ("漢字東京日本語の", 200), ("=-_", 400))]
+    texts += ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(47, 60))) for _ in range(60)]
+    want = [" ".join(map(str, tiktoken_encode(t))) for t in texts]
+    assert [" ".join(c) for c in bpe_codec.Codec(RANKS, P.PATTERN).encode(texts)] == want
+    monkeypatch.setattr(bpe_codec, "KEPT_ROWS", 20_000)
+    monkeypatch.setattr(bpe_codec, "LONG_ROWS", 1000)
+    assert [" ".join(c) for c in bpe_codec.Codec(RANKS, P.PATTERN).encode(texts)] == want
+
+
 def test_op1_edge_rows(edge, empty, tiktoken_encode):
     got = sorted(map(tuple, bpe_codec.round_trip(edge, RANKS, P.PATTERN).collect()), key=str)
     want = []
