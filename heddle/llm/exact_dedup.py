@@ -11,8 +11,10 @@ digests are sorted inside their files, so that a range reads its own row groups
 about once. Pass 1 shuffles counts of positions, some ten bytes a document; whole bit maps from every task would be more as long
 as a task has fewer documents than a map has bytes.
 
-`dedup` returns whole rows. It tests them against maps of the digests that are known to repeat, and shuffles the texts that
-pass; beyond some 100 million different repeated texts these maps, which stay bounded, let most texts pass.
+`dedup` returns whole rows. It tests them against maps of the digests that are known to repeat, and joins those that pass with
+their group's staying id: by broadcast while there are at most `BROADCAST_ROWS` of these, so that no text moves, and beyond that
+by a shuffle of the texts that pass. With some 100 million different repeated texts these maps, which stay bounded, let most
+texts pass.
 
 Defined cases: a null text equals the empty text; null doc_ids sort below all others, so a row with an id stays in their
 favour; rows that repeat the same (doc_id, text) form one group with that keep_id, and each of them is marked `kept`
@@ -30,6 +32,7 @@ BITS_PER_ROW = 8
 MAX_BITS = 1 << 27
 MIN_BITS = 1 << 16
 MAP_BITS = 32768  # of one bucket of the bitmap functions
+BROADCAST_ROWS = 200_000  # of about 120 bytes
 
 
 def digest(text: Column) -> Column:
@@ -110,7 +113,7 @@ def _tested(docs: DataFrame) -> DataFrame:
 
 def _owners(maybe: DataFrame) -> DataFrame:
     """(_k, _s, size, _keep): digest, salt, documents and staying doc_id of every group of two or more, a row for each salt."""
-    own = owners(maybe.select("text_sha256", _rank().alias("_rank")), "text_sha256", ["_rank"])
+    own = owners(maybe.select("text_sha256", "_rank"), "text_sha256", ["_rank"])
     return own.select(F.col("text_sha256").alias("_k"), F.col("salt").alias("_s"), "size", (-F.col("first._rank.neg")).alias("_keep"))
 
 
@@ -143,9 +146,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     Texts whose digest isn't among the repeated ones are neither shuffled nor joined.
     """
     with scope():
-        own = stage(_owners(_tested(docs).where("maybe")), "exact-owners", keep=True)
+        tested = _tested(docs).where("maybe").withColumn("_rank", _rank())
+        own = stage(_owners(tested), "exact-owners")
+        # groups in which several rows have the staying id
+        best = tested.withColumn("_salt", salt_of(["_rank"])).join(own, (F.col("text_sha256") == F.col("_k")) & (F.col("_salt") == F.col("_s")))
+        ties = best.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("_k").count().where("count > 1").select("_k", F.lit(True).alias("_tie"))
+        own = stage(own.drop("size").join(ties, "_k", "left"), "exact-owners", keep=True)
     again = own.select(F.col("_k").alias("_sha")).distinct()
     bits = map_bits(again.count())
+    few = own.count() <= BROADCAST_ROWS
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*cols).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("_sha"))
     rows = in_maps(rows, bit_maps(again, "_sha", bits), "_sha", bits)
@@ -153,10 +162,9 @@ def dedup(docs: DataFrame) -> DataFrame:
         rows.where("maybe")
         .withColumn("_rank", _rank())
         .withColumn("_salt", salt_of(["_rank"]))
-        .join(own.drop("size"), (F.col("_sha") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
+        .join(F.broadcast(own) if few else own, (F.col("_sha") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     )
-    falsely = found.where(F.col("_k").isNull()).select("_row.*")
-    # one row a group, or a few where its id is repeated with the same text
-    winner = found.where(F.col("_k").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_keep")))
-    winner = winner.groupBy("_sha").agg(F.first("_row").alias("_row")).select("_row.*")
-    return rows.where(~F.col("maybe")).select("_row.*").unionByName(falsely).unionByName(winner)
+    winner = F.col("_k").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    alone = found.where(F.col("_k").isNull() | (winner & F.col("_tie").isNull())).select("_row.*")
+    tied = found.where(winner & F.col("_tie")).groupBy("_sha").agg(F.first("_row").alias("_row")).select("_row.*")
+    return rows.where(~F.col("maybe")).select("_row.*").unionByName(alone).unionByName(tied)

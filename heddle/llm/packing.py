@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import portions
-from .common import stage, unstage
+from .common import lean, stage, unstage
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     slim = docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text")
-    return slim.mapInArrow(over, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(lean(over), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -257,7 +257,7 @@ def _epoch(rows: DataFrame, epoch: int, capacity: int, generations: int) -> Data
             yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", pa.binary()), ("best", pa.binary()), ("bins", pa.int64()), ("fill", pa.int64())]))
 
     tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism  # so small that they would be put together
-    return rows.repartition(tasks, "block", "island").mapInArrow(over, "block long, island int, sizes binary, best binary, bins long, fill long")
+    return rows.repartition(tasks, "block", "island").mapInArrow(lean(over), "block long, island int, sizes binary, best binary, bins long, fill long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
@@ -276,7 +276,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epoch
             data = [np.array([x["length"] for x in r["_l"]], "<i4").tobytes() for r in batch.to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], ["block", "sizes"])
 
-    rows = sizes.mapInArrow(as_bytes, "block long, sizes binary").select(
+    rows = sizes.mapInArrow(lean(as_bytes), "block long, sizes binary").select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("seeds")
     )
     old = None
@@ -303,6 +303,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epoch
                 block = np.full(len(at), r["block"], np.int64)
                 yield pa.record_batch([block, np.arange(len(at), dtype=np.int32), (block << 24 | at) * 2, offset], ["_block", "_at", "sequence_id", "offset"])
 
-    placed = best.select("block", "b.sizes", "b.best").mapInArrow(place, "_block long, _at int, sequence_id long, offset long")
+    placed = best.select("block", "b.sizes", "b.best").mapInArrow(lean(place), "_block long, _at int, sequence_id long, offset long")
     whole = cut.where(F.col("length") >= capacity).withColumn("sequence_id", F.col("_pid") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return part.join(placed, ["_block", "_at"]).drop("_block", "_at", "_pid").unionByName(whole.drop("_pid"))

@@ -8,7 +8,7 @@ exceeds a limit. The word histogram of a short text is mostly noise, so it only
 texts of under 50 words, or made of repeated windows, fail before any distance is looked at.
 
 Defined cases: a null text has no words, counts as zero everywhere, and is rejected like an empty one; a text without any
-common word is compared with the nearest language's classes; repeated rows get equal verdicts; an empty table gives an
+common word counts as the first language's; repeated rows get equal verdicts; an empty table gives an
 empty result; `accept` returns the kept rows with every column they had.
 """
 
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import stage, unstage
+from .common import lean, stage
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +135,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), *columns], names)
 
     names = ["doc_id", *_NUMBERS, "language", "classes", "common"]
-    return docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text").mapInArrow(over, _FEATURES)
+    return docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text").mapInArrow(lean(over), _FEATURES)
 
 
 def failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
@@ -208,22 +209,36 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", *_NUMBERS, "base_failed", "kept", "class_distance", "word_distance"]
     schema = f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return counted.mapInArrow(over, schema)
+    return counted.mapInArrow(lean(over), schema)
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    counted = stage(features(docs), "quality-counts")
-    refs = references(counted)
-    unstage(counted)
-    at = docs.columns.index("text")
+    """The documents that pass, with all their columns. Texts are measured once: the counts are staged beside them."""
+    cols = docs.columns
+    at = cols.index("text")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols)])
+    own = plain.columns
+    names = [*own, "n_words", "n_repeat_words", "language", "classes", "common"]
 
     def over(batches):
         for batch in batches:
-            keep = []
-            for t in batch.column(at):
-                n, _, _, _, repeat, classes, lang, hist = measure(t.as_py() or "")
-                keep.append(bool(kept(np.array([n]), np.array([repeat]), np.array([lang]), classes[None], hist[None], refs)[1][0]))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            rows = [measure(t.as_py() or "") for t in batch.column(at)]
+            counts = [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (4, pa.int64()), (6, pa.int32()), (5, pa.list_(pa.int64())), (7, pa.list_(pa.int64())))]
+            yield pa.record_batch([*batch.columns, *counts], names)
+
+    schema = StructType(plain.schema.fields[:])  # add changes it in place
+    for name, kind in (("n_words", LongType()), ("n_repeat_words", LongType()), ("language", IntegerType()), ("classes", ArrayType(LongType())), ("common", ArrayType(LongType()))):
+        schema = schema.add(name, kind)
+    counted = stage(plain.mapInArrow(lean(over), schema), "quality-counted", keep=True)
+    refs = references(counted)
+
+    def judged(batches):
+        for batch in batches:
+            c = {x: batch.column(names.index(x)) for x in names[len(cols) :]}
+            n = batch.num_rows
+            classes, common = (c[x].flatten().to_numpy().reshape(n, -1) for x in ("classes", "common"))
+            keep = kept(c["n_words"].to_numpy(), c["n_repeat_words"].to_numpy(), c["language"].to_numpy(), classes, common, refs)[1]
+            yield batch.select(own).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(over, docs.schema)
+    out = counted.mapInArrow(lean(judged), plain.schema)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)])

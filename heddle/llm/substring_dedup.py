@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import scope, stage
+from .common import lean, scope, stage
 from .exact_dedup import bit_maps, in_maps, map_bits
 from .near_dedup import _INVERSE, _ODD, _mix, _powers
 
@@ -137,7 +137,7 @@ def chunks(docs: DataFrame, joined_words: int = JOINED_WORDS) -> DataFrame:
             yield pa.record_batch([batch.column(0), *columns], ["_k", "digests", "words", "stretches", "doubled"])
 
     slim = docs.select(_key(), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(over, "_k long, digests array<long>, words array<int>, stretches array<long>, doubled array<long>")
+    return slim.mapInArrow(lean(over), "_k long, digests array<long>, words array<int>, stretches array<long>, doubled array<long>")
 
 
 def _among(places: DataFrame, own: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def candidates(rows: DataFrame, min_words: int) -> DataFrame:
                 out.append([r for r in runs if sum(r["words"]) >= min_words])
             yield pa.record_batch([batch.column(0), pa.array(out, _CANDIDATES)], ["_k", "runs"])
 
-    return lists.mapInArrow(over, "_k long, runs array<struct<first:int,digests:array<long>,words:array<int>>>").where("size(runs) > 0")
+    return lists.mapInArrow(lean(over), "_k long, runs array<struct<first:int,digests:array<long>,words:array<int>>>").where("size(runs) > 0")
 
 
 def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
@@ -183,7 +183,7 @@ def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
                     place = [pa.array((x + r["first"]).astype(np.int32)) for x in (first, last)]
                     yield pa.record_batch([pa.array(np.full(len(digest), k, np.int64)), pa.array(digest), *place], ["_k", "digest", "first", "last"])
 
-    inside = stage(runs.mapInArrow(over, "_k long, digest long, first int, last int"), "substring-stretches")
+    inside = stage(runs.mapInArrow(lean(over), "_k long, digest long, first int, last int"), "substring-stretches")
     every = rows.select("_k", F.explode("stretches").alias("digest"), F.lit(False).alias("twice"))
     every = every.unionByName(rows.where("size(doubled) > 0").select("_k", F.explode("doubled").alias("digest"), F.lit(True).alias("twice")))
     same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted"))
@@ -216,7 +216,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
                 out.append(kept)
             yield pa.record_batch([batch.column(0), pa.array(out, _RUNS)], ["_k", "runs"])
 
-    return both.select("_k", "runs", "joined").mapInArrow(over, "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
+    return both.select("_k", "runs", "joined").mapInArrow(lean(over), "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
 
 
 _LONGS = pa.list_(pa.int64())
@@ -276,6 +276,6 @@ def strip(docs: DataFrame, min_words: int = MIN_RUN_WORDS, spans: str | None = N
     schema = joined.drop("runs").schema
     if spans:
         schema = schema.add("_spans", _SPANS)
-    out = joined.mapInArrow(over, schema)
+    out = joined.mapInArrow(lean(over), schema)
     named = [F.col(f"c{k}").alias(c) for k, c in enumerate(cols)]
     return out.select(*named, *([F.col("_spans").alias(spans)] if spans else []))
