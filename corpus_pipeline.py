@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from heddle.llm.common import read_table, stage
+from heddle.llm.common import read_table, scope, stage, unstage
 
 ORACLE_SQL = None
 
@@ -58,5 +58,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{k}")
+        with scope():  # what the stage staged on its way
+            read, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{k}", keep=True)
+        unstage(read)
     return docs
