@@ -47,11 +47,14 @@ def owns_kind(namespace: Column, kind: Column) -> Column:
     return F.startswith(kind, F.concat(namespace, F.lit("/")))
 
 
+SEVERITIES = ("info", "warning", "error")
 DIAGNOSTIC = ["severity", "code", "subject", "related", "message", "context"]
 
 
 def diagnostic(df: DataFrame, code: str | Column, subject: str | Column, related: str | Column | None = None, message: str = "", severity: str = "error", **context: Column) -> DataFrame:
     """Rows as diagnostics. `message` may name columns in braces."""
+    if severity not in SEVERITIES:
+        raise ValueError(f"unknown severity {severity}")
     subject = F.col(subject) if isinstance(subject, str) else subject
     related = F.lit("") if related is None else F.coalesce((F.col(related) if isinstance(related, str) else related).cast("string"), F.lit(""))
     parts, rest = [], message

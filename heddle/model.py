@@ -7,10 +7,13 @@ of their own with a position. `ordinal` is the insertion order that "first match
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType, NullType, StringType
 
+# The vocabularies and reserved names that archives are written with.
 OPERATION_REUSE = ("forbid", "allow_if_domain_says", "force_recompute")
 ACTIVITY_REUSE = ("computed", "reused", "forced")
 RUN_STATUSES = ("queued", "running", "completed", "failed", "interrupted", "cancelled", "uncertain")
@@ -91,12 +94,17 @@ class Archive:
             raise AttributeError(name)
         return self.frames[name]
 
+    @cached_property
+    def has_revisions(self) -> bool:
+        """Whether any revision has a record; several checks apply only then."""
+        return not self.revisions.isEmpty()
+
     def replaced(self, **frames: DataFrame) -> Archive:
         return replace(self, frames=self.frames | frames)
 
     @staticmethod
     def of(frames: dict[str, DataFrame], config: Config = Config()) -> Archive:
-        """Checks that every table has its columns; missing tables are empty."""
+        """Checks that every table has its columns, with their types; missing tables are empty."""
         unknown = set(frames) - set(TABLES)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
@@ -107,6 +115,10 @@ class Archive:
                 missing = set(columns(name)) - set(frames[name].columns)
                 if missing:
                     raise ValueError(f"table {name} lacks {sorted(missing)}")
+                kinds = {f.name: f.dataType for f in frames[name].schema}
+                wrong = [c for c in columns(name) if not isinstance(kinds[c], (IntegralType if c in _LONG else BooleanType if c in _BOOLEAN else StringType, NullType))]
+                if wrong:
+                    raise TypeError(f"table {name} has other types than {schema(name)} in {wrong}")
                 out[name] = frames[name].select(*columns(name))
             else:
                 out[name] = spark.createDataFrame([], schema(name))
@@ -163,3 +175,27 @@ def _require(df: DataFrame, good, message: str) -> DataFrame:
     return df.withColumn(first, F.when(good, F.col(first)).otherwise(F.raise_error(F.lit(message))))
 
 
+
+
+def ingest_schemas(definitions: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Embedded schema definitions and their fields as they may enter an archive: ids trimmed and not blank, a known
+    compatibility, a migration between two schemas, a shape that is empty or has the field's rank, and extents that are not
+    negative; anything else raises when the rows are read."""
+    keys = ["schema_ns", "schema_id", "schema_version"]
+
+    def trimmed(df, names):
+        for name in names:
+            value = F.trim(name)
+            df = df.withColumn(name, F.when(value != "", value).otherwise(F.raise_error(F.lit(f"schema {name}: blank"))))
+        return df
+
+    d = trimmed(definitions, [*keys, "ns_id"])
+    d = _require(d, F.col("compatibility").isin(*COMPATIBILITIES), "schema compatibility: bad value")
+    both = F.col("migration_source").isNotNull() & F.col("migration_target").isNotNull()
+    d = _require(d, ~both | (F.col("migration_source") != F.col("migration_target")), "a migration leads to its own source")
+    d = _require(d, F.col("migration_target").isNull() == F.col("migration_source").isNull(), "a migration needs a source and a target")
+    f = trimmed(fields, [*keys, "name"])
+    f = _require(f, F.col("rank") >= 0, "a field's rank is negative")
+    f = _require(f, F.col("shape").isNull() | (F.size("shape") == 0) | (F.size("shape") == F.col("rank")), "a field's shape has another rank")
+    f = _require(f, F.coalesce(F.forall("shape", lambda x: x.isNull() | (x >= 0)), F.lit(True)), "a field's extent is negative")
+    return d, f

@@ -8,16 +8,17 @@ in the round before, and ends when none is new anywhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, first_by, union
 from ..model import Archive
-from ..staging import stage
+from ..staging import stage, unstage
 from . import dag
 from .lookup import Ambiguous, find_head
-from .resolve import in_scope, match_external, versions
+from .resolve import in_scope, match_external, sights, versions
 
 C, L = F.col, F.lit
 
@@ -30,7 +31,14 @@ class Manifest:
     roots: DataFrame
     entries: DataFrame
     visible: DataFrame
-    diagnostics: DataFrame
+    archive: Archive
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """Found when they are first asked for: missing objects, and what is wrong with the revisions that a root sees."""
+        missing = self.entries.where("availability = 'missing'").withColumn("_s", C("root"))
+        problems = diagnostic(missing, "missing_manifest_object", "root", "object_id", "revision {root} names missing object {object_id}", revision_id=C("root"), object_id=C("object_id"))
+        return problems.withColumn("root", C("subject")).unionByName(record_diagnostics(self.archive, self.visible))
 
 
 def root_of(archive: Archive, *, revision_id: str | None = None, head_id: str | None = None, name: str | None = None, run_id: str | None = None) -> DataFrame:
@@ -47,11 +55,18 @@ def root_of(archive: Archive, *, revision_id: str | None = None, head_id: str |
     return found
 
 
-def entries(archive: Archive, visible: DataFrame, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Reached versions (root, object_id, revision_id, ordinal, level) and unresolved slots (root, object_id, revision_id),
-    from `seeds` (root, object_id, revision_id, ordinal), or from all objects of each root's own revision."""
+def tables(archive: Archive) -> tuple[DataFrame, DataFrame]:
+    """Staged object versions (object_id, revision_id, ordinal) and different references (owner, target_object, target_revision)."""
     objects = stage(versions(archive).select("object_id", "revision_id", "ordinal"), "manifest-objects")
-    refs = stage(archive.refs.select("owner", "target_object", "target_revision").distinct(), "manifest-refs")
+    return objects, stage(archive.refs.select("owner", "target_object", "target_revision").distinct(), "manifest-refs")
+
+
+def entries(archive: Archive, visible: DataFrame, seeds: DataFrame | None = None, known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reached versions (root, object_id, revision_id, ordinal, level) and unresolved slots (root, object_id, revision_id),
+    from `seeds` (root, object_id, revision_id, ordinal), or from all objects of each root's own revision. `known` are the
+    archive's `tables`, where the caller has them."""
+    objects, refs = known or tables(archive)
+    seen = stage(sights(visible, objects), "manifest-sights")
     roots = visible.where("rank = 0").select("root")
     # all rows of the root's own revision are seeds; of a repeated version the first in canonical order speaks
     if seeds is None:
@@ -62,14 +77,18 @@ def entries(archive: Archive, visible: DataFrame, seeds: DataFrame | None = None
     while not frontier.isEmpty():
         level += 1
         asked = frontier.select("root", C("ordinal").alias("owner")).join(refs, "owner").select("root", "target_object", "target_revision").distinct()
-        found = stage(in_scope(asked, visible, objects), "manifest-resolved")
+        found = stage(in_scope(asked, seen), "manifest-resolved")
         lost.append(found.where("found_revision IS NULL").select("root", C("target_object").alias("object_id"), C("target_revision").alias("revision_id")))
-        new = found.where("found_revision IS NOT NULL").select("root", C("target_object").alias("object_id"), C("found_revision").alias("revision_id"), C("found_ordinal").alias("ordinal")).dropDuplicates(["root", "object_id", "revision_id"])
-        known = union(reached).select("root", "object_id", "revision_id")
-        frontier = stage(new.join(known, ["root", "object_id", "revision_id"], "left_anti").withColumn("level", L(level)), "manifest-frontier")
+        new = found.where("found_revision IS NOT NULL").select("root", C("target_object").alias("object_id"), C("found_revision").alias("revision_id"), C("found_ordinal").alias("ordinal"), L(level).alias("level"))
+        # the earlier levels and the new rows meet in one aggregate: the least level of each version
+        every = dag.read_parts(reached).unionByName(new).groupBy("root", "object_id", "revision_id").agg(F.min(F.struct("level", "ordinal")).alias("m"))
+        frontier = stage(every.where(C("m.level") == level).select("root", "object_id", "revision_id", "m.ordinal", "m.level"), "manifest-frontier")
         reached.append(frontier)
+    if known is None:
+        unstage(objects, refs)
+    unstage(seen)
     slots = union(lost).distinct() if lost else archive.refs.where("false").select(C("object_id").alias("root"), "object_id", "revision_id")
-    return union(reached), slots
+    return dag.read_parts(reached), slots
 
 
 def manifests(archive: Archive, roots: DataFrame, mode: str = "inspect", externals: DataFrame | None = None) -> Manifest:
@@ -84,9 +103,7 @@ def manifests(archive: Archive, roots: DataFrame, mode: str = "inspect", externa
     open_ = match_external(slots, externals, "object_id")
     absent = open_.select("root", "object_id", "revision_id", C("external_content").alias("content_id"), F.when(C("external"), "external_required").otherwise("missing").alias("availability"), L(None).cast("int").alias("level"))
     rows = present.unionByName(absent)
-    missing = rows.where("availability = 'missing'")
-    problems = diagnostic(missing.withColumn("_s", C("root")), "missing_manifest_object", "root", "object_id", "revision {root} names missing object {object_id}", revision_id=C("root"), object_id=C("object_id")).withColumn("root", C("subject"))
-    return Manifest(mode, roots, rows, visible, problems.unionByName(record_diagnostics(archive, visible)))
+    return Manifest(mode, roots, rows, visible, archive)
 
 
 def record_diagnostics(archive: Archive, visible: DataFrame) -> DataFrame:

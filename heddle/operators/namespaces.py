@@ -45,6 +45,11 @@ def _claim_rules(a: Archive) -> DataFrame:
     ])
 
 
+def claim_rules(a: Archive) -> DataFrame:
+    """What a claim answers to by itself, its aliases included."""
+    return _claim_rules(a).unionByName(_alias_rules(a))
+
+
 def _alias_rules(a: Archive) -> DataFrame:
     cfg = a.config
     return row_rules(a.claim_aliases, [
@@ -67,8 +72,7 @@ def _canonical_rules(a: Archive) -> DataFrame:
 
 def _alias_owners(a: Archive) -> DataFrame:
     """Aliases with two owners, and aliases that another claim holds as its own id."""
-    place = Window.orderBy(*ORDERS["claims"])  # claims are a small dimension
-    claims = a.claims.withColumn("_place", F.row_number().over(place))
+    claims = a.claims.withColumn("_place", F.struct(*ORDERS["claims"]))
     own = claims.where("status = 'alias'").select("_place", L(0).cast("bigint").alias("pos"), C("ns_id").alias("alias"), C("canonical_id").alias("owner"))
     listed = claims.where("status <> 'alias'").join(a.claim_aliases.select(C("claim").alias("ordinal"), "alias", "pos"), "ordinal").select("_place", "pos", "alias", C("ns_id").alias("owner"))
     owners = own.unionByName(listed).withColumn("_first", F.first("owner").over(Window.partitionBy("alias").orderBy("_place", "pos")))
@@ -86,8 +90,7 @@ def registry(a: Archive) -> DataFrame:
     ids = a.claims.where("ns_uuid <> ''").select("ns_uuid", F.when(C("status") == "alias", C("canonical_id")).otherwise(C("ns_id")).alias("id"))
     split = ids.groupBy("ns_uuid").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
     return union([
-        _claim_rules(a),
-        _alias_rules(a),
+        claim_rules(a),
         _canonical_rules(a),
         _alias_owners(a),
         diagnostic(after_first(a.claims, ["ns_id"], ORDERS["claims"]), "duplicate_namespace_claim", "ns_id", None, "namespace {ns_id} is claimed more than once"),
@@ -112,7 +115,7 @@ def identities(rows: DataFrame, a: Archive, with_claims: bool) -> DataFrame:
 
 def against_claims(rows: DataFrame, a: Archive, subject: str) -> DataFrame:
     """Rows whose namespace leaves out, or contradicts, the UUID that its claim registers."""
-    found = rows.join(F.broadcast(resolved(a)), C("ns_id") == C("id"))  # one row a claimed id
+    found = rows.join(resolved(a), C("ns_id") == C("id"))
     code = F.when(C("claim_uuid") == "", None).when(C("ns_uuid") == "", "namespace_identity_missing").when(C("claim_uuid") != C("ns_uuid"), "namespace_identity_conflict")
     return diagnostic(found.withColumn("code", code).where("code IS NOT NULL"), C("code"), subject, "ns_id", "namespace {ns_id} does not carry the registered UUID {claim_uuid}")
 
@@ -131,7 +134,7 @@ def listing(a: Archive, with_claims: bool = True) -> DataFrame:
     name at or after its object.
     """
     first = a.objects.where("ns_uuid <> ''").groupBy("ns_id").agg(F.min_by("ns_uuid", "ordinal").alias("uuid"), F.min("ordinal").alias("_since"))
-    names = a.objects.select("ns_id", "ns_display", "ordinal").join(F.broadcast(first), "ns_id", "left")  # a row for each namespace
+    names = a.objects.select("ns_id", "ns_display", "ordinal").join(first, "ns_id", "left")
     seen = names.groupBy("ns_id").agg(F.first("uuid").alias("_u"), F.max(F.when(C("_since").isNull() | (C("ordinal") >= C("_since")), C("ns_display"))).alias("name"))
     kinds = a.objects.groupBy("ns_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set("schema_id")).alias("schema_ids"))
     seen = seen.select("ns_id", F.coalesce("_u", L("")).alias("uuid"), "name").join(kinds, "ns_id")

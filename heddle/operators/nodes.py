@@ -19,16 +19,17 @@ RULES = "array<struct<kind:string,value:string,values:array<string>,message:stri
 
 
 def walk(nodes: DataFrame) -> DataFrame:
-    """(node_id, root, depth, path): every node's place below its root; ordering by (root, path) is pre-order.
+    """(node_id, root, depth, path): every node's place below its root, as an array of positions; ordering by (root, path) is
+    pre-order.
 
     A round for each level; a node that hangs below itself is on no path and is left out.
     """
-    step = F.lpad(C("child_pos").cast("string"), 6, "0")
+    step = F.array(C("child_pos").cast("long"))
     level = stage(nodes.where("parent_id IS NULL").select("node_id", C("node_id").alias("root"), L(0).alias("depth"), step.alias("path")), "walk")
     seen = [level]
     while not level.isEmpty():
         below = nodes.select("node_id", "parent_id", step.alias("_s")).join(level.select(C("node_id").alias("parent_id"), "root", "depth", "path"), "parent_id")
-        level = stage(below.select("node_id", "root", (C("depth") + 1).alias("depth"), F.concat("path", L("/"), "_s").alias("path")), "walk")
+        level = stage(below.select("node_id", "root", (C("depth") + 1).alias("depth"), F.concat("path", "_s").alias("path")), "walk")
         seen.append(level)
     return union(seen)
 
@@ -73,10 +74,42 @@ def payload(attrs: DataFrame) -> DataFrame:
 
 
 def equal(a_nodes: DataFrame, a_attrs: DataFrame, b_nodes: DataFrame, b_attrs: DataFrame) -> DataFrame:
-    """(root, equal): whether trees with the same root are equal field by field, children in order."""
-    a = s_expressions(a_nodes, a_attrs).withColumnRenamed("text", "_a")
-    b = s_expressions(b_nodes, b_attrs).withColumnRenamed("text", "_b")
-    return a.join(b, "root", "full").select("root", C("_a").eqNullSafe(C("_b")).alias("equal"))
+    """(root, equal): whether trees with the same root are equal: kind, name and tagged attributes of each node, children in
+    order. Nodes are compared by their place, so no tree meets in one row."""
+
+    def rows(nodes, attrs, side):
+        own = attrs.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("key", "tag", "value", "items", "dims"))).alias("attrs"))
+        whole = walk(nodes).join(nodes.select("node_id", "kind", "name"), "node_id").join(own, "node_id", "left")
+        return whole.select("root", "path", F.struct("kind", "name", "attrs").alias(side))
+
+    both = rows(a_nodes, a_attrs, "_a").join(rows(b_nodes, b_attrs, "_b"), ["root", "path"], "full")
+    return both.groupBy("root").agg(F.bool_and(C("_a").eqNullSafe(C("_b"))).alias("equal"))
+
+
+SCRIPT = "core/script"
+
+
+def script(spark, node_id: str, name: str, *, source: str, language: str, inputs=(), outputs=(), effects=()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, attrs) of one script: an opaque text with the nodes that it reads and the names of what it makes and does. It is
+    never run."""
+    if not source.strip():
+        raise ValueError("a script needs a source")
+    for what, names in (("inputs", inputs), ("outputs", outputs), ("effects", effects)):
+        if not all(isinstance(x, str) and x for x in names):
+            raise ValueError(f"a script's {what} must be names")
+    lists = {"effects": ("symbol", effects), "inputs": ("reference", inputs), "outputs": ("symbol", outputs)}
+    rows = [(node_id, k, "list", None, [(tag, x) for x in names], None) for k, (tag, names) in lists.items()]
+    rows += [(node_id, "language", "symbol", language, None, None), (node_id, "source", "string", source, None, None)]
+    attrs = spark.createDataFrame(rows, "node_id string, key string, tag string, value string, items array<struct<tag:string,value:string>>, dims array<int>")
+    return spark.createDataFrame([(node_id, None, 0, SCRIPT, name)], "node_id string, parent_id string, child_pos long, kind string, name string"), attrs
+
+
+def validated(nodes: DataFrame, attrs: DataFrame, node_schemas: DataFrame, attr_schemas: DataFrame, node_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes and attributes as they are, if nothing is wrong with them; else the first messages are raised."""
+    wrong = [f"{r['subject']}: {r['message']}" for r in validate(nodes, attrs, node_schemas, attr_schemas, node_rules).orderBy("subject", "code", "related").limit(20).collect()]
+    if wrong:
+        raise ValueError("invalid nodes: " + "; ".join(wrong))
+    return nodes, attrs
 
 
 def validate(nodes: DataFrame, attrs: DataFrame, node_schemas: DataFrame, attr_schemas: DataFrame, node_rules: DataFrame) -> DataFrame:
@@ -84,7 +117,7 @@ def validate(nodes: DataFrame, attrs: DataFrame, node_schemas: DataFrame, attr_s
     rows = nodes.select("node_id", "kind", "expected")
     wrong = diagnostic(rows.where("kind <> expected"), "schema_kind_mismatch", "node_id", "kind", "expected node kind {expected}, got {kind}")
     fields = attr_schemas.withColumnRenamed("kind", "expected")
-    wanted = rows.join(F.broadcast(fields), "expected")  # schemas are a small dimension
+    wanted = rows.join(fields, "expected")
     have = attrs.select("node_id", C("key").alias("name"), "tag", "value")
     both = wanted.join(have, ["node_id", "name"], "left")
     missing = diagnostic(both.where("tag IS NULL AND required"), "missing_attribute", "node_id", "name", "missing required attribute {name}")
@@ -98,13 +131,13 @@ def validate(nodes: DataFrame, attrs: DataFrame, node_schemas: DataFrame, attr_s
     unknown = diagnostic(tried.where(~known), "unknown_validation_rule", "node_id", F.concat_ws(":", "name", "rule"), "unknown validation rule {rule}")
     said = F.when(F.coalesce(C("r.message"), L("")) != "", C("r.message")).otherwise(values.default_message(C("r.kind"), C("name"), C("r.value"), C("r.values")))
     failed = diagnostic(tried.where(~C("good")).withColumn("said", said), "validation_rule_failed", "node_id", F.concat_ws(":", "name", "rule"), "{said}")
-    closed = rows.join(F.broadcast(node_schemas.where("NOT allow_extra").select(C("kind").alias("expected"))), "expected", "left_semi")
-    extra = closed.join(have, "node_id").join(F.broadcast(fields.select("expected", "name")), ["expected", "name"], "left_anti")
+    closed = rows.join(node_schemas.where("NOT allow_extra").select(C("kind").alias("expected")), "expected", "left_semi")
+    extra = closed.join(have, "node_id").join(fields.select("expected", "name"), ["expected", "name"], "left_anti")
     unexpected = diagnostic(extra, "unexpected_attribute", "node_id", "name", "unexpected attribute {name}")
     # rules over several attributes apply where all of them are there, well typed and no references
     ready = there.where("NOT deferred AND fits").select("node_id", "name").unionByName(extra_ready(rows, have, fields))
     maps = have.join(ready, ["node_id", "name"], "left_semi").groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("record"))
-    over = rows.where("kind = expected").join(F.broadcast(node_rules.withColumnRenamed("kind", "expected")), "expected").join(maps, "node_id", "left")
+    over = rows.where("kind = expected").join(node_rules.withColumnRenamed("kind", "expected"), "expected").join(maps, "node_id", "left")
     over = over.where(F.forall("fields", lambda f: F.coalesce(F.map_contains_key(C("record"), f), L(False))))
     lost = diagnostic(over.where(~values.known_node_rule(C("rule"))), "unknown_node_validation_rule", "node_id", "rule", "unknown node validation rule {rule}")
     empty = (C("rule") == "ordered") & (F.size("fields") == 0)
@@ -118,13 +151,13 @@ def validate(nodes: DataFrame, attrs: DataFrame, node_schemas: DataFrame, attr_s
 def extra_ready(rows: DataFrame, have: DataFrame, fields: DataFrame) -> DataFrame:
     """Attributes outside the schema that rules over several may still name: those that are no references."""
     free = rows.select("node_id", "expected").join(have, "node_id").where("tag <> 'reference'")
-    return free.join(F.broadcast(fields.select("expected", "name")), ["expected", "name"], "left_anti").select("node_id", "name")
+    return free.join(fields.select("expected", "name"), ["expected", "name"], "left_anti").select("node_id", "name")
 
 
 def validate_payload(records: DataFrame, attrs: DataFrame, fields: DataFrame) -> DataFrame:
     """Checks records (node_id, schema) against schema fields (schema, name, element_kind, enum_values, rank, shape, required,
     cardinality, reference_target, rules); `related` is `field:reason`."""
-    wanted = records.join(F.broadcast(fields), "schema")  # fields are a small dimension
+    wanted = records.join(fields, "schema")
     have = attrs.select("node_id", C("key").alias("name"), "tag", "value", "items", "dims")
     both = wanted.join(have, ["node_id", "name"], "left")
 
@@ -132,7 +165,7 @@ def validate_payload(records: DataFrame, attrs: DataFrame, fields: DataFrame) ->
         return diagnostic(rows, "payload_schema_violation", "node_id", F.concat(C("name"), L(":" + reason)), message)
 
     missing = wrong(both.where("tag IS NULL AND required"), "missing_field", "missing required field {name}")
-    free = records.join(have, "node_id").join(F.broadcast(fields.select("schema", "name")), ["schema", "name"], "left_anti")
+    free = records.join(have, "node_id").join(fields.select("schema", "name"), ["schema", "name"], "left_anti")
     unexpected = wrong(free, "unexpected_field", "unexpected field {name}")
     there = both.where("tag IS NOT NULL")
     many = C("cardinality") == "many"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, distinct_diagnostics, first_by, union
 from ..model import Archive
-from ..staging import stage
+from ..staging import stage, unstage
 from . import dag, manifest, rules
 from .resolve import all_versions, match_external, versions
 
@@ -78,7 +78,8 @@ def keep_by_retention(policy: Policy, in_runs, retention="retention"):
 def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), externals: DataFrame | None = None) -> Reach:
     externals = a.externals if externals is None else externals
     spark = a.objects.sparkSession
-    pairs = dag.closure(dag.known_edges(a))
+    pairs = dag.closure(dag.upward(a), ordered=True)
+    tables = manifest.tables(a)
     held = stage(versions(a).select("object_id", "revision_id", "ordinal"), "purge-objects")
     first_runs = stage(first_by(a.runs, ["run_id"]).select("run_id", "revision_id", "parent_run_id"), "purge-runs")
     recs = stage(dag.first_revisions(a).select("revision_id", "run_id"), "purge-revisions")
@@ -156,7 +157,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         # closures of new seeds, each as its own revision sees it
         sight = stage(dag.visible(a, fresh.select("revision_id"), pairs), "purge-sight")
         start = fresh.join(held, ["object_id", "revision_id"]).withColumn("root", C("revision_id"))
-        reached, slots = manifest.entries(a, sight, start)
+        reached, slots = manifest.entries(a, sight, start, tables)
         reached = reached.select("object_id", "revision_id")
         missed.append(slots.select("root", "object_id"))
         if policy.keep_ancestor_objects:
@@ -277,7 +278,7 @@ def verify(compacted: Archive, reach: Reach, externals: DataFrame | None = None)
 
 def publish(a: Archive, roots: list[Root], path: str, policy: Policy = Policy(), externals: DataFrame | None = None) -> tuple[Plan, DataFrame, bool]:
     """Writes the compacted archive to a new folder, verifies it as read from there, and marks it with a `_VERIFIED` file only
-    if nothing is wrong; readers take marked folders."""
+    if nothing is wrong, which is what `files.load` with `verified` asks for."""
     from ..sources import files
 
     p = plan(a, roots, policy, externals)
@@ -286,6 +287,6 @@ def publish(a: Archive, roots: list[Root], path: str, policy: Policy = Policy(),
     wrong = verify(files.load(spark, path, config=a.config), p.reach, externals)
     good = rules.is_valid(wrong)
     if good:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_VERIFIED")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{files.VERIFIED}")
         target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target).close()
     return p, wrong, good

@@ -65,11 +65,14 @@ def checkpoint_candidates(a: Archive) -> DataFrame:
 
 def checkpoints(a: Archive) -> DataFrame:
     """Checkpoints that nothing answers, whose content can't be verified, or is another one."""
-    said = checkpoint_candidates(a).groupBy("run_id", "pos").agg(F.collect_set("content").alias("contents"), F.bool_or(C("content").isNull()).alias("unknown"))
+    wanted = a.checkpoints.select("run_id", "pos", C("content_id").alias("wanted"))
+    said = checkpoint_candidates(a).join(wanted, ["run_id", "pos"]).groupBy("run_id", "pos").agg(
+        F.coalesce(F.bool_or(C("content") == C("wanted")), L(False)).alias("same"), F.bool_or(C("content").isNull()).alias("unknown")
+    )
     rows = a.checkpoints.join(said, ["run_id", "pos"], "left").join(first_by(a.runs, ["run_id"]).where("restart_declared").select("run_id"), "run_id", "left_semi")
     code = (
-        F.when(C("contents").isNull(), "missing_restart_checkpoint")
-        .when(C("content_id").isNull() | F.array_contains("contents", C("content_id")), None)
+        F.when(C("same").isNull(), "missing_restart_checkpoint")
+        .when(C("content_id").isNull() | C("same"), None)
         .when(C("unknown"), "unverified_restart_content")
         .otherwise("incompatible_restart_content")
     )

@@ -16,18 +16,26 @@ def versions(a: Archive) -> DataFrame:
     return first_by(a.objects, ["object_id", "revision_id"])
 
 
-def in_scope(refs: DataFrame, visible: DataFrame, objects: DataFrame) -> DataFrame:
-    """`refs` (root, target_object, target_revision, …) with (found_revision, found_ordinal), null where nothing is found.
+def sights(visible: DataFrame, objects: DataFrame) -> DataFrame:
+    """(root, target_object, target_revision, found_revision, found_ordinal): what a reference to an object means as seen from a
+    root, with a null target_revision for the unpinned one: the version in the nearest revision, in the root's visiting order,
+    that holds the object. `visible` has (root, revision_id, rank).
 
-    A pinned target must lie in what its root sees; an unpinned one is the version in the nearest revision, in the root's
-    visiting order, that holds the object. `visible` has (root, revision_id, rank).
+    Every (root, object) is resolved here once, so references are left with an equi-join.
     """
-    refs = refs.withColumn("_id", F.monotonically_increasing_id())
     held = objects.select(C("object_id").alias("target_object"), C("revision_id").alias("found_revision"), C("ordinal").alias("found_ordinal"))
-    seen = visible.select(C("root"), C("revision_id").alias("found_revision"), "rank")
-    near = refs.join(held, "target_object").where("target_revision IS NULL OR target_revision = found_revision").join(seen, ["root", "found_revision"])
-    best = near.groupBy("_id").agg(F.min_by(F.struct("found_revision", "found_ordinal"), "rank").alias("b"))
-    return refs.join(best, "_id", "left").withColumn("found_revision", C("b.found_revision")).withColumn("found_ordinal", C("b.found_ordinal")).drop("_id", "b")
+    seen = visible.select("root", C("revision_id").alias("found_revision"), "rank").join(held, "found_revision")
+    near = seen.groupBy("root", "target_object").agg(F.min(F.struct("rank", "found_revision", "found_ordinal")).alias("b"))
+    near = near.select("root", "target_object", L(None).cast("string").alias("target_revision"), "b.found_revision", "b.found_ordinal")
+    return near.unionByName(seen.select("root", "target_object", C("found_revision").alias("target_revision"), "found_revision", "found_ordinal"))
+
+
+def in_scope(refs: DataFrame, sights: DataFrame) -> DataFrame:
+    """`refs` (root, target_object, target_revision, …) with (found_revision, found_ordinal), null where nothing is found; a
+    pinned target must lie in what its root sees."""
+    s = sights.select(*[C(c).alias(f"_{c}") for c in ("root", "target_object", "target_revision")], "found_revision", "found_ordinal")
+    same = (C("root") == C("_root")) & (C("target_object") == C("_target_object")) & C("target_revision").eqNullSafe(C("_target_revision"))
+    return refs.join(s, same, "left").drop("_root", "_target_object", "_target_revision")
 
 
 def match_external(rows: DataFrame, externals: DataFrame, object_col: str = "target_object", content_col: str | None = None) -> DataFrame:
@@ -37,11 +45,12 @@ def match_external(rows: DataFrame, externals: DataFrame, object_col: str = "tar
     if content_col is None:  # any content matches, so the first one wins
         first = first_by(ext, ["_eo"], ["_en"])
         return rows.join(first, C(object_col) == C("_eo"), "left").withColumn("external", C("_eo").isNotNull()).withColumnRenamed("_ec", "external_content").drop("_eo", "_en")
-    rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    same = (C(object_col) == C("_eo")) & (C("_ec").isNull() | C(content_col).isNull() | (C("_ec") == C(content_col)))
-    hits = rows.join(ext, same)
-    best = first_by(hits, ["_id"], ["_en"]).select("_id", L(True).alias("external"), C("_ec").alias("external_content"))
-    return rows.join(best, "_id", "left").withColumn("external", F.coalesce("external", L(False))).drop("_id")
+    # one answer for each different pair of object and content
+    asked = rows.select(C(object_col).alias("_ao"), C(content_col).alias("_ac")).distinct()
+    same = (C("_ao") == C("_eo")) & (C("_ec").isNull() | C("_ac").isNull() | (C("_ec") == C("_ac")))
+    best = first_by(asked.join(ext, same), ["_ao", "_ac"], ["_en"]).select("_ao", "_ac", L(True).alias("external"), C("_ec").alias("external_content"))
+    out = rows.join(best, (C(object_col) == C("_ao")) & C(content_col).eqNullSafe(C("_ac")), "left")
+    return out.withColumn("external", F.coalesce("external", L(False))).drop("_ao", "_ac")
 
 
 def all_versions(refs: DataFrame, objects: DataFrame, object_col: str = "object_id", revision_col: str = "revision_id") -> DataFrame:

@@ -40,11 +40,11 @@ def object_rows(a: Archive) -> DataFrame:
 
 
 def duplicate_reference_names(a: Archive) -> DataFrame:
-    return diagnostic(after_first(a.refs, ["owner", "name"], ["pos"]), "duplicate_reference_name", "object_id", "name", "duplicate reference name {name}")
+    return diagnostic(after_first(a.refs, ["owner", "name"], ["pos"]), "duplicate_reference_name", "object_id", "name", "reference name {name} is used twice in one object")
 
 
 def duplicate_object_revisions(a: Archive) -> DataFrame:
-    return diagnostic(after_first(a.objects, ["object_id", "revision_id"], ORDERS["objects"]), "duplicate_object_revision", "object_id", "revision_id", "duplicate object/revision {object_id} @ {revision_id}")
+    return diagnostic(after_first(a.objects, ["object_id", "revision_id"], ORDERS["objects"]), "duplicate_object_revision", "object_id", "revision_id", "object {object_id} has several rows for revision {revision_id}")
 
 
 def object_id_conflicts(a: Archive) -> DataFrame:
@@ -69,29 +69,29 @@ def resolves(refs: DataFrame, objects: DataFrame, how: str, object_col: str = "t
 
 def dangling_references(a: Archive) -> DataFrame:
     rows = resolves(a.refs, a.objects, "left_anti")
-    return diagnostic(rows, "dangling_reference", "object_id", "target_object", "reference {name} does not resolve", name=C("name"), target_object_id=C("target_object"), target_revision_id=C("target_revision"))
+    return diagnostic(rows, "dangling_reference", "object_id", "target_object", "nothing answers reference {name}", name=C("name"), target_object_id=C("target_object"), target_revision_id=C("target_revision"))
 
 
 def heads(a: Archive) -> DataFrame:
     """Repeated ids and names, and heads on unknown revisions (of the objects, where no revision has a record)."""
-    right = a.revisions if not a.revisions.isEmpty() else a.objects
+    right = a.revisions if a.has_revisions else a.objects
     dangling = a.heads.join(right.select("revision_id").distinct(), "revision_id", "left_anti")
     return union([
-        diagnostic(after_first(a.heads, ["head_id"], ORDERS["heads"]), "duplicate_workflow_head", "head_id", None, "duplicate workflow head {head_id}"),
-        diagnostic(after_first(a.heads, ["name"], ORDERS["heads"]), "duplicate_workflow_head_name", "head_id", "name", "duplicate workflow head name {name}"),
-        diagnostic(dangling, "dangling_workflow_head", "head_id", "revision_id", "workflow head {name} points at missing revision {revision_id}"),
+        diagnostic(after_first(a.heads, ["head_id"], ORDERS["heads"]), "duplicate_workflow_head", "head_id", None, "head id {head_id} is taken twice"),
+        diagnostic(after_first(a.heads, ["name"], ORDERS["heads"]), "duplicate_workflow_head_name", "head_id", "name", "head name {name} is taken twice"),
+        diagnostic(dangling, "dangling_workflow_head", "head_id", "revision_id", "head {name} stands on {revision_id}, which is not recorded"),
     ])
 
 
 def records(a: Archive) -> DataFrame:
     """Repeated revisions, runs, activities; objects of unrecorded revisions; activities of another run."""
     checks = [
-        diagnostic(after_first(a.revisions, ["revision_id"], ["ordinal"]), "duplicate_revision", "revision_id", None, "duplicate revision {revision_id}"),
-        diagnostic(after_first(a.runs, ["run_id"], ["ordinal"]), "duplicate_run", "run_id", None, "duplicate run {run_id}"),
-        diagnostic(after_first(a.activities, ["activity_id"], ["ordinal"]), "duplicate_activity", "activity_id", None, "duplicate activity {activity_id}"),
+        diagnostic(after_first(a.revisions, ["revision_id"], ["ordinal"]), "duplicate_revision", "revision_id", None, "revision {revision_id} is recorded twice"),
+        diagnostic(after_first(a.runs, ["run_id"], ["ordinal"]), "duplicate_run", "run_id", None, "run {run_id} is recorded twice"),
+        diagnostic(after_first(a.activities, ["activity_id"], ["ordinal"]), "duplicate_activity", "activity_id", None, "activity {activity_id} is recorded twice"),
         diagnostic(a.activities.where("declared_run_id <> run_id"), "activity_run_mismatch", "activity_id", "declared_run_id", "activity {activity_id} belongs to run {declared_run_id}, not {run_id}"),
     ]
-    if not a.revisions.isEmpty():
+    if a.has_revisions:
         lost = a.objects.join(a.revisions.select("revision_id").distinct(), "revision_id", "left_anti")
         checks.append(diagnostic(lost, "missing_revision_record", "object_id", "revision_id", "object {object_id} names unknown revision {revision_id}"))
     return union(checks)
@@ -112,7 +112,7 @@ def run_revisions(a: Archive) -> DataFrame:
     """What a run's revision says of the run, and what a revision's run says of the revision."""
     recs = dag.first_revisions(a).select(C("revision_id").alias("_rev"), C("run_id").alias("_run"), C("plan_id").alias("_plan"))
     rows = a.runs.where("revision_id IS NOT NULL").join(recs, C("revision_id") == C("_rev"), "left")
-    gate = L(not a.revisions.isEmpty())
+    gate = L(a.has_revisions)
     forward = F.when(C("_rev").isNull(), F.when(gate, L("missing_run_revision"))).when(C("_run").isNotNull() & (C("_run") != C("run_id")), "run_revision_mismatch").when(_plans_differ(C("plan_id"), C("_plan")), "run_revision_plan_mismatch")
     one = diagnostic(rows.withColumn("code", forward).where("code IS NOT NULL"), C("code"), "run_id", "revision_id", "run {run_id} and revision {revision_id} disagree")
     runs = first_by(a.runs, ["run_id"]).select(C("run_id").alias("_run"), C("revision_id").alias("_rev"), C("plan_id").alias("_plan"))
@@ -147,7 +147,7 @@ def event_references(a: Archive) -> DataFrame:
     rows = a.events.join(runs, C("run_id") == C("_run"), "left").join(own, (C("run_id") == C("_r")) & (C("activity_id") == C("_a")), "left")
     code = F.when(C("_run").isNull(), "missing_event_run").when(C("activity_id").isNotNull() & C("_a").isNull(), "missing_event_activity")
     checks = [diagnostic(rows.withColumn("code", code).where("code IS NOT NULL"), C("code"), "run_id", F.when(C("code") == "missing_event_activity", C("activity_id")), "event {kind} names an unknown run or activity")]
-    if not a.revisions.isEmpty():
+    if a.has_revisions:
         lost = a.events.where("revision_id IS NOT NULL").join(a.revisions.select("revision_id").distinct(), "revision_id", "left_anti")
         checks.append(diagnostic(lost, "missing_event_revision", "run_id", "revision_id", "event {kind} names unknown revision {revision_id}"))
     refs = resolves(a.event_refs, a.objects, "left_anti", "object_id", "revision_id").join(a.events.select(C("ordinal").alias("event"), "run_id", "kind"), "event")
@@ -158,7 +158,7 @@ def event_references(a: Archive) -> DataFrame:
 def duplicate_sequences(a: Archive) -> DataFrame:
     """Events that repeat a sequence number of their run and source."""
     rows = after_first(a.events.where("sequence IS NOT NULL"), ["run_id", F.coalesce(C("source"), L("")), "sequence"], ["ordinal"])
-    return diagnostic(rows, "duplicate_event_sequence", "run_id", F.concat_ws("/", F.coalesce(C("source"), L("")), C("sequence")), "run {run_id} has two events with sequence {sequence}")
+    return diagnostic(rows, "duplicate_event_sequence", "run_id", F.concat_ws("/", F.coalesce(C("source"), L("")), C("sequence")), "sequence {sequence} is taken twice in run {run_id}")
 
 
 def log_streams(a: Archive) -> DataFrame:
@@ -168,6 +168,12 @@ def log_streams(a: Archive) -> DataFrame:
     return diagnostic(rows.withColumn("code", code).where("code IS NOT NULL"), C("code"), "run_id", F.when(C("code") == "missing_log_stream_activity", C("activity_id")), "log stream {kind} names an unknown run or activity")
 
 
+def staged_rows(a: Archive) -> DataFrame:
+    """Kind and schema rules of single staged objects, and reused ones without a source."""
+    reused = (C("origin") == "reused") & C("source_revision_id").isNull()
+    return row_rules(a.staged, [*_envelope(a.config, "object_id", False), (reused, "reused_without_source", C("object_id"), C("run_id"), L("reused staged object has no source revision"))])
+
+
 def run_records(a: Archive) -> DataFrame:
     """Lifecycle rules of runs by themselves and of what they stage."""
     code = F.when(C("status") == "uncertain", "uncertain_run_has_revision").otherwise("incomplete_run_has_revision")
@@ -175,14 +181,13 @@ def run_records(a: Archive) -> DataFrame:
     own = _activities(a)
     lost = a.staged.where("activity_id IS NOT NULL").join(own, (C("run_id") == C("_r")) & (C("activity_id") == C("_a")), "left_anti")
     restart = a.runs.where("restart_declared AND restart_activity IS NOT NULL").join(own, (C("run_id") == C("_r")) & (C("restart_activity") == C("_a")), "left_anti")
-    staged = _envelope(a.config, "object_id", False) + [((C("origin") == "reused") & C("source_revision_id").isNull(), "reused_without_source", C("object_id"), C("run_id"), L("reused staged object has no source revision"))]
     back = a.revisions.select("revision_id", C("run_id").alias("_run")).join(a.runs.where("revision_id IS NULL").select("run_id"), C("_run") == C("run_id"))
     return union([
-        diagnostic(early, code, "run_id", "revision_id", "run {run_id} with status {status} must not name a committed revision"),
-        row_rules(a.staged, staged),
-        diagnostic(after_first(a.staged, ["run_id", "object_id"], ["ordinal"]), "duplicate_staged_object", "run_id", "object_id", "run {run_id} stages object {object_id} more than once"),
-        diagnostic(lost, "missing_staged_activity", "run_id", "activity_id", "staged object {object_id} names unknown activity {activity_id}"),
-        diagnostic(restart, "missing_restart_activity", "run_id", "restart_activity", "run {run_id} restart names unknown activity {restart_activity}"),
+        diagnostic(early, code, "run_id", "revision_id", "run {run_id} is {status} and still names a revision"),
+        staged_rows(a),
+        diagnostic(after_first(a.staged, ["run_id", "object_id"], ["ordinal"]), "duplicate_staged_object", "run_id", "object_id", "object {object_id} is staged twice by run {run_id}"),
+        diagnostic(lost, "missing_staged_activity", "run_id", "activity_id", "activity {activity_id} of staged object {object_id} is not the run's"),
+        diagnostic(restart, "missing_restart_activity", "run_id", "restart_activity", "the restart of run {run_id} starts from {restart_activity}, which is not its activity"),
         diagnostic(back, "uncommitted_run_has_revision", "run_id", "revision_id", "revision {revision_id} names uncommitted run {run_id}"),
     ])
 
@@ -200,6 +205,12 @@ def staging(a: Archive) -> DataFrame:
     return one.unionByName(two)
 
 
+def write_rows(a: Archive) -> DataFrame:
+    """Writes in flight that nobody holds."""
+    open_ = C("phase").isin(*IN_FLIGHT) & C("writer_token").isNull()
+    return row_rules(a.writes, [(open_, "missing_writer_token", C("sequence"), C("phase"), F.concat(C("scope"), L(" write is in flight without a writer token")))])
+
+
 def writes(a: Archive) -> DataFrame:
     flight = C("phase").isin(*IN_FLIGHT)
     repeated = after_first(a.writes, ["scope", F.coalesce(C("run_id"), L(""))], ["ordinal"])
@@ -213,7 +224,7 @@ def writes(a: Archive) -> DataFrame:
         ((C("phase") == "uncertain") & (C("_status") != "uncertain"), "uncertain_write_status_mismatch", C("run_id"), C("_status"), L("an uncertain write's run has another status")),
     ])
     return union([
-        row_rules(a.writes, [(flight & C("writer_token").isNull(), "missing_writer_token", C("sequence"), C("phase"), F.concat(C("scope"), L(" write is in flight without a writer token")))]),
+        write_rows(a),
         diagnostic(repeated, "duplicate_write", "scope", "run_id", "{scope} write for {run_id} is recorded more than once"),
         diagnostic(lost, "missing_write_run", "scope", "run_id", "{scope} write sequence {sequence} names unknown run {run_id}"),
         diagnostic(many, "multiple_archive_writers", C("n").cast("string"), None, "one in-flight archive writer is allowed; found {n}"),
@@ -222,7 +233,7 @@ def writes(a: Archive) -> DataFrame:
 
 
 def plans(a: Archive) -> DataFrame:
-    return diagnostic(a.plan_operations.where("kind = ''"), "empty_operation_kind", "plan_id", "pos", "plan operation {pos} has an empty kind")
+    return diagnostic(a.plan_operations.where("kind = ''"), "empty_operation_kind", "plan_id", "pos", "operation {pos} of the plan names no kind")
 
 
 def event_batch(events: DataFrame, payload: DataFrame | None = None, write: dict | None = None) -> DataFrame:
@@ -231,8 +242,8 @@ def event_batch(events: DataFrame, payload: DataFrame | None = None, write: dict
     mixed = events.crossJoin(F.broadcast(first)).where("run_id <> _first")  # one row
     repeated = after_first(events.where("sequence IS NOT NULL"), ["run_id", F.coalesce(C("source"), L("")), "sequence"], ["ordinal"])
     checks = [
-        diagnostic(mixed, "event_batch_run_mismatch", "_first", "run_id", "event batch mixes run {_first} with {run_id}"),
-        diagnostic(repeated, "duplicate_event_sequence", "run_id", F.concat_ws("/", F.coalesce(C("source"), L("")), C("sequence")), "run {run_id} has two events with sequence {sequence}"),
+        diagnostic(mixed, "event_batch_run_mismatch", "_first", "run_id", "a batch of run {_first} holds an event of {run_id}"),
+        diagnostic(repeated, "duplicate_event_sequence", "run_id", F.concat_ws("/", F.coalesce(C("source"), L("")), C("sequence")), "sequence {sequence} is taken twice in run {run_id}"),
         diagnostic(events.where(is_secret_value(C("message"))), "credential_like_content", "run_id", L("message"), "credential-like content is not allowed"),
     ]
     if payload is not None:
@@ -241,30 +252,47 @@ def event_batch(events: DataFrame, payload: DataFrame | None = None, write: dict
         if write["phase"] in IN_FLIGHT and not write.get("writer_token"):
             checks.append(diagnostic(first, "missing_writer_token", L(str(write.get("sequence", ""))), L(write["phase"]), "write is in flight without a writer token"))
         if write["scope"] != "run":
-            checks.append(diagnostic(first, "event_batch_write_scope", "_first", L(write["scope"]), "event batch write must be run-scoped"))
+            checks.append(diagnostic(first, "event_batch_write_scope", "_first", L(write["scope"]), "the write of a batch has another scope than its run"))
         elif write.get("run_id") is not None:
-            checks.append(diagnostic(first.where(C("_first") != write["run_id"]), "event_batch_write_run_mismatch", "_first", L(write["run_id"]), "event batch write names another run"))
+            checks.append(diagnostic(first.where(C("_first") != write["run_id"]), "event_batch_write_run_mismatch", "_first", L(write["run_id"]), "the write of a batch is for another run"))
     return union(checks)
 
 
-def event_batches(events: DataFrame) -> DataFrame:
-    """The rules of atomic appends for many batches at once: `events` also has a `batch`. Each is its first event's run's."""
+def event_batches(events: DataFrame, payload: DataFrame | None = None, writes: DataFrame | None = None) -> DataFrame:
+    """The rules of atomic appends for many batches at once: `events` also has a `batch`. Each is its first event's run's.
+
+    `payload` (event, key, value, is_text) belongs to the events by their ordinal; `writes` (batch, scope, phase, sequence, run_id,
+    writer_token) are the batches' write transactions.
+    """
     first = events.groupBy("batch").agg(F.min_by("run_id", "ordinal").alias("_first"))
     mixed = events.join(first, "batch").where("run_id <> _first")
     repeated = after_first(events.where("sequence IS NOT NULL"), ["batch", "run_id", F.coalesce(C("source"), L("")), "sequence"], ["ordinal"])
-    return union([
-        diagnostic(mixed, "event_batch_run_mismatch", "batch", "run_id", "event batch mixes run {_first} with {run_id}"),
-        diagnostic(repeated, "duplicate_event_sequence", "batch", F.concat_ws("/", "run_id", F.coalesce(C("source"), L("")), "sequence"), "run {run_id} has two events with sequence {sequence}"),
+    checks = [
+        diagnostic(mixed, "event_batch_run_mismatch", "batch", "run_id", "a batch of run {_first} holds an event of {run_id}"),
+        diagnostic(repeated, "duplicate_event_sequence", "batch", F.concat_ws("/", "run_id", F.coalesce(C("source"), L("")), "sequence"), "sequence {sequence} is taken twice in run {run_id}"),
         diagnostic(events.where(is_secret_value(C("message"))), "credential_like_content", "batch", L("message"), "credential-like content is not allowed"),
-    ])
+    ]
+    if payload is not None:
+        said = payload.where(is_secret_name(C("key")) | (C("is_text") & is_secret_value(C("value"))))
+        said = said.join(events.select("batch", C("ordinal").alias("event")), "event")
+        checks.append(diagnostic(said, "credential_like_content", "batch", "key", "credential-like content is not allowed"))
+    if writes is not None:
+        rows = writes.join(first, "batch")
+        code = F.when(C("scope") != "run", "event_batch_write_scope").when(C("run_id") != C("_first"), "event_batch_write_run_mismatch")
+        checks += [
+            row_rules(rows, [(C("phase").isin(*IN_FLIGHT) & C("writer_token").isNull(), "missing_writer_token", C("batch"), C("phase"), L("the write of a batch is in flight without a writer token"))]),
+            diagnostic(rows.withColumn("code", code).where("code IS NOT NULL"), C("code"), "batch", F.when(C("scope") != "run", C("scope")).otherwise(C("run_id")), "the write of a batch is not its run's"),
+        ]
+    return union(checks)
 
 
 HISTORY = (records, run_parents, run_revisions, event_references, secrets, duplicate_sequences, log_streams, run_records, staging, writes)
 OBJECTS = (object_rows, duplicate_reference_names, duplicate_object_revisions, object_id_conflicts, dangling_references, heads)
 
 
-def validate(a: Archive, *, namespaces: bool = False, catalog: bool = False) -> DataFrame:
-    """All checks of an archive, as one frame; with its namespace claims and its catalog if asked for."""
+def validate(a: Archive, *, namespaces: bool = False, catalog: bool = False, definitions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All checks of an archive, as one frame; with its namespace claims, with its catalog, and with embedded schema definitions
+    (definitions, fields) if given: their own rules, and what they say of the objects' schemas."""
     from . import catalog as schemas
     from . import namespaces as claims
 
@@ -273,6 +301,8 @@ def validate(a: Archive, *, namespaces: bool = False, catalog: bool = False) ->
         frames += [claims.registry(a)]
     if catalog:
         frames += [schemas.object_statuses(a), schemas.provenance(a)]
+    if definitions is not None:
+        frames += [schemas.registry(a, *definitions, with_claims=namespaces), schemas.status_diagnostics(a.objects, definitions[0])]
     return union(frames)
 
 

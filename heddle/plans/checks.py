@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..model import TABLES
-from ..operators import catalog, namespaces, readiness, rules
+from ..operators import catalog, namespaces, readiness, records, rules
 from .base import found, query
 from .graphs import KNOWN
 from .lookups import RESOLVED, SECRET_NAME, SECRET_VALUE
@@ -152,46 +152,101 @@ for _name, (_tables, _sql, _rule) in SQLS.items():
     check(_name, _tables, _sql)(_rule)
 
 
+#: What single records answer to by themselves.
+RECORDS = {
+    "object": ("objects refs", _envelope("objects", True) + " UNION ALL " + again("duplicate_reference_name", "refs", "owner, name", "pos", "object_id", "name")),
+    "event": ("events event_payload", f"""
+SELECT 'credential_like_content' AS code, run_id AS subject, 'message' AS related FROM a_events WHERE {SECRET_VALUE.format('message')}
+UNION ALL SELECT 'credential_like_content', e.run_id, p.key FROM a_event_payload p JOIN a_events e ON e.ordinal = p.event WHERE {SECRET_NAME.format('p.key')} OR (p.is_text AND {SECRET_VALUE.format('p.value')})"""),
+    "log_stream": ("log_streams", f"SELECT 'credential_like_content' AS code, run_id AS subject, 'summary' AS related FROM a_log_streams WHERE summary IS NOT NULL AND {SECRET_VALUE.format('summary')}"),
+    "staged": ("staged", _envelope("staged", False) + " UNION ALL SELECT 'reused_without_source', object_id, run_id FROM a_staged WHERE origin = 'reused' AND source_revision_id IS NULL"),
+    "run": ("runs staged activities revisions", f"SELECT code, subject, related FROM ({SQLS['k11_run_records'][1]}) WHERE code <> 'uncommitted_run_has_revision'"),
+    "write": ("writes", "SELECT 'missing_writer_token' AS code, sequence::VARCHAR AS subject, phase AS related FROM a_writes WHERE phase IN ('begin', 'appending', 'committing') AND writer_token IS NULL"),
+    "claim": ("claims claim_aliases", f"""
+WITH c AS (SELECT *, (ns_id = 'ns0' OR canonical_id = 'ns0' OR ns_uuid = {UUID}) AS own FROM a_claims)
+SELECT 'reserved_archive_area_claimed' AS code, ns_id AS subject, '' AS related FROM c WHERE ns_id IN {AREAS}
+UNION ALL SELECT 'reserved_namespace_claimed', ns_id, 'alias' FROM c WHERE status = 'alias' AND ns_id = 'ns0'
+UNION ALL SELECT 'reserved_namespace_claimed', ns_id, 'role' FROM c WHERE own AND role <> 'shared'
+UNION ALL SELECT 'reserved_namespace_claimed', ns_id, 'uuid' FROM c WHERE own AND ns_uuid NOT IN ('', {UUID})
+UNION ALL SELECT 'shared_namespace_role_mismatch', ns_id, role FROM c WHERE NOT own AND role = 'shared'
+UNION ALL SELECT 'reserved_archive_area_claimed', ns_id, alias FROM a_claim_aliases WHERE alias IN {AREAS}
+UNION ALL SELECT 'reserved_namespace_claimed', ns_id, alias FROM a_claim_aliases WHERE alias = 'ns0'"""),
+}
+for _name, (_tables, _sql) in RECORDS.items():
+    check(f"v_{_name}_records", _tables, _sql)(lambda a, kind=_name: records.validate(a, kind))
+
+
+@query("f14_rendered", "objects", "SELECT 'error ' || code || ' [' || subject || CASE WHEN related <> '' THEN ', ' || related ELSE '' END || ']' AS line FROM (" + _envelope("objects", True) + ")")
+def _(a):
+    return records.render(rules.object_rows(a))
+
+
 def total(parts: list[str]) -> str:
-    """How often each code is found by the given checks."""
-    return "SELECT code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT code FROM ({p})" for p in parts) + ") GROUP BY code"
+    """What the given checks find, row by row."""
+    return " UNION ALL ".join(f"SELECT code, subject, related FROM ({p})" for p in parts)
 
 
 _SUITE = [v[1] for k, v in SQLS.items() if k != "v5_plans"]
 _GRAPH = [
-    "WITH RECURSIVE " + KNOWN + " SELECT 'cycle' AS code FROM (SELECT min(source) AS id FROM pairs WHERE target IN (SELECT source FROM pairs WHERE source = target)) WHERE id IS NOT NULL",
-    "SELECT DISTINCT 'dangling_parent' AS code, child, parent FROM a_edges WHERE child IN (SELECT revision_id FROM a_revisions) AND parent NOT IN (SELECT revision_id FROM a_revisions)",
+    "WITH RECURSIVE " + KNOWN + " SELECT 'cycle' AS code, id AS subject, '' AS related FROM (SELECT min(source) AS id FROM pairs WHERE target IN (SELECT source FROM pairs WHERE source = target)) WHERE id IS NOT NULL",
+    "SELECT DISTINCT 'dangling_parent' AS code, child AS subject, parent AS related FROM a_edges WHERE child IN (SELECT revision_id FROM a_revisions) AND parent NOT IN (SELECT revision_id FROM a_revisions)",
 ]
 
 
 @query("v2_validate_archive", " ".join(TABLES), total(_SUITE + _GRAPH))
 def _(a):
-    """How often each code is found by the whole suite, claims and catalog included."""
-    return rules.validate(a, namespaces=True, catalog=True).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """What the whole suite finds, claims and catalog included."""
+    return found(rules.validate(a, namespaces=True, catalog=True))
 
 
 @query("q3_archive_commit", "runs staged activities revisions objects writes", total([
-    "SELECT 'run_not_completed' AS code FROM a_runs WHERE status <> 'completed'",
-    "SELECT 'run_already_committed' AS code FROM a_runs WHERE revision_id IS NOT NULL",
-    "SELECT 'uncertain_side_effect' AS code FROM a_runs WHERE status = 'uncertain'",
-    f"SELECT code FROM ({SQLS['k11_run_records'][1]}) WHERE code <> 'uncommitted_run_has_revision'",
+    "SELECT 'run_not_completed' AS code, run_id AS subject, status AS related FROM a_runs WHERE status <> 'completed'",
+    "SELECT 'run_already_committed' AS code, run_id AS subject, revision_id AS related FROM a_runs WHERE revision_id IS NOT NULL",
+    "SELECT 'uncertain_side_effect' AS code, run_id AS subject, '' AS related FROM a_runs WHERE status = 'uncertain'",
+    f"SELECT code, subject, related FROM ({SQLS['k11_run_records'][1]}) WHERE code <> 'uncommitted_run_has_revision'",
     SQLS["j9_staging"][1],
-    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code FROM a_writes w WHERE scope = 'run' AND phase IN ('begin', 'appending', 'committing', 'uncertain') AND run_id IN (SELECT run_id FROM a_runs)",
-    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code FROM (SELECT DISTINCT phase FROM a_writes WHERE scope = 'archive' AND phase IN ('begin', 'appending', 'committing', 'uncertain')) CROSS JOIN (SELECT DISTINCT run_id FROM a_runs)",
+    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code, run_id AS subject, scope AS related FROM a_writes w WHERE scope = 'run' AND phase IN ('begin', 'appending', 'committing', 'uncertain') AND run_id IN (SELECT run_id FROM a_runs)",
+    "SELECT CASE WHEN phase = 'uncertain' THEN 'uncertain_side_effect' ELSE 'in_flight_write' END AS code, run_id AS subject, 'archive' AS related FROM (SELECT DISTINCT phase FROM a_writes WHERE scope = 'archive' AND phase IN ('begin', 'appending', 'committing', 'uncertain')) CROSS JOIN (SELECT DISTINCT run_id FROM a_runs)",
 ]))
 def _(a):
-    """How often each code keeps a run from being committed."""
-    return readiness.archive_commit(a).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """What keeps runs from being committed."""
+    return found(readiness.archive_commit(a))
 
 
-@query("k13_event_batches", "events", f"""
+@query("k13_event_batches", "events event_payload writes", f"""
 WITH e AS (SELECT *, 'batch-' || (ordinal - ordinal % 50) AS batch FROM a_events), f AS (SELECT batch, min_by(run_id, ordinal) AS first_run FROM e GROUP BY batch)
 SELECT 'event_batch_run_mismatch' AS code, e.batch AS subject, run_id AS related FROM e JOIN f ON f.batch = e.batch WHERE run_id <> first_run
 UNION ALL SELECT 'duplicate_event_sequence', batch, run_id || '/' || coalesce(source, '') || '/' || sequence FROM (SELECT *, row_number() OVER (PARTITION BY batch, run_id, coalesce(source, ''), sequence ORDER BY ordinal) AS n FROM e WHERE sequence IS NOT NULL) WHERE n > 1
-UNION ALL SELECT 'credential_like_content', batch, 'message' FROM e WHERE {SECRET_VALUE.format('message')}""")
+UNION ALL SELECT 'credential_like_content', batch, 'message' FROM e WHERE {SECRET_VALUE.format('message')}
+UNION ALL SELECT 'credential_like_content', batch, key FROM a_event_payload p JOIN e ON e.ordinal = p.event WHERE {SECRET_NAME.format('p.key')} OR (p.is_text AND {SECRET_VALUE.format('p.value')})
+UNION ALL SELECT 'missing_writer_token', f.batch, w.phase FROM a_writes w JOIN f ON f.batch = 'batch-' || w.ordinal WHERE phase IN ('begin', 'appending', 'committing') AND writer_token IS NULL
+UNION ALL SELECT 'event_batch_write_scope', f.batch, w.scope FROM a_writes w JOIN f ON f.batch = 'batch-' || w.ordinal WHERE scope <> 'run'
+UNION ALL SELECT 'event_batch_write_run_mismatch', f.batch, w.run_id FROM a_writes w JOIN f ON f.batch = 'batch-' || w.ordinal WHERE scope = 'run' AND run_id <> first_run""")
 def _(a):
+    """Fifty events make a batch, with the write that has the first one's number."""
     batch = F.concat(F.lit("batch-"), F.col("ordinal") - F.col("ordinal") % 50)
-    return found(rules.event_batches(a.events.withColumn("batch", batch)))
+    writes = a.writes.withColumn("batch", F.concat(F.lit("batch-"), "ordinal"))
+    return found(rules.event_batches(a.events.withColumn("batch", batch), a.event_payload, writes))
+
+
+@query("e1_appended_events", "events event_payload", f"""
+WITH bad AS (
+  SELECT run_id, 'credential_like_content' AS code FROM a_events WHERE {SECRET_VALUE.format('message')}
+  UNION SELECT e.run_id, 'credential_like_content' FROM a_event_payload p JOIN a_events e ON e.ordinal = p.event WHERE {SECRET_NAME.format('p.key')} OR (p.is_text AND {SECRET_VALUE.format('p.value')})
+  UNION SELECT run_id, 'duplicate_event_sequence' FROM (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(source, ''), sequence ORDER BY ordinal) AS n FROM a_events WHERE sequence IS NOT NULL) WHERE n > 1)
+SELECT ordinal, e.run_id, coalesce(codes, '') AS codes FROM a_events e LEFT JOIN (SELECT run_id, string_agg(code, ',' ORDER BY code) AS codes FROM bad GROUP BY run_id) b ON b.run_id = e.run_id""")
+def _(a):
+    """All events through the append stream, in one micro-batch: what was appended, and what was set aside with its codes."""
+    from ..sources.files import event_stream
+    from ..staging import stage
+    from ..streaming.events import append
+
+    spark = a.events.sparkSession
+    arrived = stage(a.events, "append-events")
+    out = arrived.staged_path.replace("append-events", "appended")
+    append(event_stream(spark, arrived.staged_path), f"{out}/table", f"{out}/aside", f"{out}/state", payload=a.event_payload).awaitTermination()
+    kept = spark.read.parquet(f"{out}/table").select("ordinal", "run_id", F.lit("").alias("codes"))
+    return kept.unionByName(spark.read.parquet(f"{out}/aside").select("ordinal", "run_id", "codes"))
 
 
 @query("e2_stream_repeats", "events", """
@@ -200,11 +255,13 @@ def _(a):
     """Repeats that the stateful stream finds, over all events as files arrive."""
     from ..staging import shared_dir, stage
     from ..sources.files import event_stream
-    from ..streaming.events import repeats
+    from ..streaming.events import repeats, state_store
 
     spark = a.events.sparkSession
     arrived = stage(a.events, "stream-events")
     out = f"{shared_dir(spark)}/stream-repeats-{arrived.staged_path.rsplit('-', 1)[-1]}"
     rows = repeats(event_stream(spark, arrived.staged_path))
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema("run_id string, source string, sequence long, kind string").parquet(out).select("run_id", "source", "sequence")

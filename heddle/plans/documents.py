@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..model import Archive
-from ..operators import catalog, nodes
-from ..sources.projection import CONFIG
+from ..operators import catalog, nodes, records
+from ..sources.projection import CONFIG, archive, duckdb_sql
 from .base import QUERIES, SQL, found
 
 C, L = F.col, F.lit
@@ -45,19 +45,31 @@ def query(name, sql=None):
 
 
 @query("g10_tree_walk", """
-SELECT 'conv-' || conv_id AS node_id, 'conv-' || conv_id AS root, 0 AS depth, '000000' AS path FROM (SELECT DISTINCT conv_id FROM conversations)
-UNION ALL SELECT 'conv-' || conv_id || '-' || turn, 'conv-' || conv_id, 1, '000000/' || lpad(turn::VARCHAR, 6, '0') FROM conversations""")
+SELECT 'conv-' || conv_id AS node_id, 'conv-' || conv_id AS root, 0 AS depth, '0' AS path FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT 'conv-' || conv_id || '-' || turn, 'conv-' || conv_id, 1, '0/' || turn FROM conversations""")
 def _(spark, sf_dir):
-    return nodes.walk(trees(spark, sf_dir)[0])
+    return nodes.walk(trees(spark, sf_dir)[0]).withColumn("path", F.array_join(C("path").cast("array<string>"), "/"))
 
 
 @query("f13_s_expressions", """
-SELECT 'conv-' || conv_id AS root, '(chat/conversation' || chr(10) || string_agg('  (chat/turn ' || role || ' (role "' || role || '") (size ' || length(text) || '))' || CASE WHEN last THEN ')' ELSE '' END, chr(10) ORDER BY lpad(turn::VARCHAR, 6, '0')) AS text
+SELECT 'conv-' || conv_id AS root, '(chat/conversation' || chr(10) || string_agg('  (chat/turn ' || role || ' (role "' || role || '") (size ' || length(text) || '))' || CASE WHEN last THEN ')' ELSE '' END, chr(10) ORDER BY turn) AS text
 FROM (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY conv_id""")
 def _(spark, sf_dir):
     return nodes.s_expressions(*trees(spark, sf_dir))
 
 
+@query("f17_equal_trees", """
+SELECT DISTINCT 'conv-' || conv_id AS root, conv_id % 5 <> 1 AND conv_id % 7 <> 2 AND conv_id % 11 <> 3 AS equal FROM conversations""")
+def _(spark, sf_dir):
+    """Conversations against copies of which some have a role of another tag, some an attribute of nothing, some a turn less."""
+    n, attrs = trees(spark, sf_dir)
+    conv = F.split("node_id", "-")[1].cast("bigint")
+    tag = F.when((conv % 5 == 1) & (C("key") == "role"), "string").otherwise(C("tag"))
+    more = attrs.where((conv % 7 == 2) & (C("key") == "role")).withColumns({"key": L("void"), "tag": L("nothing"), "value": L(None).cast("string")})
+    less = n.where((conv % 11 != 3) | (C("child_pos") > 0) | C("parent_id").isNull())
+    return nodes.equal(n, attrs, less, attrs.withColumn("tag", tag).unionByName(more))
+
+
 @query("p13_attribute", "SELECT 'conv-' || conv_id || '-' || turn AS node_id, role AS value FROM conversations")
 def _(spark, sf_dir):
     return nodes.attribute(trees(spark, sf_dir)[1], "role", "nobody")
@@ -208,6 +220,37 @@ def _(spark, sf_dir):
     return found(catalog.registry(*_definitions(spark, sf_dir)))
 
 
+@query("v4_objects_against_definitions", _sql("""
+, o AS (SELECT *, schema_ns || '/' || schema_id || '/' || schema_version AS key FROM ({objects}))
+SELECT CASE s WHEN 'migration_required' THEN s ELSE 'missing_schema' END AS code, object_id AS subject, key AS related
+FROM (SELECT object_id, o.key, coalesce(k.compatibility, 'missing_schema') AS s FROM o LEFT JOIN (SELECT key, min(compatibility) AS compatibility FROM d GROUP BY key) k ON k.key = o.key) WHERE s <> 'exact_read'""").replace("{objects}", duckdb_sql("objects")))
+def _(spark, sf_dir):
+    """What embedded definitions say of the objects' schemas; of repeated ones the least compatibility."""
+    _, d, _ = _definitions(spark, sf_dir)
+    known = d.groupBy(*catalog.KEY).agg(F.min("compatibility").alias("compatibility"))
+    return found(catalog.status_diagnostics(archive(spark, sf_dir).objects, known))
+
+
+@query("a3_definition_report", _sql("""
+SELECT d.key AS schema, d.compatibility, coalesce(g.fields, '') AS fields, coalesce(g.n, 0) AS n_fields, 'schema ' || d.key || ' is ' || d.compatibility AS summary FROM d
+LEFT JOIN (SELECT schema_ns || '/' || schema_id || '/' || schema_version AS key, string_agg(name, ',' ORDER BY name) AS fields, count(*) AS n FROM f GROUP BY 1) g ON g.key = d.key"""))
+def _(spark, sf_dir):
+    _, d, f = _definitions(spark, sf_dir)
+    return records.definition_report(d, f)
+
+
+@query("a3_registry_report", _sql("SELECT count(*) AS entries, count(DISTINCT kind) AS names FROM d"))
+def _(spark, sf_dir):
+    d = _definitions(spark, sf_dir)[1]
+    return records.registry_report(d.withColumn("kind", F.concat_ws("/", "schema_ns", "schema_id")), "kind")
+
+
+@query("a3_document_report", "SELECT 'conv-' || conv_id AS document_id, 'chat/conversation' AS schema, count(*) AS fragments FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    t = _read(spark, sf_dir, "conversations")
+    return records.document_report(t.select(F.concat(L("conv-"), "conv_id").alias("document_id"), L("chat/conversation").alias("schema")))
+
+
 @query("a9_list_schemas", _sql("""
 SELECT d.schema_ns, d.schema_id, d.schema_version, d.ns_id, d.compatibility, d.documentation, coalesce(g.fields, '') AS fields, coalesce(g.n, 0) AS n_fields FROM d
 LEFT JOIN (SELECT schema_ns, schema_id, schema_version, string_agg(name, ',' ORDER BY name) AS fields, count(*) AS n FROM f GROUP BY ALL) g ON g.schema_ns = d.schema_ns AND g.schema_id = d.schema_id AND g.schema_version = d.schema_version"""))

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_secret_name, is_secret_value, schema_kind
-from ..operators import catalog, lookup, namespaces
+from ..model import columns
+from ..operators import catalog, lookup, namespaces, records
+from ..sources import files
 from .base import query
 
 EVENT_ORDER = "coalesce(source, ''), coalesce(sequence, 9223372036854775807), ordinal"
@@ -154,10 +156,7 @@ SELECT r.run_id, r.status, coalesce(ac.n, 0) AS activities, coalesce(st.n, 0) AS
 LEFT JOIN (SELECT run_id, count(*) AS n FROM a_activities GROUP BY run_id) ac ON ac.run_id = r.run_id LEFT JOIN (SELECT run_id, count(*) AS n FROM a_staged GROUP BY run_id) st ON st.run_id = r.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM a_checkpoints GROUP BY run_id) cp ON cp.run_id = r.run_id""")
 def _(a):
-    rows = a.runs
-    for name in ("activities", "staged", "checkpoints"):
-        rows = rows.join(getattr(a, name).groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
-    return rows.select("run_id", "status", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("activities", "staged", "checkpoints")], F.col("revision_id").isNotNull().alias("committed"))
+    return records.report(a, "run").drop("revision_id")
 
 
 @query("a10_known_schemas", "catalog", "SELECT schema_ns, schema_id, schema_version, compatibility FROM a_catalog")
@@ -232,6 +231,32 @@ def _(a):
     return rows.select(F.from_json("record", "run_id string, status string, restart_declared boolean, ordinal bigint").alias("r")).select("r.*")
 
 
+def _round_trip(table):
+    def run(a):
+        return files.from_records(files.to_records(a, table), table)
+
+    run.__doc__ = f"Table {table} written as records and read again."
+    return run
+
+
+for _name in ("objects", "refs", "heads", "revisions", "runs", "activities", "staged", "events", "writes", "log_streams", "externals", "claims", "plan_operations"):
+    query(f"s10_{_name}_records", _name, f"SELECT {', '.join(columns(_name))} FROM a_{_name}")(_round_trip(_name))
+
+REPORTS = {
+    "object": ("objects", "SELECT object_id, revision_id, content_id, ns_id AS namespace, schema_ns || '/' || schema_id AS schema, schema_version, 'object ' || object_id || ' of kind ' || kind || ' in revision ' || revision_id AS summary FROM a_objects"),
+    "event": ("events", "SELECT ordinal, run_id, kind, sequence, severity, 'event ' || kind || ' of run ' || run_id AS summary FROM a_events"),
+    "log_stream": ("log_streams", "SELECT ordinal, run_id, kind, retention, kind || ' of run ' || run_id AS summary FROM a_log_streams"),
+    "staged": ("staged", "SELECT run_id, object_id, origin, ordinal, origin || ' object ' || object_id || ' of run ' || run_id AS summary FROM a_staged"),
+    "write": ("writes", "SELECT scope, phase, sequence, ordinal, scope || ' write is ' || phase AS summary FROM a_writes"),
+    "plan": ("plan_operations", "SELECT plan_id, count(*) AS operations, count(*) FILTER (WHERE kind = '') AS unnamed FROM a_plan_operations GROUP BY plan_id"),
+    "claim": ("claims claim_aliases", """
+SELECT c.ordinal, ns_id AS namespace, ns_uuid, role, status, canonical_id, coalesce(l.aliases, '') AS aliases, 'namespace ' || ns_id || ' is claimed as ' || role || ', ' || status AS summary FROM a_claims c
+LEFT JOIN (SELECT claim, string_agg(alias, ',' ORDER BY alias) AS aliases FROM a_claim_aliases GROUP BY claim) l ON l.claim = c.ordinal"""),
+}
+for _name, (_tables, _sql) in REPORTS.items():
+    query(f"a3_{_name}_report", _tables, _sql)(lambda a, kind=_name: records.report(a, kind))
+
+
 @query("j15_schemas_in_use", "objects catalog", """
 SELECT schema_ns, schema_id, schema_version, compatibility FROM a_catalog c WHERE EXISTS (SELECT 1 FROM a_objects o WHERE o.schema_ns = c.schema_ns AND o.schema_id = c.schema_id AND o.schema_version = c.schema_version)""")
 def _(a):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import dag, manifest, namespaces, purge, readiness, resolve
+from ..operators import catalog, dag, manifest, namespaces, purge, readiness, records, resolve
 from .base import found, query
 from .graphs import KNOWN
 
@@ -48,7 +48,7 @@ def _(a):
     objects = resolve.versions(a)
     refs = a.refs.select("owner", "target_object", "target_revision").distinct()
     links = sight.select("root", "revision_id").join(objects.select("revision_id", F.col("ordinal").alias("owner")), "revision_id").join(refs, "owner").select("root", "owner", "target_object", "target_revision")
-    return resolve.in_scope(links, sight, objects).select("root", "owner", "target_object", "target_revision", "found_revision")
+    return resolve.in_scope(links, resolve.sights(sight, objects)).select("root", "owner", "target_object", "target_revision", "found_revision")
 
 
 @query("j4_all_versions", "activity_refs objects", """
@@ -93,6 +93,15 @@ def _(a):
     return namespaces.listing(held, with_claims=False).select("ns_id", "ns_uuid", "display", "kinds", "schema_ids")
 
 
+@query("m6_manifest_schemas", TABLES + " catalog", "WITH RECURSIVE " + MANIFEST + """,
+held AS (SELECT DISTINCT schema_ns, schema_id, schema_version FROM a_objects WHERE (object_id, revision_id) IN (SELECT (object_id, revision_id) FROM entries WHERE availability = 'envelope_only'))
+SELECT c.schema_ns, c.schema_id, c.schema_version, c.compatibility FROM a_catalog c JOIN held h ON h.schema_ns = c.schema_ns AND h.schema_id = c.schema_id AND h.schema_version = c.schema_version""")
+def _(a):
+    """The schemas of what manifests hold."""
+    held = manifest.objects_of(a, manifest.manifests(a, a.heads))
+    return catalog.needed(held, a.catalog).select("schema_ns", "schema_id", "schema_version", "compatibility")
+
+
 @query("m7_missing_objects", TABLES, "WITH RECURSIVE " + MANIFEST + " SELECT 'missing_manifest_object' AS code, root AS subject, object_id AS related FROM entries WHERE availability = 'missing'")
 def _(a):
     return found(manifest.validate(manifest.manifests(a, a.heads))).where("code = 'missing_manifest_object'")
@@ -226,7 +235,10 @@ UNION SELECT 'head', head_id FROM a_heads WHERE 'rev|' || revision_id IN (SELECT
 @query("c12_reachable", PURGE_TABLES, "WITH RECURSIVE " + REACH + REACH_ROWS)
 def _(a):
     """What two heads, and all pinned events and logs, keep."""
-    r = _reach(a)
+    return _kept(_reach(a))
+
+
+def _kept(r):
     parts = [
         r.runs.select(F.lit("run").alias("kind"), F.col("run_id").alias("id")),
         r.revisions.select(F.lit("revision").alias("kind"), F.col("revision_id").alias("id")),
@@ -282,17 +294,54 @@ def _(a):
     return purge.plan(a, ROOTS, purge.Policy()).classes.select("class", "object_id", "revision_id", "content_id")
 
 
+OTHER_ROOTS = [purge.Root("run", id="run-4"), purge.Root("log_stream", id="run-8", log_kind="stdout"), purge.Root("revision", revision_id="rev-5")]
+OTHER_POLICY = purge.Policy(keep_uncommitted_runs=True, keep_ancestor_objects=True)
+# The same rules from other roots: runs and log streams keep their record and what their revision holds, an object its closure.
+OTHER_REACH = REACH.replace("""  SELECT 'start' AS src, 'snap|' || revision_id AS dst FROM a_heads WHERE head_id IN ('head-1', 'head-2') AND revision_id IN (SELECT revision_id FROM a_revisions)
+""", """  SELECT 'start' AS src, 'snap|rev-5' AS dst
+  UNION SELECT 'start', 'run|' || run_id FROM a_runs WHERE run_id IN ('run-4', 'run-8') OR revision_id IS NULL
+  UNION SELECT 'start', 'snap|' || revision_id FROM runs1 WHERE run_id IN ('run-4', 'run-8') AND revision_id IN (SELECT revision_id FROM a_revisions)
+  UNION SELECT 'start', 'rec|' || revision_id FROM runs1 WHERE run_id IN ('run-4', 'run-8') AND revision_id IS NOT NULL
+  UNION SELECT 'start', 'obj|' || revision_id || '|' || ordinal FROM (SELECT * FROM versions ORDER BY object_id, revision_id LIMIT 1)
+  UNION SELECT 'snap|' || s.root, 'held|' || v.ordinal FROM sight s JOIN versions v ON v.revision_id = s.revision_id
+  UNION SELECT 'obj|' || o.revision_id || '|' || o.ordinal, 'held|' || v.ordinal FROM versions o JOIN sight s ON s.root = o.revision_id JOIN versions v ON v.revision_id = s.revision_id
+""")
+
+
+@query("c4_reachable_from_other_roots", PURGE_TABLES, "WITH RECURSIVE " + OTHER_REACH + """
+SELECT 'run' AS kind, substr(node, 5) AS id FROM got WHERE starts_with(node, 'run|')
+UNION SELECT 'revision', substr(node, 5) FROM got WHERE starts_with(node, 'rev|')
+UNION SELECT 'object', v.object_id || '@' || v.revision_id FROM got JOIN versions v ON v.ordinal = split_part(node, '|', CASE WHEN starts_with(node, 'obj|') THEN 3 ELSE 2 END)::BIGINT WHERE starts_with(node, 'obj|') OR starts_with(node, 'held|')
+UNION SELECT 'head', head_id FROM a_heads WHERE 'rev|' || revision_id IN (SELECT node FROM got)""")
+def _(a):
+    """What a revision, an object, a run, a log stream, all uncommitted runs and all pinned events and logs keep, ancestors' objects
+    included."""
+    first = a.objects.orderBy("object_id", "revision_id").select("object_id", "revision_id").first()
+    roots = [*OTHER_ROOTS, purge.Root("object", id=first["object_id"], revision_id=first["revision_id"])]
+    return _kept(purge.reachable(a, roots, OTHER_POLICY))
+
+
+@query("a3_purge_report", PURGE_TABLES, "WITH RECURSIVE " + REACH + KEPT + """
+SELECT (SELECT count(*) FILTER (WHERE kept) FROM stored) AS reachable, (SELECT count(*) FILTER (WHERE NOT kept) FROM stored) AS unreachable, (SELECT count(*) FROM kept_runs) AS retained_runs, (SELECT count(*) FROM kept_revisions) AS retained_revisions""")
+def _(a):
+    """The plan's counts as one row."""
+    return records.plan_summary(purge.plan(a, ROOTS, purge.Policy())).select("reachable", "unreachable", "retained_runs", "retained_revisions")
+
+
 @query("c13_compacted_rows", PURGE_TABLES + " writes", "WITH RECURSIVE " + REACH + KEPT + """
-SELECT 'objects' AS "table", count(*) FILTER (WHERE kept) AS rows FROM stored
-UNION ALL SELECT 'heads', count(*) FROM a_heads WHERE head_id IN (SELECT head_id FROM kept_heads)
-UNION ALL SELECT 'revisions', count(*) FROM a_revisions WHERE revision_id IN (SELECT revision_id FROM kept_revisions)
-UNION ALL SELECT 'runs', count(*) FROM a_runs WHERE run_id IN (SELECT run_id FROM kept_runs)
-UNION ALL SELECT 'events', count(*) FROM a_events WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))
-UNION ALL SELECT 'writes', count(*) FROM a_writes WHERE run_id IN (SELECT run_id FROM kept_runs)
-UNION ALL SELECT 'log_streams', count(*) FROM a_log_streams WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))""")
+SELECT 'objects' AS "table", ordinal FROM stored WHERE kept
+UNION ALL SELECT 'heads', ordinal FROM a_heads WHERE head_id IN (SELECT head_id FROM kept_heads)
+UNION ALL SELECT 'revisions', ordinal FROM a_revisions WHERE revision_id IN (SELECT revision_id FROM kept_revisions)
+UNION ALL SELECT 'runs', ordinal FROM a_runs WHERE run_id IN (SELECT run_id FROM kept_runs)
+UNION ALL SELECT 'events', ordinal FROM a_events WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))
+UNION ALL SELECT 'writes', ordinal FROM a_writes WHERE run_id IN (SELECT run_id FROM kept_runs)
+UNION ALL SELECT 'log_streams', ordinal FROM a_log_streams WHERE retention = 'pinned' OR (retention = 'forensic' AND run_id IN (SELECT run_id FROM kept_runs))""")
 def _(a):
     """Rows of the compacted archive's base tables."""
-    from ..operators.lookup import counts
-
     policy = purge.Policy()
-    return counts(purge.compact(a, purge.reachable(a, ROOTS, policy), policy))
+    small = purge.compact(a, purge.reachable(a, ROOTS, policy), policy)
+    out = None
+    for name in ("objects", "heads", "revisions", "runs", "events", "writes", "log_streams"):
+        rows = getattr(small, name).select(F.lit(name).alias("table"), F.col("ordinal").cast("bigint").alias("ordinal"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.model import TABLES, Archive, Config, columns, ingest, schema
-from heddle.operators import lookup, manifest, namespaces, nodes, portable, purge, readiness, rules
+from heddle.model import TABLES, Archive, Config, columns, ingest, ingest_schemas, schema
+from heddle.operators import dag, lookup, manifest, namespaces, nodes, portable, purge, readiness, records, rules
 from heddle.sources import files
 from heddle.streaming import events as stream
 
@@ -159,7 +159,8 @@ def test_stream(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/table").collect()
     aside = {(r["run_id"], r["codes"]) for r in spark.read.parquet(f"{tmp_path}/aside").collect()}
     assert ("q", "credential_like_content") in aside and "q" not in {r["run_id"] for r in stored}
-    q = stream.repeats(source).writeStream.format("memory").queryName("repeats").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    with stream.state_store(spark):
+        q = stream.repeats(source).writeStream.format("memory").queryName("repeats").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["run_id"], r["source"], r["sequence"]) for r in spark.sql("SELECT * FROM repeats").collect()] == [("r", "s", 0)]
 
@@ -246,3 +247,138 @@ def test_sound_registries_and_purges(history):
     assert readiness.sound(none).count() == 0 and [r.code for r in readiness.sound(none, "fly").collect()] == ["unsupported_target"]
     assert [r.code for r in readiness.purge_result(none, False).collect()] == ["purge_unverified"]
     assert readiness.purge_result(none, True).count() == 0
+
+
+def test_append_sets_aside_by_payload_and_write(spark, tmp_path):
+    """Batches by a column of their own: a secret in a payload, a foreign event, a write of another run, and a sound one."""
+    given = [("b1", "r1"), ("b2", "r1"), ("b2", "r2"), ("b3", "r3"), ("b4", "r4")]
+    events = rows(spark, "events", *(dict(kind="k", run_id=r, severity="info", message="m", retention="debug") for _, r in given))
+    units = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(given)], "ordinal long, unit string")
+    events.join(units, "ordinal").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    payload = spark.createDataFrame([(0, "api_key", "x", True), (4, "size", "1", False)], "event long, key string, value string, is_text boolean")
+    writes = spark.createDataFrame([("b3", "run", "begin", 1, "r9", None), ("b4", "run", "begin", 1, "r4", "t")], "batch string, scope string, phase string, sequence long, run_id string, writer_token string")
+    stream.append(source, f"{tmp_path}/table", f"{tmp_path}/aside", f"{tmp_path}/c", unit="unit", payload=payload, writes=writes).awaitTermination()
+    assert [r["run_id"] for r in spark.read.parquet(f"{tmp_path}/table").collect()] == ["r4"]
+    aside = {r["ordinal"]: r["codes"] for r in spark.read.parquet(f"{tmp_path}/aside").collect()}
+    assert aside == {0: "credential_like_content", 1: "event_batch_run_mismatch", 2: "event_batch_run_mismatch", 3: "event_batch_write_run_mismatch,missing_writer_token"}
+    assert [r["ordinal"] for r in stream.screened(events, payload).where("suspect").collect()] == [0]
+
+
+def test_single_records(spark, history):
+    a = history.replaced(
+        events=rows(spark, "events", dict(kind="k", run_id="run-1", severity="info", message="Bearer abcdefghij0123456789", retention="debug"), dict(kind="k", run_id="run-2", severity="info", message="m", retention="debug")),
+        objects=rows(spark, "objects", obj("good", "r0"), obj("bad", "r0", kind="other/thing")),
+    )
+    assert records.validate(a, "object", object_id="good", revision_id="r0").count() == 0
+    assert {r["code"] for r in records.validate(a, "object", object_id="bad").collect()} == {"kind_namespace_mismatch", "schema_kind_mismatch"}
+    assert "missing_schema" in {r["code"] for r in records.validate(a, "object", True, object_id="good").collect()}
+    assert records.validate(a, "event", ordinal=0).count() == 1 and records.validate(a, "event", ordinal=1).count() == 0
+    assert records.report(a, "run", run_id="run-1").collect()[0].asDict() == dict(run_id="run-1", status="completed", revision_id="r1", activities=1, staged=0, checkpoints=1, committed=True)
+    for kind in records.KINDS:
+        records.validate(a, kind).collect(), records.report(a, kind).collect()
+    with pytest.raises(LookupError):
+        records.validate(a, "run", run_id="nobody")
+    with pytest.raises(ValueError):
+        records.validate(a, "run", name="x")
+    line = records.render(records.validate(a, "event", ordinal=0)).collect()[0]["line"]
+    assert line == "error credential_like_content [run-1, message]"
+    registered = records.Kind("heads", ("head_id",), rules.heads, lambda x: x.heads)
+    records.register("head", registered)
+    try:
+        assert records.validate(a, "head").count() == 0
+    finally:
+        del records.KINDS["head"]
+
+
+def test_trees_are_equal_by_tagged_values(spark):
+    def tree(*attrs, kind="a/b", extra=()):
+        n = spark.createDataFrame([("t", None, 0, kind, None), *extra], "node_id string, parent_id string, child_pos long, kind string, name string")
+        a = spark.createDataFrame([("t", *x, None, None) for x in attrs], "node_id string, key string, tag string, value string, items array<struct<tag:string,value:string>>, dims array<int>")
+        return n, a
+
+    def equal(x, y):
+        return nodes.equal(*x, *y).collect()[0]["equal"]
+
+    one = tree(("x", "string", "v"), ("y", "integer", "1"))
+    assert equal(one, tree(("y", "integer", "1"), ("x", "string", "v")))
+    assert not equal(one, tree(("x", "symbol", "v"), ("y", "integer", "1")))
+    assert not equal(one, tree(("x", "string", "v"), ("y", "integer", "1"), ("z", "nothing", None)))
+    assert not equal(one, tree(("x", "string", "v"), ("y", "integer", "1"), kind="a/c"))
+    child = ("c", "t", 0, "a/d", "n")
+    assert not equal(tree(("x", "string", "v")), tree(("x", "string", "v"), extra=[child]))
+    wide = [(f"c{i}", "t", i, "a/d", None) for i in (200_000, 1_000_000, 3)]
+    walked = nodes.walk(tree(extra=wide)[0]).orderBy("path").select("node_id").collect()
+    assert [r["node_id"] for r in walked] == ["t", "c3", "c200000", "c1000000"]
+
+
+def test_scripts_and_validated_nodes(spark):
+    n, attrs = nodes.script(spark, "s", "solve", source="x = 1", language="any", inputs=["mesh"], outputs=["field"])
+    assert n.collect()[0]["kind"] == nodes.SCRIPT
+    assert {r["key"]: r["tag"] for r in attrs.collect()} == {"effects": "list", "inputs": "list", "outputs": "list", "language": "symbol", "source": "string"}
+    for wrong in (dict(source=" "), dict(source="x", outputs=[1]), dict(source="x", inputs=[""])):
+        with pytest.raises(ValueError):
+            nodes.script(spark, "s", "solve", language="any", **wrong)
+    schemas = (
+        spark.createDataFrame([(nodes.SCRIPT, True)], "kind string, allow_extra boolean"),
+        spark.createDataFrame([(nodes.SCRIPT, "source", "string", True, False, [])], f"kind string, name string, value_kind string, required boolean, allow_ref boolean, rules {nodes.RULES}"),
+        spark.createDataFrame([], "kind string, rule string, fields array<string>, message string"),
+    )
+    expected = n.withColumn("expected", F.lit(nodes.SCRIPT))
+    assert nodes.validated(expected, attrs, *schemas)[1] is attrs
+    with pytest.raises(ValueError, match="source"):
+        nodes.validated(expected, attrs.where("key <> 'source'"), *schemas)
+
+
+def test_tables_and_schemas_are_checked(spark, history):
+    with pytest.raises(TypeError, match="heads"):
+        Archive.of({"heads": history.heads.withColumn("ordinal", F.lit("1"))})
+    d = spark.createDataFrame([("n", "s", "1", "n", "exact_read", None, None)], "schema_ns string, schema_id string, schema_version string, ns_id string, compatibility string, migration_source string, migration_target string")
+    f = spark.createDataFrame([("n", "s", "1", " f ", 2, [1, None])], "schema_ns string, schema_id string, schema_version string, name string, rank int, shape array<int>")
+    good = ingest_schemas(d, f)
+    assert good[0].count() == 1 and good[1].collect()[0]["name"] == "f"
+    for wrong in (d.withColumn("compatibility", F.lit("x")), d.withColumn("migration_source", F.lit("a")), d.withColumns({"migration_source": F.lit("a"), "migration_target": F.lit("a")}), d.withColumn("schema_id", F.lit(" "))):
+        with pytest.raises(Exception):
+            ingest_schemas(wrong, f)[0].collect()
+    for wrong in (f.withColumn("rank", F.lit(1)), f.withColumn("name", F.lit(" ")), f.withColumn("shape", F.array(F.lit(-1), F.lit(2)))):
+        with pytest.raises(Exception):
+            ingest_schemas(d, wrong)[1].collect()
+    with pytest.raises(ValueError):
+        from heddle.functions.columns import diagnostic
+
+        diagnostic(d, "c", "schema_id", severity="dire")
+
+
+def test_records_round_trip_and_verified_folders(spark, history, tmp_path):
+    for table in ("objects", "runs", "log_streams", "revisions"):
+        frame = getattr(history, table)
+        assert sorted(map(str, files.from_records(files.to_records(history, table), table).collect())) == sorted(map(str, frame.collect()))
+    files.save(history, f"file://{tmp_path}/a")
+    assert files.load(spark, f"file://{tmp_path}/a").objects.count() == history.objects.count()
+    with pytest.raises(ValueError):
+        files.load(spark, f"file://{tmp_path}/a", verified=True)
+
+
+def test_strides_from_few_roots(spark, monkeypatch):
+    """A long chain with merges: the roots' frontier takes over after two doublings, and agrees with a queue."""
+    import collections
+    import random
+
+    rnd = random.Random(3)
+    parents = {f"n{i}": [f"n{j}" for j in dict.fromkeys([i - 1] + [rnd.randrange(i) for _ in range(rnd.randrange(3))])] if i else [] for i in range(60)}
+    a = Archive.of(dict(
+        revisions=rows(spark, "revisions", *(dict(revision_id=n) for n in parents)),
+        edges=spark.createDataFrame([(c, p, k) for c, ps in parents.items() for k, p in enumerate(ps)], "child string, parent string, pos long"),
+    ))
+    monkeypatch.setattr(dag, "DENSE", 1)
+    roots = a.revisions.where("revision_id IN ('n59', 'n30')")
+    got = {(r["root"], r["rank"]): r["revision_id"] for r in dag.visible(a, roots).collect()}
+    for root in ("n59", "n30"):
+        queue, seen = collections.deque([root]), [root]
+        while queue:
+            for p in parents[queue.popleft()]:
+                if p not in seen:
+                    seen.append(p)
+                    queue.append(p)
+        assert [got[root, k] for k in range(len(seen))] == seen
+    assert len(got) == 60 + 31
