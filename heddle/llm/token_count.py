@@ -12,7 +12,9 @@ The counter reads the bytes of a pre-token. After each byte its state is the lon
 token starts with, with the last token and the relative token count at each position where one could start; that is all that the next
 byte's tokenization can depend on, since the tokenization of a prefix ends in the one suffix token whose pair with the
 token before it is stable. Transitions are annotated with the change of the token count, so a word's count is a sum along
-its path. States are numbered and transitions filled in as they are first taken, in bounded tables.
+its path. Pre-tokens stand where the splitter's scan has parted the text, so each begins in the one start state; one that is
+longer than a chunk is read in chunks, whose maps (from start states to end state and count) are composed by a prefix scan again.
+States are numbered and transitions filled in as they are first taken, in bounded tables.
 
 Defined cases: null and empty texts have no tokens; the special string is one token wherever it stands, as the library's
 default has it; repeated rows come out alike; an empty table gives an empty result; extra columns are not read.
@@ -194,18 +196,38 @@ class Counter:
             self.step.append({})
         return self.number[key], count
 
-    def count(self, word: bytes) -> int:
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        state = total = 0
-        step = self.step
-        for b in word:
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after some bytes and the sum of the transitions' counts."""
+        total, step = 0, self.step
+        for b in data:
             got = step[state].get(b)
             if got is None:
                 got = step[state][b] = self.advance(state, b)
             state, change = got
             total += change
-        return total
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a pre-token. Of a long one every chunk gets its map from start states to (end state, count), for the state
+        that the chunk before it leads to from the start; the maps are composed by a prefix scan, and a map that lacks a state
+        which turns out to be reached is extended by it."""
+        if len(self.states) > MAX_STATES:
+            self.reset()
+        if len(word) <= CHUNK:
+            return self.run(0, word)[1]
+        chunks = [word[a : a + CHUNK] for a in range(0, len(word), CHUNK)]
+        starts = [0, *(self.run(0, c)[0] for c in chunks[:-1])]
+        maps = [{s: self.run(s, c)} for s, c in zip(starts, chunks)]
+        hop = 1
+        while hop < len(chunks):
+            for i in range(len(chunks) - 1, hop - 1, -1):
+                composed = {}
+                for s, (mid, n) in maps[i - hop].items():
+                    end, more = maps[i].get(mid) or self.run(mid, b"".join(chunks[i - hop + 1 : i + 1]))
+                    composed[s] = (end, n + more)
+                maps[i] = composed
+            hop *= 2
+        return maps[-1][0][1]
 
 
 def byte_alphabet() -> dict[str, int]:

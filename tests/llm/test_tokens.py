@@ -72,6 +72,18 @@ def test_counter_equals_library(library):
     assert counter.counts(texts) == [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunk_maps_of_long_words(library):
+    """Words of many chunks, also where the guessed start state of a chunk is wrong."""
+    counter, rnd = token_count.TokenCounter.of(P.path("byte_bpe_50k.json")), random.Random(11)
+    words = ["a" * n for n in (63, 64, 65, 128, 129, 1000)] + ["ab" * 400, "the" * 300, "é" * 200]
+    words += ["".join(rnd.choice("etaoinshr") for _ in range(n)) for n in (64, 65, 127, 500, 2000)]
+    t = library("byte_bpe_50k.json")
+    assert [counter.counter.count(w.encode()) for w in words] == [len(t.encode(w, add_special_tokens=False).ids) for w in words]
+    one = counter.counter
+    for w in words:
+        assert one.run(0, w.encode())[1] == one.count(w.encode())
+
+
 def test_op6_edge_rows(edge, empty, library):
     t = library("byte_bpe_50k.json")
     got = sorted(map(tuple, token_count.count_tokens(edge, P.path("byte_bpe_50k.json")).collect()), key=str)
@@ -123,6 +135,38 @@ def test_op10_edge_rows(edge, empty, library):
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
+def test_packing_of_many_blocks(spark, monkeypatch):
+    """Several blocks, with elites that migrate: every piece once, and in each block about as few sequences as its sizes need."""
+    monkeypatch.setattr(packing, "BLOCK", 60)
+    rnd = random.Random(3)
+    rows = [(i, 0, 0, rnd.choice([rnd.randrange(1, 400), rnd.randrange(500, 1100), 2048]), i) for i in range(500)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    seen = []
+    epoch = packing._epoch
+
+    def watched(frame, *rest):
+        seen.append(frame.selectExpr("size(seeds) AS n", "block", "island").collect())
+        return epoch(frame, *rest)
+
+    monkeypatch.setattr(packing, "_epoch", watched)
+    out = packing.pack(cut).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == sorted((r[0], r[3]) for r in rows)
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    blocks = {x.block for x in seen[0]}
+    least = -(-sum(r[3] for r in rows) // 2048)
+    assert len(blocks) > 4 and least <= len(bins) <= least + 2 * len(blocks)
+    assert len(seen) == packing.EPOCHS and {x.island for x in seen[0]} == set(range(packing.ISLANDS))
+    assert all(x.n == 2 for x in seen[1])  # its own best and the one that came
+
+
 def test_word_table_equals_library(library):
     texts = noise(500, 3) + ["İstanbul ΣΑΣ it's 'LL 12٣ \x85a\x1cb x"]
     want = [np.array(e.ids, "<u4").tobytes() for e in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
