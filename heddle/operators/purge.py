@@ -131,7 +131,8 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
     kept_runs = no_runs
     kept_revisions = no_revisions
     kept_objects = objects
-    done_seeds = frame([], "object_id string, revision_id string")
+    done_seeds: list[DataFrame] = []
+    no_objects = frame([], "object_id string, revision_id string")
     new_runs = stage(seeded.distinct(), "purge-new")
     new_seeds = union([frame([], "object_id string, revision_id string"), *seeds])
     new_records = union(records)
@@ -140,7 +141,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         # parents of new runs
         up = new_runs.join(first_runs, "run_id").where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
         known = first_runs.select(C("run_id").alias("parent_run_id"), C("revision_id").alias("_rev"))
-        problems.append(diagnostic(up.join(known, "parent_run_id", "left_anti"), "missing_parent_run", "run_id", "parent_run_id", "run {run_id} names unknown parent run {parent_run_id}"))
+        lone = diagnostic(up.join(known, "parent_run_id", "left_anti"), "missing_parent_run", "run_id", "parent_run_id", "parent run {parent_run_id} of run {run_id} is not known")
         up = up.join(known, "parent_run_id")
         # what new runs' activities and kept events refer to
         refs = a.activity_refs.join(new_runs, "run_id", "left_semi").select(C("activity_id").alias("subject"), "object_id", "revision_id", L("missing_activity_object").alias("code"))
@@ -149,19 +150,23 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         event_refs = a.event_refs.join(events.select(C("ordinal").alias("event"), C("run_id").alias("subject")), "event").select("subject", "object_id", "revision_id", L("dangling_event_object").alias("code"))
         asked = all_versions(refs.unionByName(event_refs), a.objects)
         lost = match_external(asked.where("version IS NULL"), externals, "object_id")
-        problems.append(diagnostic(lost.where("NOT external"), C("code"), "subject", "object_id", "{subject} names missing object {object_id}"))
-        missed.append(lost.where("external").select(L(None).cast("string").alias("root"), "object_id"))
+        problems.append(stage(lone.unionByName(diagnostic(lost.where("NOT external"), C("code"), "subject", "object_id", "{subject} names missing object {object_id}")), "purge-problems"))
+        missed.append(stage(lost.where("external").select(L(None).cast("string").alias("root"), "object_id").distinct(), "purge-missed"))
         found = asked.where("version IS NOT NULL").select("object_id", C("version").alias("revision_id"))
-        fresh = stage(new_seeds.unionByName(found).distinct().join(done_seeds, ["object_id", "revision_id"], "left_anti"), "purge-seeds")
-        done_seeds = done_seeds.unionByName(fresh)
-        # closures of new seeds, each as its own revision sees it
-        sight = stage(dag.visible(a, fresh.select("revision_id"), pairs), "purge-sight")
-        start = fresh.join(held, ["object_id", "revision_id"]).withColumn("root", C("revision_id"))
-        reached, slots = manifest.entries(a, sight, start, tables)
-        reached = reached.select("object_id", "revision_id")
-        missed.append(slots.select("root", "object_id"))
-        if policy.keep_ancestor_objects:
-            reached = reached.unionByName(_in_scope(held, sight))
+        fresh = new_seeds.unionByName(found).distinct()
+        if done_seeds:
+            fresh = fresh.join(dag.read_parts(done_seeds), ["object_id", "revision_id"], "left_anti")
+        fresh = stage(fresh, "purge-seeds")
+        done_seeds.append(fresh)
+        reached, sight = no_objects, None
+        if not fresh.isEmpty():  # closures of new seeds, each as its own revision sees it
+            sight = stage(dag.visible(a, fresh.select("revision_id"), pairs), "purge-sight")
+            start = fresh.join(held, ["object_id", "revision_id"]).withColumn("root", C("revision_id"))
+            reached, slots = manifest.entries(a, sight, start, tables)
+            reached = reached.select("object_id", "revision_id")
+            missed.append(stage(slots.select("root", "object_id"), "purge-missed"))
+            if policy.keep_ancestor_objects:
+                reached = reached.unionByName(_in_scope(held, sight))
         # records: a revision, all that it sees, and the runs that made those
         wanted = union([new_records, up.where("_rev IS NOT NULL").select(C("_rev").alias("revision_id")), events.where("revision_id IS NOT NULL").select("revision_id"), fresh.select("revision_id")]).distinct()
         seen = dag.visible(a, wanted, pairs).select("revision_id")
@@ -169,12 +174,14 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         makers = recs.where("run_id IS NOT NULL").join(seen.distinct(), "revision_id", "left_semi").select("run_id")
         grown_revisions = stage(all_revisions, "purge-kept")
         committed = first_by(a.runs, ["run_id", "revision_id"]).where("revision_id IS NOT NULL").join(grown_revisions, "revision_id", "left_semi").select("run_id")
-        kept_runs = stage(kept_runs.unionByName(new_runs).distinct(), "purge-runs-kept")
+        before, kept_runs = kept_runs, stage(kept_runs.unionByName(new_runs).distinct(), "purge-runs-kept")
+        unstage(before)
         next_runs = union([up.select(C("parent_run_id").alias("run_id")), events.select("run_id"), makers, committed]).distinct().join(kept_runs, "run_id", "left_anti")
         grown_objects = stage(kept_objects.unionByName(reached).distinct(), "purge-objects-kept")
-        new_runs = stage(next_runs, "purge-new")
-        still = new_runs.isEmpty()
-        kept_objects, kept_revisions = grown_objects, grown_revisions
+        grown_runs = stage(next_runs, "purge-new")
+        still = grown_runs.isEmpty()
+        unstage(new_runs, kept_objects, kept_revisions, *([sight] if sight is not None else []))
+        new_runs, kept_objects, kept_revisions = grown_runs, grown_objects, grown_revisions
         new_seeds, new_records, new_events = frame([], "object_id string, revision_id string"), no_revisions, None
         if still:
             break

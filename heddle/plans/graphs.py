@@ -9,6 +9,12 @@ KNOWN = """
 known AS (SELECT child, parent, min(pos) AS pos FROM a_edges WHERE parent IN (SELECT revision_id FROM a_revisions) AND child IN (SELECT revision_id FROM a_revisions) GROUP BY child, parent),
 pairs(source, target) AS (SELECT child, parent FROM known UNION SELECT p.source, k.parent FROM pairs p JOIN known k ON k.child = p.target)"""
 
+# All simple paths up from the roots, of any length.
+WALK = """walk(root, node, steps, path, seen) AS (
+  SELECT revision_id, revision_id, 0, '', [revision_id] FROM roots
+  UNION ALL
+  SELECT w.root, k.parent, w.steps + 1, w.path || lpad(k.pos::VARCHAR, 20, '0'), list_append(w.seen, k.parent) FROM walk w JOIN known k ON k.child = w.node WHERE NOT list_contains(w.seen, k.parent))"""
+
 
 @query("g1_revision_parents", "edges revisions", "WITH RECURSIVE " + KNOWN + " SELECT child, parent, pos FROM known")
 def _(a):
@@ -32,10 +38,7 @@ def _(a):
 
 @query("g5_visible_order", "edges revisions heads", "WITH RECURSIVE " + KNOWN.split(",\npairs")[0] + """,
 roots AS (SELECT DISTINCT revision_id FROM a_heads WHERE revision_id IN (SELECT revision_id FROM a_revisions)),
-walk(root, node, steps, path) AS (
-  SELECT revision_id, revision_id, 0, '' FROM roots
-  UNION
-  SELECT w.root, k.parent, w.steps + 1, w.path || lpad(k.pos::VARCHAR, 6, '0') FROM walk w JOIN known k ON k.child = w.node WHERE w.steps < 200)
+""" + WALK + """
 SELECT root, node AS revision_id, row_number() OVER (PARTITION BY root ORDER BY steps, path) - 1 AS rank
 FROM (SELECT root, node, steps, min(path) AS path FROM walk GROUP BY root, node, steps QUALIFY steps = min(steps) OVER (PARTITION BY root, node))""")
 def _(a):

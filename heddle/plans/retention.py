@@ -4,15 +4,12 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, dag, manifest, namespaces, purge, readiness, records, resolve
 from .base import found, query
-from .graphs import KNOWN
+from .graphs import KNOWN, WALK
 
 VERSIONS = "versions AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, revision_id ORDER BY ordinal) AS n FROM a_objects) WHERE n = 1)"
 SIGHT = KNOWN.split(",\npairs")[0] + """,
 roots AS (SELECT DISTINCT revision_id FROM {roots} WHERE revision_id IN (SELECT revision_id FROM a_revisions)),
-walk(root, node, steps, path) AS (
-  SELECT revision_id, revision_id, 0, '' FROM roots
-  UNION
-  SELECT w.root, k.parent, w.steps + 1, w.path || lpad(k.pos::VARCHAR, 6, '0') FROM walk w JOIN known k ON k.child = w.node WHERE w.steps < 60),
+""" + WALK + """,
 sight AS (SELECT root, node AS revision_id, row_number() OVER (PARTITION BY root ORDER BY steps, path) - 1 AS rank
   FROM (SELECT root, node, steps, min(path) AS path FROM walk GROUP BY root, node, steps QUALIFY steps = min(steps) OVER (PARTITION BY root, node))),
 """ + VERSIONS + """,
