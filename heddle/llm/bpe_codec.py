@@ -83,11 +83,7 @@ FROM st JOIN (SELECT word, max(round) AS round FROM st GROUP BY word) f ON f.wor
 ORDER BY st.word, st.pos
 """
 DECODE = """
-SELECT t.seq, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM (SELECT seq, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
-      FROM (SELECT seq, string_split(ids, ' ')::INTEGER[] AS ids FROM coded)) t
-JOIN vocabulary v ON v.id = t.id
-GROUP BY t.seq ORDER BY t.seq
+SELECT c.seq, string_agg(v.hex, '' ORDER BY c.pos) AS hex FROM coded c JOIN vocabulary v ON v.id = c.id GROUP BY c.seq ORDER BY c.seq
 """
 
 
@@ -203,7 +199,9 @@ class Codec:
         out = []
         for a in range(0, len(sequences), BATCH_WORDS):
             part = sequences[a : a + BATCH_WORDS]
-            rows = self._query(DECODE, "coded", seq=np.arange(len(part), dtype=np.int32), ids=part)
+            size = np.fromiter((s.count(" ") + 1 for s in part), np.int64, len(part))
+            ids = np.fromstring(" ".join(part), np.int32, sep=" ")
+            rows = self._query(DECODE, "coded", seq=np.repeat(np.arange(len(part), dtype=np.int32), size), pos=np.arange(len(ids), dtype=np.int32), id=ids)
             out += [bytes.fromhex(h) for _, h in rows]
         return out
 
