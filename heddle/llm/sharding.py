@@ -35,6 +35,7 @@ from .common import scope, stage
 SLOTS = 4096
 PART = 1_000_000
 HOT = 1000
+BROADCAST_KEYS = 200_000
 TOLERANCE = 0.001  # that an edit aims at
 DRIFT = 0.02  # from which on a stored map is edited
 
@@ -181,8 +182,12 @@ def _spread(rows: DataFrame) -> DataFrame:
         return rows
     same = ["doc_id", "text_crc32", "size", "virtual_slot"]
     hot = rows.where(F.col("virtual_slot").isin(heavy)).groupBy(*same).count().where(F.col("count") > HOT)
-    hot = hot.select(*[F.col(c).alias(f"_{c}") for c in same])
-    # less than one row here for HOT rows there; a repeated row's partition of the join is split by adaptive execution
+    hot = stage(hot.select(*[F.col(c).alias(f"_{c}") for c in same]), "shard-hot")  # one row for more than HOT
+    few = hot.count()
+    if not few:
+        return rows
+    if few <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     match = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
     for c in same[1:]:
         match = match & (F.col(c) == F.col(f"_{c}"))
