@@ -17,8 +17,8 @@ chunk right beside a true passage could go wrongly, with a probability of the nu
 All that is shuffled for every different chunk of a document is its digest and the document's key, two numbers,
 pre-aggregated per task; repeats inside a document are found where it is read. The digests that several documents have then
 form two bit maps of at most `exact_dedup.MAX_BITS` bits each, which are broadcast to drop the other chunks where they are; only
-chunks that pass are joined with their digest's staying document, by a sort-merge join whose large partitions
-adaptive execution splits. The stretches of the runs that come out form bit maps again, so that of all others' stretches
+chunks that pass are joined with their digest's staying document, by a shuffle, or by broadcast where more than `HOT` documents
+have the digest, so no line or passage fills a task. The stretches of the runs that come out form bit maps again, so that of all others' stretches
 only the same ones are shuffled: the least stretch from each chunk on, and the least one up to each chunk where that is
 another (`stretches`), which cover what any longer stretch covers. The runs found are joined to the
 documents by broadcast while they number at most `BROADCAST_RUNS` (16 bytes each), so that no text moves; beyond that by a
@@ -48,6 +48,7 @@ MASK_BITS = 2
 MIN_RUN_WORDS = 25
 JOINED_WORDS = 16  # about four chunks
 BROADCAST_RUNS = 200_000
+HOT = 1000
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person=b"gear").digest() for b in range(256)), "<u8")
 _WHITE = np.zeros(256, bool)
@@ -146,13 +147,26 @@ def _among(places: DataFrame, own: DataFrame) -> DataFrame:
     return in_maps(places, bit_maps(own, "digest", bits), "digest", bits).where("maybe").drop("maybe")
 
 
+def _met(places: DataFrame, own: DataFrame) -> DataFrame:
+    """`places` joined with `own` (digest, owner, n), a staged table, on the digest. Places of digests that more than HOT
+    documents have are joined by broadcast, since there are few such digests, and spread over the shuffle of the others."""
+    hot = own.where(F.col("n") > HOT).select(F.col("digest").alias("_h"), F.col("owner").alias("_f"))
+    if not 0 < hot.count() <= BROADCAST_RUNS:
+        return places.join(own.select("digest", "owner"), "digest")
+    marked = places.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left")
+    key = F.when(F.col("_h").isNull(), F.col("digest")).otherwise(F.xxhash64(*places.columns))
+    cold = own.where(F.col("n") <= HOT).select(F.col("digest").alias("_d"), "owner")
+    both = marked.join(cold, key == F.col("_d"), "left").withColumn("owner", F.when(F.col("_h").isNull(), F.col("owner")).otherwise(F.col("_f")))
+    return both.where("owner IS NOT NULL").select(*places.columns, "owner")
+
+
 def candidates(rows: DataFrame, min_words: int) -> DataFrame:
     """(_k, runs): of every document with some, the runs of neighbouring chunks whose staying copies are elsewhere, each by itself."""
     places = rows.select("_k", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
     places = places.select("_k", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
-    own = places.where("words > 0").groupBy("digest").agg(F.min("_k").alias("first"), F.max("_k").alias("_z")).where("first < _z").select("digest", "first")
-    own = stage(own, "substring-repeated")
-    others = _among(places.where("words > 0"), own).join(own, "digest").where("_k > first").drop("first")
+    own = places.where("words > 0").groupBy("digest").agg(F.min("_k").alias("owner"), F.max("_k").alias("_z"), F.count(F.lit(1)).alias("n"))
+    own = stage(own.where("owner < _z").select("digest", "owner", "n"), "substring-repeated")
+    others = _met(_among(places.where("words > 0"), own), own).where("_k > owner").drop("owner")
     found = others.unionByName(places.where("words < 0").withColumn("words", -F.col("words")))
     # a chunk inside a document that has it earlier is repeated in any case; the earlier one may be too
     lists = found.groupBy("_k").agg(F.collect_set(F.struct("chunk", "words", "digest")).alias("again"))
@@ -187,8 +201,9 @@ def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
     every = rows.select("_k", F.explode("stretches").alias("digest"), F.lit(False).alias("twice"))
     every = every.unionByName(rows.where("size(doubled) > 0").select("_k", F.explode("doubled").alias("digest"), F.lit(True).alias("twice")))
     same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted"))
-    same = same.groupBy("digest").agg(F.min("_k").alias("a"), F.max("_k").alias("z"), F.max("twice").alias("twice")).where("a < z OR twice").select("digest")
-    return inside.join(same, "digest").groupBy("_k").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
+    same = same.groupBy("digest").agg(F.min("_k").alias("owner"), F.max("_k").alias("z"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
+    same = stage(same.where("owner < z OR twice").select("digest", "owner", "n"), "substring-same")
+    return _met(inside, same).groupBy("_k").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:

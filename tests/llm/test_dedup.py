@@ -294,9 +294,10 @@ def test_op8_leaves_chunks_that_repeat_apart(spark):
     assert spans_of(docs) == {i: [] for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_op8_runs_repeat_together(spark, seed):
-    """Lines of one to twelve words, empty ones too, in random orders and in common sequences."""
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 1000), (2, 5)])
+def test_op8_runs_repeat_together(spark, monkeypatch, seed, hot):
+    """Lines of one to twelve words, empty ones too, in random orders and in common sequences; also with many hot digests."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rnd = random.Random(seed)
     lines = ["", *(" ".join(f"l{i}w{k}" for k in range(rnd.randrange(1, 13))) for i in range(25))]
     texts = []
