@@ -56,7 +56,8 @@ def unstage(*frames: DataFrame) -> None:
 
 
 @atexit.register
-def _clear() -> None:
+def clear() -> None:
+    """Deletes all staged tables that are left."""
     for path, spark in list(_left.items()):
         with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
             _delete(spark, path)

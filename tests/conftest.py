@@ -19,6 +19,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from heddle import staging
+
+    staging.clear()
     session.stop()
 
 
