@@ -382,3 +382,15 @@ def test_strides_from_few_roots(spark, monkeypatch):
                     queue.append(p)
         assert [got[root, k] for k in range(len(seen))] == seen
     assert len(got) == 60 + 31
+
+
+def test_tree_edits(spark):
+    """Attributes are replaced or added; new children stand behind the old ones, in order of their ids."""
+    tree = spark.createDataFrame([("t", None, 0, "a/b", None), ("x", "t", 4, "a/c", None)], "node_id string, parent_id string, child_pos long, kind string, name string")
+    new = spark.createDataFrame([("z", "t", "a/c", None), ("y", "t", "a/c", "n"), ("v", "x", "a/c", None)], "node_id string, parent_id string, kind string, name string")
+    grown = {r["node_id"]: (r["parent_id"], r["child_pos"], r["name"]) for r in nodes.add_children(tree, new).collect()}
+    assert grown == {"t": (None, 0, None), "x": ("t", 4, None), "y": ("t", 5, "n"), "z": ("t", 6, None), "v": ("x", 0, None)}
+    attrs = spark.createDataFrame([("t", "a", "string", "1"), ("t", "b", "string", "2")], "node_id string, key string, tag string, value string")
+    changes = spark.createDataFrame([("t", "b", "integer", "3"), ("x", "a", "string", "4")], attrs.schema)
+    got = {(r["node_id"], r["key"]): (r["tag"], r["value"]) for r in nodes.set_attribute(attrs, changes).collect()}
+    assert got == {("t", "a"): ("string", "1"), ("t", "b"): ("integer", "3"), ("x", "a"): ("string", "4")}
