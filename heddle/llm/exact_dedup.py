@@ -81,9 +81,12 @@ def in_maps(rows: DataFrame, maps: list[DataFrame], key: str, bits: int) -> Data
         at = _position(key, seed, bits) + 1
         # at most MAX_BITS / 8 bytes are broadcast
         rows = rows.withColumn(f"_b{seed}", F.bitmap_bucket_number(at)).join(F.broadcast(some), f"_b{seed}", "left")
-        bit = F.bitmap_bit_position(at)
-        byte = F.conv(F.hex(F.substring(F.col(f"_m{seed}"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+        bit = F.bitmap_bit_position(at).cast("int")
+        byte = F.hex(F.substring(F.col(f"_m{seed}"), F.shiftright(bit, 3) + 1, F.lit(1)))
+        # of the byte's two hexadecimal digits the one that holds the bit
+        digit = F.ascii(F.substring(byte, 2 - F.shiftright(bit.bitwiseAND(7), 2), F.lit(1)))
+        value = digit - F.when(digit >= 65, 55).otherwise(48)
+        tests.append(F.coalesce(F.getbit(value, bit.bitwiseAND(3)) == 1, F.lit(False)))
     return rows.withColumn("maybe", tests[0] & tests[1]).drop("_b1", "_b2", "_m1", "_m2")
 
 

@@ -46,6 +46,7 @@ MARGIN = 0.3
 BROADCAST_KEYS = 500_000
 EDGES = 500_000  # that a task of `components` joins
 SALTS = 32
+KEPT_POWERS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -78,25 +79,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_kept_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    """The first n powers; those that most texts need are kept."""
+    kept = _kept_powers.get(int(base))
+    if kept is not None and n <= len(kept):
+        return kept[:n]
+    out = np.full(max(n, KEPT_POWERS), base, np.uint64)
     out[:1] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if len(out) == KEPT_POWERS:
+        _kept_powers[int(base)] = out
+    return out[:n]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of every word, A-Z folded; a polynomial of its bytes, from prefix sums."""
-    data = _FOLD[np.frombuffer(raw, np.uint8)]
+def spelled(raw: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word and where it starts, A-Z folded or not; a polynomial of its bytes, from prefix sums."""
+    data = np.frombuffer(raw, np.uint8)
+    if fold:
+        data = _FOLD[data]
     inside = ~_WHITE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), dtype=np.uint64)))
         # take the power of its place in the text out of every word's sum
         value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
-        return _mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return _mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    return spelled(raw, True)[0]
 
 
 def shingles(text: str | None, words_each: int) -> np.ndarray:

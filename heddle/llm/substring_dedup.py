@@ -11,7 +11,7 @@ goes if some chunks that are joined hold `MIN_RUN_WORDS` words. Chunks that repe
 A chunk that repeats by chance right beside a passage goes with it. Where a passage starts or ends inside a line, a few words
 up to its nearest cut stay.
 
-Digests have 64 bits. No text goes by a collision alone, since a run also needs a repeated stretch of four chunks or so: only a
+Digests have 64 bits, hashed from the chunk's words. No text goes by a collision alone, since a run also needs a repeated stretch of four chunks or so: only a
 chunk right beside a true passage could go wrongly, with a probability of the number of chunks in 2^64.
 
 All that is shuffled for every different chunk of a document is its digest and the document's key, two numbers,
@@ -35,13 +35,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import lean, scope, stage
 from .exact_dedup import bit_maps, in_maps, map_bits
-from .near_dedup import _INVERSE, _ODD, _mix, _powers
+from .near_dedup import _INVERSE, _ODD, _mix, _powers, spelled
 
 WINDOW = 16
 MASK_BITS = 2
@@ -83,15 +84,21 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return ends[1:] if len(ends) > 1 and written[0] == 0 else ends
 
 
-def digests(raw: bytes, ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """64-bit digest of every chunk, without white space at its ends, and its words."""
-    out, words, a = [], [], 0
-    for b in ends.tolist():
-        inside = raw[a:b].split()
-        out.append(int.from_bytes(hashlib.blake2b(b" ".join(inside), digest_size=8).digest(), "little", signed=True))
-        words.append(len(inside))
-        a = b
-    return out, words
+def _joint(hashes: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of hashes, a polynomial from prefix sums."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_ODD, len(hashes)), dtype=np.uint64)))
+        # take the power of its place out of every range's sum
+        value = (sums[past] - sums[first]) * _powers(_INVERSE, len(hashes) + 1)[first]
+        return _mix(value ^ (past - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def digests(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digest of every chunk's words, whatever white space parts them, and their number."""
+    words, starts = spelled(raw, False)
+    past = np.searchsorted(starts, ends)  # words that start before
+    first = np.concatenate((np.zeros(1, np.int64), past[:-1])) if len(past) else past
+    return _joint(words, first, past).view(np.int64), (past - first).astype(np.int32)
 
 
 def _key() -> Column:
@@ -110,12 +117,7 @@ def stretches(found: np.ndarray, words: np.ndarray, need: int) -> tuple[np.ndarr
     begins = np.searchsorted(sums, sums[past] - need, "right") - 1
     other = ends[begins] != past
     first, past = np.concatenate((first, begins[other])), np.concatenate((ends[first], past[other]))
-    with np.errstate(over="ignore"):
-        hashed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(found.view(np.uint64) * _powers(_ODD, n), dtype=np.uint64)))
-        # take the power of its place in the text out of every stretch's sum
-        value = (hashed[past] - hashed[first]) * _powers(_INVERSE, n)[first]
-        value = _mix(value ^ (past - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return value.view(np.int64), first, past - 1
+    return _joint(found.view(np.uint64), first, past).view(np.int64), first, past - 1
 
 
 def chunks(docs: DataFrame, joined_words: int = JOINED_WORDS) -> DataFrame:
@@ -128,7 +130,6 @@ def chunks(docs: DataFrame, joined_words: int = JOINED_WORDS) -> DataFrame:
             for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
                 d, w = digests(raw, cuts(np.frombuffer(raw, np.uint8)))
-                d, w = np.array(d, np.int64), np.array(w, np.int32)
                 once, times = np.unique(stretches(d, w, joined_words)[0], return_counts=True)
                 joined.append(once), doubled.append(once[times > 1])
                 later = np.ones(len(d), bool)
@@ -161,7 +162,8 @@ def _met(places: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, min_words: int) -> DataFrame:
-    """(_k, runs): of every document with some, the runs of neighbouring chunks whose staying copies are elsewhere, each by itself."""
+    """(_k, run, digests, words): the runs of neighbouring chunks whose staying copies are elsewhere, a row each; `run` is the first
+    chunk."""
     places = rows.select("_k", F.posexplode(F.arrays_zip("digests", "words")).alias("chunk", "c"))
     places = places.select("_k", "chunk", F.col("c.digests").alias("digest"), F.col("c.words").alias("words"))
     own = places.where("words > 0").groupBy("digest").agg(F.min("_k").alias("owner"), F.max("_k").alias("_z"), F.count(F.lit(1)).alias("n"))
@@ -173,37 +175,46 @@ def candidates(rows: DataFrame, min_words: int) -> DataFrame:
 
     def over(batches):
         for batch in batches:
-            out = []
-            for again in batch.column(1):
-                runs: list[dict] = []
-                for x in sorted(again.as_py(), key=lambda x: x["chunk"]):
-                    if not runs or runs[-1]["first"] + len(runs[-1]["words"]) != x["chunk"]:
-                        runs.append({"first": x["chunk"], "digests": [], "words": []})
-                    runs[-1]["digests"].append(x["digest"]), runs[-1]["words"].append(x["words"])
-                out.append([r for r in runs if sum(r["words"]) >= min_words])
-            yield pa.record_batch([batch.column(0), pa.array(out, _CANDIDATES)], ["_k", "runs"])
-
-    return lists.mapInArrow(lean(over), "_k long, runs array<struct<first:int,digests:array<long>,words:array<int>>>").where("size(runs) > 0")
+            again = batch.column(1)
+            size = again.value_lengths().to_numpy()
+            flat = again.flatten()
+            doc, chunk, words, digest = np.repeat(np.arange(len(size)), size), *(flat.field(k).to_numpy() for k in range(3))
+            order = np.lexsort((chunk, doc))
+            doc, chunk, words, digest = doc[order], chunk[order], words[order], digest[order]
+            begins = np.ones(len(doc), bool)
+            begins[1:] = (doc[1:] != doc[:-1]) | (chunk[1:] != chunk[:-1] + 1)
+            first = np.flatnonzero(begins)
+            if not len(first):
+                continue
+            long_ = np.add.reduceat(words, first) >= min_words
+            inside, ends = long_[np.cumsum(begins) - 1], np.diff(np.append(first, len(doc)))[long_]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(ends))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[inside])) for x in (digest, words)]
+            own = batch.column(0).to_numpy()[doc[first[long_]]]
+            yield pa.record_batch([pa.array(own), pa.array(chunk[first[long_]]), *lists], ["_k", "run", "digests", "words"])
+
+    return lists.mapInArrow(lean(over), "_k long, run int, digests array<long>, words array<int>")
 
 
 def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
-    """(_k, joined): of every document with some, the stretches (first, last chunk) of its runs that stand in another place too."""
+    """(_k, run, joined): of every run with some, its stretches (first, last chunk) that stand in another place too."""
 
     def over(batches):
         for batch in batches:
-            for k, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for r in some:
-                    digest, first, last = stretches(np.array(r["digests"], np.int64), np.array(r["words"], np.int32), joined_words)
-                    place = [pa.array((x + r["first"]).astype(np.int32)) for x in (first, last)]
-                    yield pa.record_batch([pa.array(np.full(len(digest), k, np.int64)), pa.array(digest), *place], ["_k", "digest", "first", "last"])
-
-    inside = stage(runs.mapInArrow(lean(over), "_k long, digest long, first int, last int"), "substring-stretches")
+            found, counted = batch.column(2), batch.column(3)
+            for i, (k, run) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                digest, first, last = stretches(found[i].values.to_numpy(), counted[i].values.to_numpy(), joined_words)
+                n = len(digest)
+                place = [pa.array((x + run).astype(np.int32)) for x in (first, last)]
+                yield pa.record_batch([pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, run, np.int32)), pa.array(digest), *place], ["_k", "run", "digest", "first", "last"])
+
+    inside = stage(runs.mapInArrow(lean(over), "_k long, run int, digest long, first int, last int"), "substring-stretches")
     every = rows.select("_k", F.explode("stretches").alias("digest"), F.lit(False).alias("twice"))
     every = every.unionByName(rows.where("size(doubled) > 0").select("_k", F.explode("doubled").alias("digest"), F.lit(True).alias("twice")))
     same = _among(every, stage(inside.select("digest").distinct(), "substring-wanted"))
     same = same.groupBy("digest").agg(F.min("_k").alias("owner"), F.max("_k").alias("z"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
     same = stage(same.where("owner < z OR twice").select("digest", "owner", "n"), "substring-same")
-    return _met(inside, same).groupBy("_k").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
+    return _met(inside, same).groupBy("_k", "run").agg(F.collect_set(F.struct("first", "last")).alias("joined"))
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
@@ -211,33 +222,31 @@ def repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     joined_words = max(1, min(JOINED_WORDS, min_words))
     rows = stage(chunks(docs, joined_words), "substring-chunks")
     runs = stage(candidates(rows, min_words), "substring-candidates")
-    both = runs.join(together(rows, runs, joined_words), "_k")
+    both = runs.join(together(rows, runs, joined_words), ["_k", "run"]).select("_k", "run", "digests", "words", "joined")
 
     def over(batches):
         for batch in batches:
-            out = []
-            for some, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                spans: list[list[int]] = []  # unions of stretches with a common chunk
-                for x in sorted(joined, key=lambda x: x["first"]):
-                    if spans and x["first"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x["last"])
-                    else:
-                        spans.append([x["first"], x["last"]])
-                kept = []
-                for r in some:
-                    a, z = r["first"], r["first"] + len(r["words"]) - 1
-                    if any(a <= x and y <= z and sum(r["words"][x - a : y - a + 1]) >= min_words for x, y in spans):
-                        kept.append({"first": a, "last": z, "digest": r["digests"][0]})
-                out.append(kept)
-            yield pa.record_batch([batch.column(0), pa.array(out, _RUNS)], ["_k", "runs"])
-
-    return both.select("_k", "runs", "joined").mapInArrow(lean(over), "_k long, runs array<struct<first:int,last:int,digest:long>>").where("size(runs) > 0")
+            keep, last = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int32)
+            for i, run in enumerate(batch.column(1).to_pylist()):
+                sums = np.concatenate(([0], np.cumsum(batch.column(3)[i].values.to_numpy())))
+                place = batch.column(4)[i].values
+                a, z = (place.field(k).to_numpy() - run for k in range(2))
+                order = np.argsort(a, kind="stable")
+                a, z = a[order], np.maximum.accumulate(z[order])
+                begins = np.append(True, a[1:] > z[:-1])  # unions of stretches with a common chunk
+                at = np.flatnonzero(begins)
+                ends = z[np.append(at[1:], len(a)) - 1]
+                keep[i] = (sums[ends + 1] - sums[a[at]]).max() >= min_words
+                last[i] = run + len(sums) - 2
+            first = pc.list_element(batch.column(2), 0) if batch.num_rows else pa.array([], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(last), first], ["_k", "first", "last", "digest"]).filter(pa.array(keep))
+
+    whole = both.mapInArrow(lean(over), "_k long, first int, last int, digest long")
+    return whole.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("first", "last", "digest"))).alias("runs"))
 
 
 _LONGS = pa.list_(pa.int64())
 _SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
-_CANDIDATES = pa.list_(pa.struct([("first", pa.int32()), ("digests", _LONGS), ("words", pa.list_(pa.int32()))]))
-_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("digest", pa.int64())]))
 
 
 def cut_out(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -248,7 +257,7 @@ def cut_out(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]
     for r in runs:
         if r["last"] < len(ends):
             a = int(ends[r["first"] - 1]) if r["first"] else 0
-            if digests(raw[a : ends[r["first"]]], np.array([int(ends[r["first"]]) - a]))[0] == [r["digest"]]:
+            if digests(raw[a : ends[r["first"]]], np.array([int(ends[r["first"]]) - a]))[0][0] == r["digest"]:
                 gone.append((a, int(ends[r["last"]])))
     kept, last = [], 0
     for a, b in gone:
