@@ -52,16 +52,17 @@ BROADCAST_RUNS = 200_000
 HOT = 1000
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person=b"gear").digest() for b in range(256)), "<u8")
+_GEAR_LOW = (_GEAR & np.uint64(0xFFFF)).astype(np.uint16)  # cuts look at the highest of the low WINDOW bits
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """Gear hash of the WINDOW bytes up to each byte: the sum of gear[b] << age, by doubling."""
-    h = _GEAR[data]
+    """The low 16 bits of the gear hash of the WINDOW bytes up to each byte: the sum of gear[b] << age, by doubling."""
+    h = _GEAR_LOW[data]
     width = 1
     while width < WINDOW:
-        older = h[:-width] << np.uint64(width) if len(h) > width else h[:0]
+        older = h[:-width] << np.uint16(width) if len(h) > width else h[:0]
         h = h.copy()
         h[width:] += older
         width *= 2
@@ -75,7 +76,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(_WHITE[data])
     line = data[at] == 10
     begun = np.maximum.accumulate(np.where(line, at + 1, 0))  # where each one's line, or the next one's, starts
-    marked = (rolling(data)[at] >> np.uint64(WINDOW - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0
+    marked = (rolling(data)[at] >> np.uint16(WINDOW - MASK_BITS)) & np.uint16((1 << MASK_BITS) - 1) == 0
     ends = at[line | marked & (at + 1 - begun >= WINDOW)] + 1
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
@@ -201,12 +202,12 @@ def together(rows: DataFrame, runs: DataFrame, joined_words: int) -> DataFrame:
 
     def over(batches):
         for batch in batches:
-            found, counted = batch.column(2), batch.column(3)
+            found, counted, parts = batch.column(2), batch.column(3), []
             for i, (k, run) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 digest, first, last = stretches(found[i].values.to_numpy(), counted[i].values.to_numpy(), joined_words)
-                n = len(digest)
-                place = [pa.array((x + run).astype(np.int32)) for x in (first, last)]
-                yield pa.record_batch([pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, run, np.int32)), pa.array(digest), *place], ["_k", "run", "digest", "first", "last"])
+                parts.append((np.full(len(digest), k, np.int64), np.full(len(digest), run, np.int32), digest, (first + run).astype(np.int32), (last + run).astype(np.int32)))
+            if parts:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "run", "digest", "first", "last"])
 
     inside = stage(runs.mapInArrow(lean(over), "_k long, run int, digest long, first int, last int"), "substring-stretches")
     every = rows.select("_k", F.explode("stretches").alias("digest"), F.lit(False).alias("twice"))
