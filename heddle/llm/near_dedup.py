@@ -6,10 +6,10 @@ trees branch the classes: at the root of a tree a class chooses one coordinate,
 node; a node with more than `SMALL` classes is branched again, each of its classes choosing `BRANCHES` further coordinates,
 until `DEPTH`. Two classes with similarity s meet at the root with probability s, and at a level below with
 1 - (1 - s)^BRANCHES, so eight trees lose one link of similarity 0.85 in 3.9 million where nodes are small and one in 640,000 where
-they are branched twice (at 0.8 one in 390,000 and one in 43,000). Nodes are
-compared exhaustively, on the shares of equal minwise tokens: pairs that lie more than `MARGIN` under the threshold, six
-standard deviations or more, are taken for no links; that refuses one link in 50 million or fewer, by the binomial tail. What a node emits is no list of pairs but a forest that connects its
-candidates, as far as the first tree has not connected them already.
+they are branched twice (at 0.8 one in 390,000 and one in 43,000). Nodes are compared exhaustively, on the shares of equal
+minwise tokens: pairs that lie more than `MARGIN` under the threshold, six standard deviations or more, are taken for no links;
+that refuses one link in 50 million or fewer, by the binomial tail. What a node emits is no list of pairs but a forest that
+connects its candidates, as far as the first tree has not connected them already.
 
 Connected candidates are clusters. Every link lies inside a cluster, and there it is decided on full sets: a cluster is
 dealt into blocks of about `BLOCK` classes and each pair of blocks is searched breadth first in one task, which again emits
