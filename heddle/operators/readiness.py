@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, first_by, row_rules, union
 from ..model import IN_FLIGHT, RESTARTABLE, Archive
+from ..staging import release, stage, unstage
 from . import rules
-from .resolve import versions
 
 C, L = F.col, F.lit
 
@@ -48,35 +48,57 @@ def archive_commit(a: Archive) -> DataFrame:
     return union([run_commit(a), records, rules.staging(a), writes])
 
 
-def checkpoint_candidates(a: Archive) -> DataFrame:
-    """(run_id, pos, content, n): contents that each checkpoint may mean: the pinned version, or all versions and what the run
-    and its parent stage."""
-    points = a.checkpoints.select("run_id", "pos", "object_id", C("revision_id").alias("pin"))
-    pinned = points.where("pin IS NOT NULL").join(versions(a).select("object_id", C("revision_id").alias("pin"), C("content_id").alias("content")), ["object_id", "pin"])
-    free = points.where("pin IS NULL")
-    stored = free.join(a.objects.select("object_id", C("content_id").alias("content")), "object_id")
-    staged = a.staged.select(C("run_id").alias("stager"), "object_id", C("content_id").alias("content"))
-    own = free.join(staged, (free["object_id"] == staged["object_id"]) & (C("run_id") == C("stager"))).select("run_id", "pos", "content")
-    parents = first_by(a.runs, ["run_id"]).where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
-    parents = parents.join(a.runs.select(C("run_id").alias("parent_run_id")).distinct(), "parent_run_id")
-    above = free.join(parents, "run_id").join(staged, (free["object_id"] == staged["object_id"]) & (C("parent_run_id") == C("stager"))).select("run_id", "pos", "content")
-    return union([x.select("run_id", "pos", "content") for x in (pinned, stored, own, above)])
+def _flags(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, open): a row for each key that has any, and whether one of its contents is unknown."""
+    return rows.groupBy(*keys).agg(F.bool_or(C("content").isNull()).alias("open"))
+
+
+def _answered(points: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """`points` with `found` and `unknown`, which also hold if what `held` has by `on` says so."""
+    rows = points.join(held.withColumn("_hit", L(True)), on, "left")
+    return rows.withColumns({"found": C("found") | C("_hit").isNotNull(), "unknown": C("unknown") | F.coalesce("open", L(False))}).drop("_hit", "open")
 
 
 def checkpoints(a: Archive) -> DataFrame:
-    """Checkpoints that nothing answers, whose content can't be verified, or is another one."""
-    wanted = a.checkpoints.select("run_id", "pos", C("content_id").alias("wanted"))
-    said = checkpoint_candidates(a).join(wanted, ["run_id", "pos"]).groupBy("run_id", "pos").agg(
-        F.coalesce(F.bool_or(C("content") == C("wanted")), L(False)).alias("same"), F.bool_or(C("content").isNull()).alias("unknown")
-    )
-    rows = a.checkpoints.join(said, ["run_id", "pos"], "left").join(first_by(a.runs, ["run_id"]).where("restart_declared").select("run_id"), "run_id", "left_semi")
-    code = (
-        F.when(C("same").isNull(), "missing_restart_checkpoint")
-        .when(C("content_id").isNull() | C("same"), None)
-        .when(C("unknown"), "unverified_restart_content")
-        .otherwise("incompatible_restart_content")
-    )
-    return diagnostic(rows.withColumn("code", code).where("code IS NOT NULL"), C("code"), "run_id", "object_id", "restart checkpoint {object_id} cannot be used")
+    """Checkpoints that nothing answers, whose content can't be verified, or is another one. A pinned one means that version;
+    others all versions and what the run and its parent stage.
+
+    A checkpoint meets neither the versions of its object nor what is staged row by row: whether there are any, whether one has
+    no content, and whether one has the wanted content are equi-joins with a row for each key. The table of points is staged
+    between them, with only those that are still open, so their shuffle files needn't lie on the disk together.
+    """
+    spark = a.runs.sparkSession
+    runs = first_by(a.runs, ["run_id"]).where("restart_declared").select("run_id", "parent_run_id")
+    runs = runs.join(a.runs.select(C("run_id").alias("parent_run_id"), C("run_id").alias("parent")).distinct(), "parent_run_id", "left").select("run_id", "parent")
+    no = L(False)
+
+    def put(df, name):
+        out = stage(df, f"restart-{name}", compression="zstd")
+        release(spark)
+        return out
+
+    points = put(a.checkpoints.join(runs, "run_id").select("run_id", "parent", "object_id", C("revision_id").alias("pin"), C("content_id").alias("wanted"), no.alias("found"), no.alias("unknown")), "points")
+    held = put(a.objects.select("object_id", "revision_id", "ordinal", C("content_id").alias("content")), "objects")
+    # pinned versions
+    first = first_by(held, ["object_id", "revision_id"]).select("object_id", C("revision_id").alias("pin"), "content", L(True).alias("_hit"))
+    pinned = points.where("pin IS NOT NULL").join(first, ["object_id", "pin"], "left").withColumns({"found": C("_hit").isNotNull(), "unknown": C("_hit").isNotNull() & C("content").isNull(), "same": F.coalesce(C("content") == C("wanted"), no)})
+    done = put(pinned.where("NOT found OR (wanted IS NOT NULL AND NOT same)").select("run_id", "object_id", "wanted", "found", "unknown"), "pinned")
+    # all versions, of those whose wanted content is none of theirs or that have none
+    free = _answered(points.where("pin IS NULL"), _flags(held, "object_id"), ["object_id"]).where("NOT found OR wanted IS NOT NULL").drop("pin")
+    stored = held.where("content IS NOT NULL").select("object_id", C("content").alias("wanted")).distinct()
+    free = put(free.join(stored, ["object_id", "wanted"], "left_anti").withColumn("id", F.monotonically_increasing_id()), "free")
+    unstage(points, held)
+    # what is staged by the run and its parent
+    own = a.staged.select(C("run_id").alias("stager"), "object_id", C("content_id").alias("content"))
+    asked = free.withColumn("stager", F.explode(F.array_compact(F.array("run_id", "parent")))).drop("parent")
+    asked = put(_answered(asked, _flags(own, "stager", "object_id"), ["stager", "object_id"]), "asked")
+    unstage(free)
+    same = own.where("content IS NOT NULL").select("stager", "object_id", C("content").alias("wanted")).distinct().withColumn("_same", L(True))
+    left = asked.join(same, ["stager", "object_id", "wanted"], "left").groupBy("id", "run_id", "object_id", "wanted").agg(F.bool_or("found").alias("found"), F.bool_or("unknown").alias("unknown"), F.bool_or(C("_same").isNotNull()).alias("same"))
+    left = put(left.where("NOT found OR (wanted IS NOT NULL AND NOT same)").select("run_id", "object_id", "wanted", "found", "unknown"), "left")
+    unstage(asked)
+    code = F.when(~C("found"), "missing_restart_checkpoint").when(C("unknown"), "unverified_restart_content").otherwise("incompatible_restart_content")
+    return diagnostic(done.unionByName(left), code, "run_id", "object_id", "restart checkpoint {object_id} cannot be used")
 
 
 def archive_restart(a: Archive) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small scenarios: a branched history, scopes, lookups, ingest, retention, the stream, trees and documents."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +396,22 @@ def test_tree_edits(spark):
     changes = spark.createDataFrame([("t", "b", "integer", "3"), ("x", "a", "string", "4")], attrs.schema)
     got = {(r["node_id"], r["key"]): (r["tag"], r["value"]) for r in nodes.set_attribute(attrs, changes).collect()}
     assert got == {("t", "a"): ("string", "1"), ("t", "b"): ("integer", "3"), ("x", "a"): ("string", "4")}
+
+
+def test_restart_checkpoints_of_an_object_with_many_versions(spark):
+    """20,000 checkpoints of one object with 20,000 versions: they must not meet in pairs."""
+    n = 20_000
+
+    def many(table, **given):
+        return spark.range(n).select(*[F.expr(given.get(f.name, {"ordinal": "id", "pos": "id"}.get(f.name, "NULL"))).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema(table)).schema])
+
+    a = Archive.of({
+        "objects": many("objects", object_id="'o'", revision_id="'v' || id", content_id="'c' || id"),
+        "checkpoints": many("checkpoints", run_id="'r'", object_id="CASE id WHEN 1 THEN 'other' WHEN 2 THEN 'up' WHEN 3 THEN 'mine' ELSE 'o' END", content_id="CASE WHEN id = 0 THEN 'none' WHEN id < 4 THEN 'c' ELSE 'c' || id END", revision_id="CASE id WHEN 5 THEN 'v5' WHEN 6 THEN 'v7' END"),
+        "runs": rows(spark, "runs", dict(run_id="r", parent_run_id="p", status="failed", restart_declared=True), dict(run_id="p", status="failed", restart_declared=False)),
+        "staged": rows(spark, "staged", dict(run_id="p", object_id="up", content_id="c"), dict(run_id="r", object_id="mine")),
+    })
+    began = time.monotonic()
+    got = sorted((r["code"], r["related"]) for r in readiness.checkpoints(a).collect())
+    assert got == [("incompatible_restart_content", "o"), ("incompatible_restart_content", "o"), ("missing_restart_checkpoint", "other"), ("unverified_restart_content", "mine")]
+    assert time.monotonic() - began < 60
