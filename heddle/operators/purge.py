@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, distinct_diagnostics, first_by, union
 from ..model import Archive
-from ..staging import stage, unstage
+from ..staging import release, stage, unstage
 from . import dag, manifest, rules
-from .resolve import all_versions, match_external, versions
+from .resolve import all_versions, match_external
 
 C, L = F.col, F.lit
 ROOT_KINDS = ("head", "revision", "object", "run", "log_stream")
@@ -78,9 +78,9 @@ def keep_by_retention(policy: Policy, in_runs, retention="retention"):
 def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), externals: DataFrame | None = None) -> Reach:
     externals = a.externals if externals is None else externals
     spark = a.objects.sparkSession
-    pairs = dag.closure(dag.upward(a), ordered=True)
+    edges = stage(dag.upward(a), "purge-edges")
     tables = manifest.tables(a)
-    held = stage(versions(a).select("object_id", "revision_id", "ordinal"), "purge-objects")
+    held = tables[0]
     first_runs = stage(first_by(a.runs, ["run_id"]).select("run_id", "revision_id", "parent_run_id"), "purge-runs")
     recs = stage(dag.first_revisions(a).select("revision_id", "run_id"), "purge-revisions")
 
@@ -110,7 +110,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
     problems, missed = [], []
     snapshot_roots = stage(union([no_revisions, *snapshots]).distinct(), "purge-roots")
     objects = frame([], "object_id string, revision_id string")
-    whole = manifest.manifests(a, snapshot_roots, externals=externals)
+    whole = manifest.manifests(a, snapshot_roots, externals=externals, pairs=dag.closure_above(edges, snapshot_roots), known=tables)
     problems.append(whole.diagnostics.drop("root"))
     present = whole.entries.where("availability = 'envelope_only'").select("object_id", "revision_id")
     missed.append(whole.entries.where("availability <> 'envelope_only'").select("root", "object_id"))
@@ -137,6 +137,8 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
     new_seeds = union([frame([], "object_id string, revision_id string"), *seeds])
     new_records = union(records)
     kept_revisions = stage(revisions.distinct(), "purge-kept")
+    known_ids = recs.select("revision_id")
+    seen = None  # what records have been found to see so far, a set that holds its own ancestors
     while True:
         # parents of new runs
         up = new_runs.join(first_runs, "run_id").where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
@@ -148,8 +150,11 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         events = a.events.where("retention <> 'pinned'").where(keep_by_retention(policy, L(True))).join(new_runs, "run_id", "left_semi")
         events = events if new_events is None else events.unionByName(new_events)
         event_refs = a.event_refs.join(events.select(C("ordinal").alias("event"), C("run_id").alias("subject")), "event").select("subject", "object_id", "revision_id", L("dangling_event_object").alias("code"))
-        asked = all_versions(refs.unionByName(event_refs), a.objects)
-        lost = match_external(asked.where("version IS NULL"), externals, "object_id")
+        named = stage(refs.unionByName(event_refs).distinct(), "purge-named")
+        # a reference meets versions once, however many subjects name it; subjects only come back for those that are lost
+        asked = stage(all_versions(named.select("object_id", "revision_id").distinct(), held), "purge-asked")
+        nothing = asked.where("version IS NULL").select(C("object_id").alias("_o"), C("revision_id").alias("_r"))
+        lost = match_external(named.join(nothing, (C("object_id") == C("_o")) & C("revision_id").eqNullSafe(C("_r")), "left_semi"), externals, "object_id")
         problems.append(stage(lone.unionByName(diagnostic(lost.where("NOT external"), C("code"), "subject", "object_id", "{subject} names missing object {object_id}")), "purge-problems"))
         missed.append(stage(lost.where("external").select(L(None).cast("string").alias("root"), "object_id").distinct(), "purge-missed"))
         found = asked.where("version IS NOT NULL").select("object_id", C("version").alias("revision_id"))
@@ -160,6 +165,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         done_seeds.append(fresh)
         reached, sight = no_objects, None
         if not fresh.isEmpty():  # closures of new seeds, each as its own revision sees it
+            pairs = dag.closure_above(edges, fresh.select("revision_id").join(known_ids, "revision_id", "left_semi").distinct())
             sight = stage(dag.visible(a, fresh.select("revision_id"), pairs), "purge-sight")
             start = fresh.join(held, ["object_id", "revision_id"]).withColumn("root", C("revision_id"))
             reached, slots = manifest.entries(a, sight, start, tables)
@@ -169,9 +175,10 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
                 reached = reached.unionByName(_in_scope(held, sight))
         # records: a revision, all that it sees, and the runs that made those
         wanted = union([new_records, up.where("_rev IS NOT NULL").select(C("_rev").alias("revision_id")), events.where("revision_id IS NOT NULL").select("revision_id"), fresh.select("revision_id")]).distinct()
-        seen = dag.visible(a, wanted, pairs).select("revision_id")
-        all_revisions = union([kept_revisions, wanted, seen, reached.select("revision_id")]).distinct()
-        makers = recs.where("run_id IS NOT NULL").join(seen.distinct(), "revision_id", "left_semi").select("run_id")
+        more = dag.above(edges, wanted.join(known_ids, "revision_id", "left_semi"), seen)
+        seen = more if seen is None else stage(seen.unionByName(more), "purge-seen")
+        all_revisions = union([kept_revisions, wanted, more, reached.select("revision_id")]).distinct()
+        makers = recs.where("run_id IS NOT NULL").join(more, "revision_id", "left_semi").select("run_id")
         grown_revisions = stage(all_revisions, "purge-kept")
         committed = first_by(a.runs, ["run_id", "revision_id"]).where("revision_id IS NOT NULL").join(grown_revisions, "revision_id", "left_semi").select("run_id")
         before, kept_runs = kept_runs, stage(kept_runs.unionByName(new_runs).distinct(), "purge-runs-kept")
@@ -180,7 +187,8 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         grown_objects = stage(kept_objects.unionByName(reached).distinct(), "purge-objects-kept")
         grown_runs = stage(next_runs, "purge-new")
         still = grown_runs.isEmpty()
-        unstage(new_runs, kept_objects, kept_revisions, *([sight] if sight is not None else []))
+        unstage(new_runs, kept_objects, kept_revisions, named, asked, *([sight] if sight is not None else []))
+        release(spark)
         new_runs, kept_objects, kept_revisions = grown_runs, grown_objects, grown_revisions
         new_seeds, new_records, new_events = frame([], "object_id string, revision_id string"), no_revisions, None
         if still:

@@ -53,3 +53,14 @@ def test_cycle_and_unknown_parent(spark):
     assert {r["revision_id"] for r in dag.on_cycle(a).collect()} == {"a", "b"}
     assert dag.cycle_check(archive_of(spark, {"a": [], "b": ["a"]})).count() == 0
     assert {(r["revision_id"], r["child"]) for r in dag.children(a).collect()} >= {("x", "d")}
+
+
+def test_sets_above_equal_the_closure(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n3", "n15"), ("x", "y"), ("y", "x"), ("m", "n18")]
+    edges = spark.createDataFrame([(s, t, 0) for s, t in pairs], "source string, target string, pos bigint")
+    start = spark.createDataFrame([("n2",), ("x",)], "revision_id string")
+    got = [r[0] for r in dag.above(edges, start).collect()]
+    assert sorted(got) == sorted([f"n{i}" for i in range(2, 21)] + ["x", "y"])
+    more = dag.above(edges, spark.createDataFrame([("n0",), ("m",), ("n5",)], "revision_id string"), dag.above(edges, start))
+    assert sorted(r[0] for r in more.collect()) == ["m", "n0", "n1"]
+    assert {r["target"] for r in dag.closure_above(edges, start).where("source = 'n2'").collect()} == {f"n{i}" for i in range(3, 21)}
