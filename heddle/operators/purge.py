@@ -174,7 +174,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
             if policy.keep_ancestor_objects:
                 reached = reached.unionByName(_in_scope(held, sight))
         # records: a revision, all that it sees, and the runs that made those
-        wanted = union([new_records, up.where("_rev IS NOT NULL").select(C("_rev").alias("revision_id")), events.where("revision_id IS NOT NULL").select("revision_id"), fresh.select("revision_id")]).distinct()
+        wanted = union([new_records, up.where("_rev IS NOT NULL AND parent_run_id <> run_id").select(C("_rev").alias("revision_id")), events.where("revision_id IS NOT NULL").select("revision_id"), fresh.select("revision_id")]).distinct()
         more = dag.above(edges, wanted.join(known_ids, "revision_id", "left_semi"), seen)
         seen = more if seen is None else stage(seen.unionByName(more), "purge-seen")
         all_revisions = union([kept_revisions, wanted, more, reached.select("revision_id")]).distinct()

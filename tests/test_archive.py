@@ -415,3 +415,15 @@ def test_restart_checkpoints_of_an_object_with_many_versions(spark):
     got = sorted((r["code"], r["related"]) for r in readiness.checkpoints(a).collect())
     assert got == [("incompatible_restart_content", "o"), ("incompatible_restart_content", "o"), ("missing_restart_checkpoint", "other"), ("unverified_restart_content", "mine")]
     assert time.monotonic() - began < 60
+
+
+def test_a_run_that_is_its_own_parent_keeps_no_revision_by_that(spark, history):
+    """Its revision stays only where something else keeps it."""
+    a = history.replaced(
+        runs=rows(spark, "runs", dict(run_id="self", parent_run_id="self", revision_id="r3", status="completed", restart_declared=False)),
+        revisions=rows(spark, "revisions", dict(revision_id="r0", run_id="self"), dict(revision_id="r1"), dict(revision_id="r2"), dict(revision_id="r3")),
+        log_streams=history.log_streams.where("false"),
+    )
+    kept = purge.reachable(a, [purge.Root("revision", revision_id="r0")], purge.Policy())
+    assert {r["run_id"] for r in kept.runs.collect()} == {"self"}
+    assert {r["revision_id"] for r in kept.revisions.collect()} == {"r0"}
