@@ -1,24 +1,30 @@
 """Retention: what roots reach, the plan of what else may go, and the compacted archive.
 
-Everything that is kept grows in four sets (objects, revisions, runs, heads) by rules that each follow from one member, so
-the fixpoint is the same in any order. A round works only on runs and revisions that were new in the round before.
+Everything that is kept follows by rules from one member each, so runs, revisions and what is asked for are the nodes of one
+graph that is searched as a set. Objects lead to no more of these than their own revision does, so the closures of all that is
+asked for are taken once, after the search, over the objects and references of the revisions that they see.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, distinct_diagnostics, first_by, union
 from ..model import Archive
-from ..staging import release, stage, unstage
+from ..staging import release, stage
 from . import dag, manifest, rules
-from .resolve import all_versions, match_external
+from .resolve import match_external
 
 C, L = F.col, F.lit
 ROOT_KINDS = ("head", "revision", "object", "run", "log_stream")
+ARCS = 1_000_000  # of the searched graph, in a partition
+LONGEST = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -51,9 +57,14 @@ class Reach:
     runs: DataFrame
     heads: DataFrame
     externals: DataFrame
-    diagnostics: DataFrame
+    find_diagnostics: Callable[[], DataFrame]
     forced: list[tuple[str, str]] = field(default_factory=list)
 
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """Found when they are first asked for."""
+        return self.find_diagnostics()
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -78,14 +89,11 @@ def keep_by_retention(policy: Policy, in_runs, retention="retention"):
 def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), externals: DataFrame | None = None) -> Reach:
     externals = a.externals if externals is None else externals
     spark = a.objects.sparkSession
-    edges = stage(dag.upward(a), "purge-edges")
-    tables = manifest.tables(a)
-    held = tables[0]
     first_runs = stage(first_by(a.runs, ["run_id"]).select("run_id", "revision_id", "parent_run_id"), "purge-runs")
     recs = stage(dag.first_revisions(a).select("revision_id", "run_id"), "purge-revisions")
 
-    def frame(rows, schema):
-        return spark.createDataFrame(rows, schema)
+    def frame(schema):
+        return spark.createDataFrame([], schema)
 
     heads, snapshots, seeds, runs, forced = [], [], [], [], []
     for r in roots:
@@ -97,7 +105,7 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         elif r.kind == "revision":
             snapshots.append(_one(recs.where(C("revision_id") == r.revision_id), "a revision root is not in the archive").select("revision_id"))
         elif r.kind == "object":
-            seeds.append(_one(held.where((C("object_id") == r.id) & (C("revision_id") == r.revision_id)), "an object root is missing").select("object_id", "revision_id"))
+            seeds.append(_one(a.objects.where((C("object_id") == r.id) & (C("revision_id") == r.revision_id)), "an object root is missing").select("object_id", "revision_id"))
         else:
             found = _one(first_runs.where(C("run_id") == r.id), "a run root is not in the archive")
             if r.kind == "log_stream":
@@ -105,99 +113,108 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
                 forced.append((r.id, r.log_kind))
             runs.append(found.select("run_id"))
             snapshots.append(found.where("revision_id IS NOT NULL").select("revision_id"))
-
-    no_revisions, no_runs = frame([], "revision_id string"), frame([], "run_id string")
-    problems, missed = [], []
-    snapshot_roots = stage(union([no_revisions, *snapshots]).distinct(), "purge-roots")
-    objects = frame([], "object_id string, revision_id string")
-    whole = manifest.manifests(a, snapshot_roots, externals=externals, pairs=dag.closure_above(edges, snapshot_roots), known=tables)
-    problems.append(whole.diagnostics.drop("root"))
-    present = whole.entries.where("availability = 'envelope_only'").select("object_id", "revision_id")
-    missed.append(whole.entries.where("availability <> 'envelope_only'").select("root", "object_id"))
-    objects = objects.unionByName(present)
-    revisions = union([snapshot_roots, present.select("revision_id")])
-    records = [snapshot_roots]
-    if policy.keep_ancestor_objects:
-        objects = objects.unionByName(_in_scope(held, whole.visible))
-
-    pinned = union([x.where("retention = 'pinned'").select("run_id") for x in (a.log_streams, a.events)])
-    seeded = union([no_runs, pinned, *runs])
-    records.append(seeded.distinct().join(first_runs, "run_id").where("revision_id IS NOT NULL").select("revision_id"))
+    snapshot_roots = stage(union([frame("revision_id string"), *snapshots]).distinct(), "purge-roots")
+    seeds = union([frame("object_id string, revision_id string"), *seeds]).distinct()
+
+    # what activities, and events that stay with their run or always, refer to
+    pinned = C("retention") == "pinned"
+    events = a.events.where(keep_by_retention(policy, L(True))).select("ordinal", "run_id", "revision_id", pinned.alias("pinned"))
+    named = a.event_refs.join(events.select(C("ordinal").alias("event"), "run_id", "pinned"), "event").select("run_id", "pinned", C("run_id").alias("subject"), "object_id", "revision_id", L("dangling_event_object").alias("code"))
+    named = named.unionByName(a.activity_refs.select("run_id", L(False).alias("pinned"), C("activity_id").alias("subject"), "object_id", "revision_id", L("missing_activity_object").alias("code")))
+    named = stage(named.distinct(), "purge-named")
+    asked = stage(named.select("object_id", "revision_id").distinct(), "purge-asked")
+    held = a.objects.select("object_id", C("revision_id").alias("version"))
+    meant = union([
+        asked.where("revision_id IS NULL").join(held, "object_id").select("object_id", "revision_id", "version"),
+        asked.where("revision_id IS NOT NULL").join(held.withColumn("revision_id", C("version")), ["object_id", "revision_id"]).select("object_id", "revision_id", "version"),
+    ])
+    meant = stage(meant.distinct(), "purge-versions")
+
+    # the graph that is searched: runs, revisions, and what is asked for; only parents have a position
+    run, rev, ask = _node("run", "run_id"), _node("rev", "revision_id"), _node("ask", F.to_json(F.struct("object_id", "revision_id")))
+    parents = first_runs.where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
+    known = first_runs.select(C("run_id").alias("parent_run_id"), "revision_id")
+    up = parents.join(known, "parent_run_id")
+    arcs = union([
+        dag.upward(a.replaced(revisions=recs)).select(_node("rev", "source").alias("source"), _node("rev", "target").alias("target"), "pos"),
+        *[
+            x.select(s.alias("source"), t.alias("target"), L(None).cast("bigint").alias("pos"))
+            for x, s, t in (
+                (recs.where("run_id IS NOT NULL"), rev, run),
+                (a.runs.where("revision_id IS NOT NULL").select("run_id", "revision_id").distinct(), rev, run),
+                (up, run, _node("run", "parent_run_id")),
+                (up.where("parent_run_id <> run_id AND revision_id IS NOT NULL"), run, rev),
+                (events.where("NOT pinned AND revision_id IS NOT NULL"), run, rev),
+                (named.where("NOT pinned").select("run_id", "object_id", "revision_id").distinct(), run, ask),
+                (meant.select(ask.alias("_a"), C("version").alias("revision_id")).distinct(), C("_a"), rev),
+            )
+        ],
+    ])
+    # cached as dealt and sorted by source, so that each level of a search moves its frontier only
+    dealt = max(spark.sparkContext.defaultParallelism, (2 * recs.count() + named.count()) // ARCS)
+    graph = arcs.repartition(dealt, "source").sortWithinPartitions("source").persist(StorageLevel.MEMORY_AND_DISK)
+
+    seeded = union([frame("run_id string"), *[x.where("retention = 'pinned'").select("run_id") for x in (a.log_streams, a.events)], *runs]).distinct()
+    records = seeded.join(first_runs, "run_id").where("revision_id IS NOT NULL").select("revision_id")
+    start = [
+        seeded.select(run.alias("n")), named.where("pinned").select(ask.alias("n")),
+        *[x.select(rev.alias("n")) for x in (snapshot_roots, records, seeds, events.where("pinned AND revision_id IS NOT NULL"))],
+    ]
     if policy.keep_uncommitted_runs:
-        seeded = seeded.unionByName(a.runs.where("revision_id IS NULL").select("run_id"))
-    # events that stay whatever run they belong to
-    new_events = a.events.where("retention = 'pinned'")
-
-    kept_runs = no_runs
-    kept_revisions = no_revisions
-    kept_objects = objects
-    done_seeds: list[DataFrame] = []
-    no_objects = frame([], "object_id string, revision_id string")
-    new_runs = stage(seeded.distinct(), "purge-new")
-    new_seeds = union([frame([], "object_id string, revision_id string"), *seeds])
-    new_records = union(records)
-    kept_revisions = stage(revisions.distinct(), "purge-kept")
-    known_ids = recs.select("revision_id")
-    seen = None  # what records have been found to see so far, a set that holds its own ancestors
-    while True:
-        # parents of new runs
-        up = new_runs.join(first_runs, "run_id").where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
-        known = first_runs.select(C("run_id").alias("parent_run_id"), C("revision_id").alias("_rev"))
-        lone = diagnostic(up.join(known, "parent_run_id", "left_anti"), "missing_parent_run", "run_id", "parent_run_id", "parent run {parent_run_id} of run {run_id} is not known")
-        up = up.join(known, "parent_run_id")
-        # what new runs' activities and kept events refer to
-        refs = a.activity_refs.join(new_runs, "run_id", "left_semi").select(C("activity_id").alias("subject"), "object_id", "revision_id", L("missing_activity_object").alias("code"))
-        events = a.events.where("retention <> 'pinned'").where(keep_by_retention(policy, L(True))).join(new_runs, "run_id", "left_semi")
-        events = events if new_events is None else events.unionByName(new_events)
-        event_refs = a.event_refs.join(events.select(C("ordinal").alias("event"), C("run_id").alias("subject")), "event").select("subject", "object_id", "revision_id", L("dangling_event_object").alias("code"))
-        named = stage(refs.unionByName(event_refs).distinct(), "purge-named")
-        # a reference meets versions once, however many subjects name it; subjects only come back for those that are lost
-        asked = stage(all_versions(named.select("object_id", "revision_id").distinct(), held), "purge-asked")
-        nothing = asked.where("version IS NULL").select(C("object_id").alias("_o"), C("revision_id").alias("_r"))
-        lost = match_external(named.join(nothing, (C("object_id") == C("_o")) & C("revision_id").eqNullSafe(C("_r")), "left_semi"), externals, "object_id")
-        problems.append(stage(lone.unionByName(diagnostic(lost.where("NOT external"), C("code"), "subject", "object_id", "{subject} names missing object {object_id}")), "purge-problems"))
-        missed.append(stage(lost.where("external").select(L(None).cast("string").alias("root"), "object_id").distinct(), "purge-missed"))
-        found = asked.where("version IS NOT NULL").select("object_id", C("version").alias("revision_id"))
-        fresh = new_seeds.unionByName(found).distinct()
-        if done_seeds:
-            fresh = fresh.join(dag.read_parts(done_seeds), ["object_id", "revision_id"], "left_anti")
-        fresh = stage(fresh, "purge-seeds")
-        done_seeds.append(fresh)
-        reached, sight = no_objects, None
-        if not fresh.isEmpty():  # closures of new seeds, each as its own revision sees it
-            pairs = dag.closure_above(edges, fresh.select("revision_id").join(known_ids, "revision_id", "left_semi").distinct())
-            sight = stage(dag.visible(a, fresh.select("revision_id"), pairs), "purge-sight")
-            start = fresh.join(held, ["object_id", "revision_id"]).withColumn("root", C("revision_id"))
-            reached, slots = manifest.entries(a, sight, start, tables)
-            reached = reached.select("object_id", "revision_id")
-            missed.append(stage(slots.select("root", "object_id"), "purge-missed"))
-            if policy.keep_ancestor_objects:
-                reached = reached.unionByName(_in_scope(held, sight))
-        # records: a revision, all that it sees, and the runs that made those
-        wanted = union([new_records, up.where("_rev IS NOT NULL AND parent_run_id <> run_id").select(C("_rev").alias("revision_id")), events.where("revision_id IS NOT NULL").select("revision_id"), fresh.select("revision_id")]).distinct()
-        more = dag.above(edges, wanted.join(known_ids, "revision_id", "left_semi"), seen)
-        seen = more if seen is None else stage(seen.unionByName(more), "purge-seen")
-        all_revisions = union([kept_revisions, wanted, more, reached.select("revision_id")]).distinct()
-        makers = recs.where("run_id IS NOT NULL").join(more, "revision_id", "left_semi").select("run_id")
-        grown_revisions = stage(all_revisions, "purge-kept")
-        committed = first_by(a.runs, ["run_id", "revision_id"]).where("revision_id IS NOT NULL").join(grown_revisions, "revision_id", "left_semi").select("run_id")
-        before, kept_runs = kept_runs, stage(kept_runs.unionByName(new_runs).distinct(), "purge-runs-kept")
-        unstage(before)
-        next_runs = union([up.select(C("parent_run_id").alias("run_id")), events.select("run_id"), makers, committed]).distinct().join(kept_runs, "run_id", "left_anti")
-        grown_objects = stage(kept_objects.unionByName(reached).distinct(), "purge-objects-kept")
-        grown_runs = stage(next_runs, "purge-new")
-        still = grown_runs.isEmpty()
-        unstage(new_runs, kept_objects, kept_revisions, named, asked, *([sight] if sight is not None else []))
-        release(spark)
-        new_runs, kept_objects, kept_revisions = grown_runs, grown_objects, grown_revisions
-        new_seeds, new_records, new_events = frame([], "object_id string, revision_id string"), no_revisions, None
-        if still:
-            break
-    all_heads = union([frame([], "head_id string"), *heads, a.heads.join(kept_revisions, "revision_id", "left_semi").select("head_id")]).distinct()
-    open_ = match_external(union(missed).distinct(), externals, "object_id")
-    unresolved = diagnostic(open_.where("NOT external"), "missing_manifest_object", "root", "object_id", "revision {root} names missing object {object_id}", revision_id=C("root"), object_id=C("object_id"))
+        start.append(a.runs.where("revision_id IS NULL").select(run.alias("n")))
+    kept = dag.above(graph, union(start).select(C("n").alias("revision_id")), dealt=dealt)
+
+    def of_kind(kind, name):
+        return kept.where(F.startswith("revision_id", L(f"{kind}|"))).select(F.substring("revision_id", len(kind) + 2, LONGEST).alias(name))
+
+    kept_runs = stage(of_kind("run", "run_id"), "purge-runs-kept")
+    kept_revisions = stage(of_kind("rev", "revision_id"), "purge-kept")
+    wanted = kept.where(F.startswith("revision_id", L("ask|"))).withColumnRenamed("revision_id", "_n")
+    fresh = stage(meant.join(wanted, ask == C("_n"), "left_semi").select("object_id", C("version").alias("revision_id")).unionByName(seeds).distinct(), "purge-seeds")
+
+    # closures of the seeds, each as its own revision sees it
+    own = stage(fresh.select("revision_id").unionByName(snapshot_roots).distinct(), "purge-own")
+    pairs = dag.closure_above(graph.where("pos IS NOT NULL"), own.join(recs, "revision_id", "left_semi").select(rev.alias("revision_id")), dealt)
+    pairs = pairs.withColumns({c: F.substring(c, 5, LONGEST) for c in ("source", "target")})
+    sight = stage(dag.visible(a.replaced(revisions=recs), own, pairs), "purge-sight")
+    graph.unpersist()
+    within = stage(sight.select("revision_id").unionByName(own).distinct(), "purge-within")
+    objects = stage(first_by(a.objects.select("object_id", "revision_id", "ordinal").join(within, "revision_id", "left_semi"), ["object_id", "revision_id"]), "manifest-objects")
+    release(spark)
+    refs = a.refs.select("owner", "object_id", "revision_id", "target_object", "target_revision").join(within, "revision_id", "left_semi")
+    refs = refs.join(stage(objects.select("object_id").distinct(), "purge-ids"), "object_id", "left_semi").join(objects.select(C("ordinal").alias("owner")), "owner", "left_semi")
+    refs = stage(refs.select("owner", "target_object", "target_revision"), "manifest-refs")
+    release(spark)
+    first = fresh.unionByName(objects.join(snapshot_roots.join(recs, "revision_id", "left_semi"), "revision_id", "left_semi").select("object_id", "revision_id")).distinct()
+    reached, slots = manifest.entries(a, sight, first.join(objects, ["object_id", "revision_id"]).withColumn("root", C("revision_id")), (objects, refs))
+    kept_objects = reached.select("object_id", "revision_id")
+    if policy.keep_ancestor_objects:
+        kept_objects = kept_objects.unionByName(_in_scope(objects, sight))
+    kept_objects = stage(kept_objects.distinct(), "purge-objects-kept")
+    release(spark)
+
+    all_heads = union([frame("head_id string"), *heads, a.heads.join(kept_revisions, "revision_id", "left_semi").select("head_id")]).distinct()
+    # a reference met its versions once, however many subjects name it; subjects only come back for those that are lost
+    nothing = asked.join(meant.select(C("object_id").alias("_o"), C("revision_id").alias("_r")).distinct(), (C("object_id") == C("_o")) & C("revision_id").eqNullSafe(C("_r")), "left_anti")
+    nothing = nothing.select(C("object_id").alias("_o"), C("revision_id").alias("_r"))
+    lost = named.join(nothing, (C("object_id") == C("_o")) & C("revision_id").eqNullSafe(C("_r")), "left_semi")
+    lost = lost.where("pinned").unionByName(lost.where("NOT pinned").join(kept_runs, "run_id", "left_semi").select(*lost.columns))
+    lost = match_external(lost.select("code", "subject", "object_id").distinct(), externals, "object_id")
+    open_ = match_external(slots.select("root", "object_id").unionByName(lost.where("external").select(L(None).cast("string").alias("root"), "object_id")).distinct(), externals, "object_id")
     used = open_.where("external").select("object_id", C("external_content").alias("content_id")).distinct()
-    return Reach(kept_objects, kept_revisions, kept_runs, all_heads, used, distinct_diagnostics(union([*problems, unresolved])), forced)
+
+    def diagnostics():
+        lone = diagnostic(parents.join(kept_runs, "run_id", "left_semi").join(known, "parent_run_id", "left_anti"), "missing_parent_run", "run_id", "parent_run_id", "parent run {parent_run_id} of run {run_id} is not known")
+        absent = diagnostic(lost.where("NOT external"), C("code"), "subject", "object_id", "{subject} names missing object {object_id}")
+        unresolved = diagnostic(open_.where("NOT external"), "missing_manifest_object", "root", "object_id", "revision {root} names missing object {object_id}", revision_id=C("root"), object_id=C("object_id"))
+        whole = manifest.record_diagnostics(a, sight.join(snapshot_roots.select(C("revision_id").alias("root")), "root", "left_semi"))
+        return distinct_diagnostics(union([whole.drop("root"), lone, absent, unresolved]))
+
+    return Reach(kept_objects, kept_revisions, kept_runs, all_heads, used, diagnostics, forced)
+
+
+def _node(kind: str, value) -> Column:
+    return F.concat(L(f"{kind}|"), C(value) if isinstance(value, str) else value)
 
 
 def _in_scope(held: DataFrame, visible: DataFrame) -> DataFrame:

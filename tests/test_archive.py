@@ -427,3 +427,27 @@ def test_a_run_that_is_its_own_parent_keeps_no_revision_by_that(spark, history):
     kept = purge.reachable(a, [purge.Root("revision", revision_id="r0")], purge.Policy())
     assert {r["run_id"] for r in kept.runs.collect()} == {"self"}
     assert {r["revision_id"] for r in kept.revisions.collect()} == {"r0"}
+
+
+def test_long_chains_of_runs_and_revisions_take_few_steps(spark, history, monkeypatch):
+    """A run leads to its parent's revision, that to the revision above it, and that to its maker, a run with a parent again; closures
+    of objects are taken once, not with each such round."""
+    from heddle import staging
+
+    n, steps = 12, []
+    for module in (dag, manifest, purge):
+        monkeypatch.setattr(module, "stage", lambda df, name, **options: steps.append(name) or staging.stage(df, name, **options))
+    a = history.replaced(
+        runs=rows(spark, "runs", *[dict(run_id=f"m{i}", parent_run_id=f"p{i}" if i < n else None, status="completed", restart_declared=False) for i in range(n + 1)], *[dict(run_id=f"p{i}", revision_id=f"a{i}", status="completed", restart_declared=False) for i in range(n)]),
+        revisions=rows(spark, "revisions", *[dict(revision_id=f"a{i}") for i in range(n)], *[dict(revision_id=f"b{i}", run_id=f"m{i + 1}") for i in range(n)], dict(revision_id="off")),
+        edges=rows(spark, "edges", *[dict(child=f"a{i}", parent=f"b{i}", pos=0) for i in range(n)]),
+        objects=rows(spark, "objects", *[dict(object_id=f"o{i}", revision_id=f"b{i}", ns_id="n", kind="n/k", schema_ns="n", schema_id="k", schema_version="1") for i in range(n)]),
+        activity_refs=rows(spark, "activity_refs", *[dict(run_id=f"m{i + 1}", activity_id=f"t{i}", direction="used", name="x", object_id=f"o{i}") for i in range(n)], dict(run_id="m1", activity_id="t", direction="used", name="x", object_id="gone")),
+        log_streams=history.log_streams.where("false"), events=history.events.where("false"), heads=history.heads.where("false"), refs=history.refs.where("false"),
+    )
+    kept = purge.reachable(a, [purge.Root("run", id="m0")], purge.Policy())
+    assert {r["run_id"] for r in kept.runs.collect()} == {f"m{i}" for i in range(n + 1)} | {f"p{i}" for i in range(n)}
+    assert {r["revision_id"] for r in kept.revisions.collect()} == {f"{k}{i}" for k in "ab" for i in range(n)}
+    assert {r["object_id"] for r in kept.objects.collect()} == {f"o{i}" for i in range(n)}
+    assert {(r["code"], r["related"]) for r in kept.diagnostics.collect()} == {("missing_activity_object", "gone")}
+    assert steps.count("manifest-sights") == 1 and len(steps) < 6 * n

@@ -64,3 +64,12 @@ def test_sets_above_equal_the_closure(spark):
     more = dag.above(edges, spark.createDataFrame([("n0",), ("m",), ("n5",)], "revision_id string"), dag.above(edges, start))
     assert sorted(r[0] for r in more.collect()) == ["m", "n0", "n1"]
     assert {r["target"] for r in dag.closure_above(edges, start).where("source = 'n2'").collect()} == {f"n{i}" for i in range(3, 21)}
+
+
+def test_a_search_over_dealt_edges_finds_the_same_set(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y"), ("y", "x"), ("z", "n0")]
+    edges = spark.createDataFrame(pairs, "source string, target string").repartition(3, "source").sortWithinPartitions("source").persist()
+    start = spark.createDataFrame([("n2",), ("x",)], "revision_id string")
+    got = sorted(r[0] for r in dag.above(edges, start, dealt=3).collect())
+    edges.unpersist()
+    assert got == sorted(r[0] for r in dag.above(edges, start).collect()) == sorted([f"n{i}" for i in range(2, 10)] + ["x", "y"])
