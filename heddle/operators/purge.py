@@ -268,7 +268,8 @@ def _unpivot(row: DataFrame) -> DataFrame:
 
 def compact(a: Archive, reach: Reach, policy: Policy) -> Archive:
     """The tables with only what is kept; the source is untouched."""
-    objects = a.objects.join(reach.objects, ["object_id", "revision_id"], "left_semi")
+    # by revision first, a filter that Spark can move below windows over the rows of one revision
+    objects = a.objects.join(reach.objects.select("revision_id").distinct(), "revision_id", "left_semi").join(reach.objects, ["object_id", "revision_id"], "left_semi")
     owners = objects.select(C("ordinal").alias("owner"))
     runs = a.runs.join(reach.runs, "run_id", "left_semi")
     events = _streams(a, reach, policy, "events").where("keep").drop("in_runs", "keep")
