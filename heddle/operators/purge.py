@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import diagnostic, distinct_diagnostics, first_by, union
 from ..model import Archive
-from ..staging import release, stage
+from ..staging import near, release, stage
 from . import dag, manifest, rules
 from .resolve import match_external
 
@@ -121,15 +121,27 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
     events = a.events.where(keep_by_retention(policy, L(True))).select("ordinal", "run_id", "revision_id", pinned.alias("pinned"))
     named = a.event_refs.join(events.select(C("ordinal").alias("event"), "run_id", "pinned"), "event").select("run_id", "pinned", C("run_id").alias("subject"), "object_id", "revision_id", L("dangling_event_object").alias("code"))
     named = named.unionByName(a.activity_refs.select("run_id", L(False).alias("pinned"), C("activity_id").alias("subject"), "object_id", "revision_id", L("missing_activity_object").alias("code")))
-    named = stage(named.distinct(), "purge-named")
+    named = stage(named, "purge-named")
     asked = stage(named.select("object_id", "revision_id").distinct(), "purge-asked")
-    held = a.objects.select("object_id", C("revision_id").alias("version"))
+    ids = near(stage(asked.select("object_id").distinct(), "purge-ids"))
+    held = stage(a.objects.join(ids, "object_id", "left_semi").select("object_id", C("revision_id").alias("version")), "purge-held")
     meant = union([
         asked.where("revision_id IS NULL").join(held, "object_id").select("object_id", "revision_id", "version"),
         asked.where("revision_id IS NOT NULL").join(held.withColumn("revision_id", C("version")), ["object_id", "revision_id"]).select("object_id", "revision_id", "version"),
     ])
     meant = stage(meant.distinct(), "purge-versions")
 
+    # runs that are kept from the start, and what is asked for with them: no arc needs to lead to these
+    seeded = stage(union([frame("run_id string"), *[x.where("retention = 'pinned'").select("run_id") for x in (a.log_streams, a.events)], *runs]).distinct(), "purge-seeded")
+    records = seeded.join(first_runs, "run_id").where("revision_id IS NOT NULL").select("revision_id")
+    if policy.keep_uncommitted_runs:
+        seeded = stage(seeded.unionByName(a.runs.where("revision_id IS NULL").select("run_id")).distinct(), "purge-seeded")
+    sure = near(seeded)
+    early = stage(named.where("pinned").unionByName(named.where("NOT pinned").join(sure, "run_id", "left_semi").select(*named.columns)).select("object_id", "revision_id").distinct(), "purge-early")
+    late = named.where("NOT pinned").join(sure, "run_id", "left_anti").select("run_id", "object_id", "revision_id").distinct()
+    late = late.join(early.select(C("object_id").alias("_o"), C("revision_id").alias("_r")), (C("object_id") == C("_o")) & C("revision_id").eqNullSafe(C("_r")), "left_anti")
+    written = events.where("NOT pinned AND revision_id IS NOT NULL").select("run_id", "revision_id")
+
     # the graph that is searched: runs, revisions, and what is asked for; only parents have a position
     run, rev, ask = _node("run", "run_id"), _node("rev", "revision_id"), _node("ask", F.to_json(F.struct("object_id", "revision_id")))
     parents = first_runs.where("parent_run_id IS NOT NULL").select("run_id", "parent_run_id")
@@ -140,28 +152,24 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
         *[
             x.select(s.alias("source"), t.alias("target"), L(None).cast("bigint").alias("pos"))
             for x, s, t in (
-                (recs.where("run_id IS NOT NULL"), rev, run),
-                (a.runs.where("revision_id IS NOT NULL").select("run_id", "revision_id").distinct(), rev, run),
-                (up, run, _node("run", "parent_run_id")),
+                (recs.where("run_id IS NOT NULL").join(sure, "run_id", "left_anti"), rev, run),
+                (a.runs.where("revision_id IS NOT NULL").select("run_id", "revision_id").join(sure, "run_id", "left_anti").distinct(), rev, run),
+                (up.join(sure.select(C("run_id").alias("parent_run_id")), "parent_run_id", "left_anti"), run, _node("run", "parent_run_id")),
                 (up.where("parent_run_id <> run_id AND revision_id IS NOT NULL"), run, rev),
-                (events.where("NOT pinned AND revision_id IS NOT NULL"), run, rev),
-                (named.where("NOT pinned").select("run_id", "object_id", "revision_id").distinct(), run, ask),
+                (written.join(sure, "run_id", "left_anti"), run, rev),
+                (late, run, ask),
                 (meant.select(ask.alias("_a"), C("version").alias("revision_id")).distinct(), C("_a"), rev),
             )
         ],
     ])
     # cached as dealt and sorted by source, so that each level of a search moves its frontier only
-    dealt = max(spark.sparkContext.defaultParallelism, (2 * recs.count() + named.count()) // ARCS)
+    dealt = max(spark.sparkContext.defaultParallelism, 2 * recs.count() // ARCS)
     graph = arcs.repartition(dealt, "source").sortWithinPartitions("source").persist(StorageLevel.MEMORY_AND_DISK)
 
-    seeded = union([frame("run_id string"), *[x.where("retention = 'pinned'").select("run_id") for x in (a.log_streams, a.events)], *runs]).distinct()
-    records = seeded.join(first_runs, "run_id").where("revision_id IS NOT NULL").select("revision_id")
     start = [
-        seeded.select(run.alias("n")), named.where("pinned").select(ask.alias("n")),
-        *[x.select(rev.alias("n")) for x in (snapshot_roots, records, seeds, events.where("pinned AND revision_id IS NOT NULL"))],
+        seeded.select(run.alias("n")), early.select(ask.alias("n")),
+        *[x.select(rev.alias("n")) for x in (snapshot_roots, records, seeds, events.where("pinned AND revision_id IS NOT NULL"), written.join(sure, "run_id", "left_semi"))],
     ]
-    if policy.keep_uncommitted_runs:
-        start.append(a.runs.where("revision_id IS NULL").select(run.alias("n")))
     kept = dag.above(graph, union(start).select(C("n").alias("revision_id")), dealt=dealt)
 
     def of_kind(kind, name):
@@ -178,11 +186,11 @@ def reachable(a: Archive, roots: list[Root], policy: Policy = Policy(), external
     pairs = pairs.withColumns({c: F.substring(c, 5, LONGEST) for c in ("source", "target")})
     sight = stage(dag.visible(a.replaced(revisions=recs), own, pairs), "purge-sight")
     graph.unpersist()
-    within = stage(sight.select("revision_id").unionByName(own).distinct(), "purge-within")
+    within = near(stage(sight.select("revision_id").unionByName(own).distinct(), "purge-within"))
     objects = stage(first_by(a.objects.select("object_id", "revision_id", "ordinal").join(within, "revision_id", "left_semi"), ["object_id", "revision_id"]), "manifest-objects")
     release(spark)
-    refs = a.refs.select("owner", "object_id", "revision_id", "target_object", "target_revision").join(within, "revision_id", "left_semi")
-    refs = refs.join(stage(objects.select("object_id").distinct(), "purge-ids"), "object_id", "left_semi").join(objects.select(C("ordinal").alias("owner")), "owner", "left_semi")
+    refs = a.refs.select("owner", "revision_id", "target_object", "target_revision").join(within, "revision_id", "left_semi")
+    refs = refs.join(objects.select(C("ordinal").alias("owner")), "owner", "left_semi")
     refs = stage(refs.select("owner", "target_object", "target_revision"), "manifest-refs")
     release(spark)
     first = fresh.unionByName(objects.join(snapshot_roots.join(recs, "revision_id", "left_semi"), "revision_id", "left_semi").select("object_id", "revision_id")).distinct()
@@ -223,7 +231,7 @@ def _in_scope(held: DataFrame, visible: DataFrame) -> DataFrame:
 
 def _streams(a: Archive, reach: Reach, policy: Policy, table: str) -> DataFrame:
     """Rows of log_streams or events with (in_runs, keep)."""
-    rows = getattr(a, table).join(reach.runs.withColumn("_in", L(True)), "run_id", "left").withColumn("in_runs", C("_in").isNotNull()).drop("_in")
+    rows = getattr(a, table).join(near(reach.runs).withColumn("_in", L(True)), "run_id", "left").withColumn("in_runs", C("_in").isNotNull()).drop("_in")
     keep = keep_by_retention(policy, C("in_runs"))
     for run, kind in reach.forced if table == "log_streams" else []:
         keep = keep | ((C("run_id") == run) & (C("kind") == kind))
@@ -233,7 +241,7 @@ def _streams(a: Archive, reach: Reach, policy: Policy, table: str) -> DataFrame:
 def plan(a: Archive, roots: list[Root], policy: Policy = Policy(), externals: DataFrame | None = None, sizes: DataFrame | None = None) -> Plan:
     """A dry run: the class of every object and purgeable record, and one row of counts; `sizes` has (content_id, bytes)."""
     reach = reachable(a, roots, policy, externals)
-    in_ = a.objects.join(reach.objects.withColumn("_in", L(True)), ["object_id", "revision_id"], "left")
+    in_ = a.objects.join(near(reach.objects).withColumn("_in", L(True)), ["object_id", "revision_id"], "left")
     objects = stage(in_.select("object_id", "revision_id", "content_id", F.when(C("_in"), "reachable").otherwise("unreachable").alias("class")), "purge-classes")
     debug = [
         _streams(a, reach, policy, t).where("in_runs AND NOT keep").select(F.concat(L(f"{name}-"), C("ordinal"), L("-"), C("run_id")).alias("object_id"), L(None).cast("string").alias("revision_id"), L(None).cast("string").alias("content_id"), L("purgeable_debug").alias("class"))

@@ -73,3 +73,18 @@ def test_a_search_over_dealt_edges_finds_the_same_set(spark):
     got = sorted(r[0] for r in dag.above(edges, start, dealt=3).collect())
     edges.unpersist()
     assert got == sorted(r[0] for r in dag.above(edges, start).collect()) == sorted([f"n{i}" for i in range(2, 10)] + ["x", "y"])
+
+
+def test_a_search_over_dealt_edges_takes_many_levels_a_round(spark, monkeypatch):
+    """50 levels with merges, a cycle and known nodes: a step for each eight levels, and no node twice."""
+    from heddle import staging
+
+    steps = []
+    monkeypatch.setattr(dag, "stage", lambda df, name, **options: steps.append(name) or staging.stage(df, name, **options))
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(50)] + [("n3", "n15"), ("n20", "n4"), ("x", "y"), ("y", "x"), ("x", "k"), ("k", "m")]
+    edges = spark.createDataFrame(pairs, "source string, target string").repartition(3, "source").sortWithinPartitions("source").persist()
+    start = spark.createDataFrame([("n0",), ("x",), ("n0",)], "revision_id string")
+    got = [r[0] for r in dag.above(edges, start, spark.createDataFrame([("k",), ("m",)], "revision_id string"), dealt=3).collect()]
+    edges.unpersist()
+    assert sorted(got) == sorted([f"n{i}" for i in range(51)] + ["x", "y"])
+    assert len(steps) <= 8
